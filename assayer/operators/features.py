@@ -133,7 +133,7 @@ def feature_importance(df: DataFrame, target: str, columns: list[str] | None = N
     Both sides are cut into equal-width bins; null descriptors count as 0 and
     rows without a target are left out.  All columns share one grouped count.
     """
-    names = columns or [c for c in df.columns if c.startswith(DESCRIPTOR_PREFIXES) and c != target]
+    names = columns or [c for c in numeric_columns(df, (target,)) if c.startswith(DESCRIPTOR_PREFIXES)]
     if target not in df.columns or not names:
         return df.sparkSession.createDataFrame([], "feature string, importance double")
     rows = df.filter(F.col(target).isNotNull()).select(
@@ -174,7 +174,14 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     if len(names) < 2:
         raise ValueError("correlation needs at least two numeric columns")
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+    def coefficient(a: str, b: str) -> Column:
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        spread = F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y))
+        # F.corr raises on a constant column under ANSI rules.
+        return F.covar_pop(x, y) / F.sqrt(F.nullif(spread, F.lit(0.0)))
+
+    wide = df.agg(*[coefficient(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     at = {}
     for i, (a, b) in enumerate(pairs):
         at[(a, b)] = at[(b, a)] = f"r{i}"
