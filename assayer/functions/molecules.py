@@ -53,17 +53,16 @@ def reject_reason(structure: Column) -> Column:
     one repeated group: a repeated group would recurse on long strings.
     """
     text = F.trim(structure)
-    outside = F.regexp_replace(text, r"\[[^\[\]]+\]", "")
-    odd_ring = F.lit(False)
-    for digit in "0123456789":
-        odd_ring = odd_ring | (_occurrences(outside, digit) % 2 == 1)
+    # Ring digits outside brackets, sorted; taking pairs away leaves the odd ones.
+    digits = F.array_sort(F.split(F.regexp_replace(text, r"\[[^\[\]]+\]|[^0-9]", ""), ""))
+    odd_rings = F.regexp_replace(F.array_join(digits, ""), r"([0-9])\1", "")
     return (
         F.when(structure.isNull() | (text == ""), "empty")
         .when(text.rlike(r"\s"), "token")
         .when(F.regexp_replace(text, TOKEN, "") != "", "token")
         .when(~text.rlike(r"[A-Za-z*]"), "no_atom")
         .when(_occurrences(text, "(") != _occurrences(text, ")"), "parentheses")
-        .when(~F.contains(text, F.lit("%")) & odd_ring, "ring")
+        .when(~F.contains(text, F.lit("%")) & (odd_rings != ""), "ring")
     )
 
 

@@ -168,29 +168,37 @@ def feature_importance(df: DataFrame, target: str, columns: list[str] | None = N
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of all column pairs, pairwise complete, long form.
 
-    One aggregate computes every pair; a constant column gives null.
+    One pass over the table; a constant column gives null.  A few pairs are
+    plain aggregates side by side; many pairs are dealt to groups instead, as
+    one aggregate with hundreds of parts outgrows compiled code.
     """
     names = columns or numeric_columns(df)
     if len(names) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
 
-    def coefficient(a: str, b: str) -> Column:
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        spread = F.var_pop(F.when(y.isNotNull(), x)) * F.var_pop(F.when(x.isNotNull(), y))
+    def coefficient(x: Column, y: Column) -> Column:
         # F.corr raises on a constant column under ANSI rules.
-        return F.covar_pop(x, y) / F.sqrt(F.nullif(spread, F.lit(0.0)))
-
-    wide = df.agg(*[coefficient(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    at = {}
-    for i, (a, b) in enumerate(pairs):
-        at[(a, b)] = at[(b, a)] = f"r{i}"
-    cells = [
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.nanvl(F.col(at[(a, b)]), F.lit(None).cast("double")).alias("corr"))
-        for a in names
-        for b in names
-    ]
-    return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+        return F.regr_sxy(x, y) / F.sqrt(F.nullif(F.regr_sxx(x, y) * F.regr_syy(x, y), F.lit(0.0)))
+
+    if len(pairs) <= 12:
+        wide = rows.agg(*[coefficient(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in pairs])
+        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]
+        found = wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    else:
+        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for i, j in pairs]
+        dealt = rows.select(F.explode(F.array(*cells)).alias("c"))
+        found = dealt.groupBy("c.i", "c.j").agg(coefficient(F.col("c.x"), F.col("c.y")).alias("r"))
+    spread = rows.agg(*[F.var_pop(f"x{i}").alias(f"s{i}") for i in range(len(names))])
+    own = [F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(F.col(f"s{i}") > 0, 1.0).alias("r")) for i in range(len(names))]
+    diagonal = spread.select(F.explode(F.array(*own)).alias("c")).select("c.*")
+    both = F.explode(F.array(F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r"))).alias("c")
+    matrix = found.select(both).select("c.*").unionAll(diagonal)
+    label = F.array(*[F.lit(c) for c in names])
+    return matrix.select(
+        label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"), F.nanvl("r", F.lit(None).cast("double")).alias("corr")
+    )
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -27,103 +27,139 @@ def sort_key(df: DataFrame, column: str) -> Column:
     return F.col(column)
 
 
-def order_statistics(df: DataFrame, wanted: dict[str, tuple[Column, list[int]]]) -> dict[tuple[str, int], object]:
-    """Values at zero-based ranks among the non-null values of expressions.
+class _Slot:
+    """One wanted rank: the window [low, high] that holds it, and its rank there."""
 
-    ``wanted`` maps a label to (numeric expression, ranks).  All labels and
-    ranks share their passes over the data; a pass is one aggregate without a
-    shuffle of rows.  A rank beyond the last value gives None.
-    """
-    labels = list(wanted)
-    data = df.select(*[wanted[name][0].alias(f"v{i}") for i, name in enumerate(labels)])
-    sizes = data.agg(*[F.count(f"v{i}") for i in range(len(labels))]).first()
+    def __init__(self, at: int, name: str, rank: int, size: int):
+        self.at, self.name, self.rank = at, name, rank
+        self.low = self.high = None
+        self.inside, self.size, self.value = rank, size, None
 
-    class Slot:
-        """State of one rank: open window [low, high] and rank inside it."""
+    @property
+    def place(self) -> tuple:
+        return self.at, self.low, self.high
 
-        def __init__(self, at, name, rank, size):
-            self.at, self.name, self.rank = at, name, rank
-            self.low = self.high = None
-            self.inside, self.size, self.value = rank, size, None
+    @property
+    def column(self) -> Column:
+        return F.col(f"v{self.at}")
 
-        def window(self) -> Column:
-            col = F.col(f"v{self.at}")
-            if self.low is None:
-                return col.isNotNull()
-            return (col >= F.lit(self.low)) & (col <= F.lit(self.high))
+    def window(self) -> Column:
+        if self.low is None:
+            return self.column.isNotNull()
+        return (self.column >= F.lit(self.low)) & (self.column <= F.lit(self.high))
 
-    slots = [
-        Slot(i, name, rank, sizes[i]) for i, name in enumerate(labels) for rank in wanted[name][1]
-    ]
-    open_slots = [s for s in slots if 0 <= s.rank < s.size]
-    while wide := [s for s in open_slots if s.size > WINDOW and (s.low is None or s.low != s.high)]:
-        asks = []
-        for s in wide:
-            margin = 2 * s.size / ACCURACY + 1
-            bounds = [max(0.0, (s.inside - margin) / s.size), min(1.0, (s.inside + margin) / s.size)]
-            asks.append(F.percentile_approx(F.when(s.window(), F.col(f"v{s.at}")), bounds, ACCURACY))
-        proposed = data.agg(*[a.alias(f"p{j}") for j, a in enumerate(asks)]).first()
-        counts = []
-        for s, (low, high) in zip(wide, proposed):
-            col = F.col(f"v{s.at}")
-            counts.append(F.count_if(s.window() & (col < F.lit(low))))
-            counts.append(F.count_if(s.window() & (col >= F.lit(low)) & (col <= F.lit(high))))
-        found = data.agg(*[c.alias(f"c{j}") for j, c in enumerate(counts)]).first()
-        for j, (s, (low, high)) in enumerate(zip(wide, proposed)):
-            below, within = found[2 * j], found[2 * j + 1]
-            if not below <= s.inside < below + within:
-                raise RuntimeError("quantile sketch outside its error bound")
-            if within == s.size and low != high and s.low is not None:
-                # No progress by counts: split the value range instead.
-                low, high, below, within = _halve(data, s, low, high)
-            s.low, s.high, s.inside, s.size = low, high, s.inside - below, within
-    for s in open_slots:
+    def shares(self) -> list[float]:
+        """Quantiles a little below and above the rank, wider than the sketch's error."""
+        margin = 2 * self.size / ACCURACY + 1
+        return [max(0.0, (self.inside - margin) / self.size), min(1.0, (self.inside + margin) / self.size)]
+
+
+def _by_window(slots: list[_Slot]) -> dict[tuple, list[_Slot]]:
+    out: dict[tuple, list[_Slot]] = {}
+    for s in slots:
+        out.setdefault(s.place, []).append(s)
+    return out
+
+
+def order_statistics(
+    df: DataFrame, wanted: dict[str, tuple[Column, list[int]]], sizes: dict[str, int] | None = None
+) -> dict[tuple[str, int], object]:
+    """Values at zero-based ranks among the non-null values of expressions.
+
+    ``wanted`` maps a label to (numeric expression, ranks); ``sizes`` gives
+    counts of non-null values already known.  All labels and ranks share their
+    passes over the data, and a pass is one aggregate without a shuffle of
+    rows.  A rank beyond the last value gives None.
+    """
+    labels = list(wanted)
+    data = df.select(*[wanted[name][0].alias(f"v{i}") for i, name in enumerate(labels)])
+    if sizes is None:
+        counted = data.agg(*[F.count(f"v{i}") for i in range(len(labels))]).first()
+        sizes = dict(zip(labels, counted))
+    slots = [_Slot(i, name, rank, sizes[name]) for i, name in enumerate(labels) for rank in wanted[name][1]]
+    live = [s for s in slots if 0 <= s.rank < s.size]
+    while wide := [s for s in live if s.size > WINDOW and (s.low is None or s.low != s.high)]:
+        _narrow(data, wide)
+    for s in live:
         if s.low is not None and s.low == s.high:
             s.value = s.low
-    rest = [s for s in open_slots if s.value is None]
+    rest = _by_window([s for s in live if s.value is None])
     if rest:
-        lists = [F.array_sort(F.collect_list(F.when(s.window(), F.col(f"v{s.at}")))) for s in rest]
-        gathered = data.agg(*[F.get(a, F.lit(s.inside)).alias(f"g{j}") for j, (a, s) in enumerate(zip(lists, rest))])
-        for s, value in zip(rest, gathered.first()):
+        # At most WINDOW values per window, gathered once for all its ranks.
+        lists = [F.array_sort(F.collect_list(F.when(group[0].window(), group[0].column))) for group in rest.values()]
+        picks = [
+            F.get(values, F.lit(s.inside)).alias(f"g{j}_{k}")
+            for j, (values, group) in enumerate(zip(lists, rest.values()))
+            for k, s in enumerate(group)
+        ]
+        for s, value in zip([s for group in rest.values() for s in group], data.agg(*picks).first()):
             s.value = value
     return {(s.name, s.rank): s.value for s in slots}
 
 
-def _halve(data, slot, low, high):
+def _narrow(data: DataFrame, wide: list[_Slot]) -> None:
+    """One round: a sketch per window proposes bounds, exact counts confirm them."""
+    groups = _by_window(wide)
+    sketches = [
+        F.percentile_approx(F.when(group[0].window(), group[0].column), [x for s in group for x in s.shares()], ACCURACY).alias(f"p{j}")
+        for j, group in enumerate(groups.values())
+    ]
+    proposed = data.agg(*sketches).first()
+    bounds = [(s, b[2 * k], b[2 * k + 1]) for b, group in zip(proposed, groups.values()) for k, s in enumerate(group)]
+    counts = []
+    for j, (s, low, high) in enumerate(bounds):
+        counts.append(F.count_if(s.window() & (s.column < F.lit(low))).alias(f"b{j}"))
+        counts.append(F.count_if(s.window() & (s.column >= F.lit(low)) & (s.column <= F.lit(high))).alias(f"w{j}"))
+    found = data.agg(*counts).first()
+    for j, (s, low, high) in enumerate(bounds):
+        below, within = found[f"b{j}"], found[f"w{j}"]
+        if not below <= s.inside < below + within:
+            raise RuntimeError("quantile sketch outside its error bound")
+        if within == s.size and low != high and s.low is not None:
+            # No progress by counts: split the value range instead.
+            low, high, below, within = _halve(data, s, low, high)
+        s.low, s.high, s.inside, s.size = low, high, s.inside - below, within
+
+
+def _halve(data: DataFrame, slot: _Slot, low, high) -> tuple:
     """Keep the half of [low, high] that holds the rank."""
     middle = low + (high - low) // 2 if isinstance(low, int) else low + (high - low) / 2
-    col = F.col(f"v{slot.at}")
-    left = data.agg(F.count_if(slot.window() & (col >= F.lit(low)) & (col <= F.lit(middle)))).first()[0]
-    if slot.inside < left:
-        return low, middle, 0, left
-    above, within = data.agg(
-        F.min(F.when(slot.window() & (col > F.lit(middle)), col)),
-        F.count_if(slot.window() & (col > F.lit(middle))),
+    upper = slot.window() & (slot.column > F.lit(middle))
+    left, above, right = data.agg(
+        F.count_if(slot.window() & (slot.column <= F.lit(middle))), F.min(F.when(upper, slot.column)), F.count_if(upper)
     ).first()
-    return above, high, left, within
+    return (low, middle, 0, left) if slot.inside < left else (above, high, left, right)
 
 
-def row_at_rank(df: DataFrame, order: list[Column], ranks: list[int]) -> dict[int, tuple | None]:
+def row_at_rank(df: DataFrame, order: list[Column], ranks: list[int], size: int | None = None) -> dict[int, tuple | None]:
     """The order values of the rows at zero-based ranks, lexicographic order.
 
     Later columns break ties of the earlier ones.  No column may hold nulls
-    and the last must be unique.  Rank None or beyond the table gives None.
+    and the last must be unique; ``size`` is the row count when known.  A rank
+    beyond the table gives None.
     """
     first, rest = order[0], order[1:]
-    heads = order_statistics(df, {"x": (first, ranks)})
-    found: dict[int, tuple | None] = {}
-    for rank in ranks:
-        head = heads[("x", rank)]
-        if head is None:
-            found[rank] = None
-            continue
-        if not rest:
-            found[rank] = (head,)
-            continue
-        before = df.filter(first < F.lit(head)).count()
-        ties = df.filter(first == F.lit(head))
-        tail = row_at_rank(ties, rest, [rank - before])[rank - before]
-        found[rank] = (head, *tail)
+    heads = order_statistics(df, {"x": (first, ranks)}, None if size is None else {"x": size})
+    found: dict[int, tuple | None] = {r: None for r in ranks}
+    live = [r for r in ranks if heads[("x", r)] is not None]
+    if not rest or not live:
+        return found | {r: (heads[("x", r)],) for r in live}
+    facts = []
+    for j, r in enumerate(live):
+        head = F.lit(heads[("x", r)])
+        facts += [
+            F.count_if(first < head).alias(f"b{j}"),
+            F.count_if(first == head).alias(f"t{j}"),
+            F.min(F.when(first == head, F.struct(*[c.alias(f"c{k}") for k, c in enumerate(rest)]))).alias(f"m{j}"),
+        ]
+    row = df.agg(*facts).first()
+    for j, r in enumerate(live):
+        head, before, ties = heads[("x", r)], row[f"b{j}"], row[f"t{j}"]
+        if r == before:  # the first of its ties, as for nearly every hash
+            found[r] = (head, *row[f"m{j}"])
+        else:
+            tail = row_at_rank(df.filter(first == F.lit(head)), rest, [r - before], ties)
+            found[r] = (head, *tail[r - before])
     return found
 
 

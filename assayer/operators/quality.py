@@ -81,19 +81,20 @@ def quartiles(df: DataFrame, columns: list[str], approximate: bool = False) -> d
     Exact by default, through ``order_statistics``: no column's values are
     gathered in one place.  ``approximate`` takes one sketch pass.
     """
-    present = df.agg(*[F.count(_number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
     if approximate:
         row = df.agg(*[F.percentile_approx(_number(df, c), [0.25, 0.75], 10_000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-        return {c: tuple(row[i]) for i, c in enumerate(columns) if present[i]}
-    spots = {}
-    for i, c in enumerate(columns):
-        if present[i]:
-            spots[c] = [(present[i] - 1) * q for q in (0.25, 0.75)]
-    ranks = {c: (_number(df, c), sorted({r for s in at for r in (int(s), min(int(s) + 1, present[columns.index(c)] - 1))})) for c, at in spots.items()}
-    values = order_statistics(df, ranks) if ranks else {}
+        return {c: tuple(q) for c, q in zip(columns, row) if q is not None}
+    counted = df.agg(*[F.count(_number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    present = {c: n for c, n in zip(columns, counted) if n > 0}
+    spots = {c: [(n - 1) * q for q in (0.25, 0.75)] for c, n in present.items()}
+    ranks = {}
+    for c, at in spots.items():
+        around = {r for s in at for r in (int(s), min(int(s) + 1, present[c] - 1))}
+        ranks[c] = (_number(df, c), sorted(around))
+    values = order_statistics(df, ranks, present) if ranks else {}
     out = {}
     for c, at in spots.items():
-        last = present[columns.index(c)] - 1
+        last = present[c] - 1
         ends = []
         for s in at:
             low, high = values[(c, int(s))], values[(c, min(int(s) + 1, last))]

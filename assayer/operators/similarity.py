@@ -50,9 +50,11 @@ def search(
         value.alias("similarity_score"),
         F.when(~ok, "Invalid target structure").alias("error"),
     )
-    if threshold > 0:
-        scored = scored.filter(F.col("similarity_score") >= threshold)
     best = scored.orderBy(F.desc("similarity_score"), target_id).limit(top_k)
+    if threshold > 0:
+        # The same rows as filtering first; here it cannot be pushed below the
+        # score, which would then be worked out twice.
+        best = best.filter(F.col("similarity_score") >= threshold)
     total = targets.agg(F.count(F.lit(1)).alias("n")).scalar()
     ranked = Window.orderBy(F.desc("similarity_score"), target_id)  # at most top_k rows
     return best.select(

@@ -65,19 +65,20 @@ def random_split(
         return df.withColumn("split", F.when(at < share_test, "test").when(at < share_test + share_val, "val").otherwise("train"))
     if mode != "exact":
         raise ValueError("mode must be 'exact' or 'bernoulli'")
-    sizes = exact_sizes(df.count(), train, val, test)
+    n = df.count()
+    sizes = exact_sizes(n, train, val, test)
     order = [position, F.col(row_id)]
-    return _assign(df, order, [("test", sizes["test"]), ("val", sizes["val"])], "train")
+    return _assign(df, n, order, [("test", sizes["test"]), ("val", sizes["val"])], "train")
 
 
-def _assign(df: DataFrame, order: list[Column], parts: list[tuple[str, int]], last: str) -> DataFrame:
+def _assign(df: DataFrame, n: int, order: list[Column], parts: list[tuple[str, int]], last: str) -> DataFrame:
     """Give the first rows in ``order`` to the listed parts, the rest to ``last``."""
     ends, upto = [], 0
     for name, size in parts:
         upto += size
         if size > 0:
             ends.append((name, upto - 1))
-    cuts = row_at_rank(df, order, [rank for _, rank in ends])
+    cuts = row_at_rank(df, order, [rank for _, rank in ends], n)
     label = F.lit(last)
     for name, rank in reversed(ends):
         label = F.lit(name) if cuts[rank] is None else F.when(not_after(order, cuts[rank]), name).otherwise(label)
@@ -248,7 +249,7 @@ def temporal_split(
     n = df.count()
     when = sort_key(df, date)
     order = [F.col(date).isNull().cast("int"), F.coalesce(when, F.lit(0)), *_unique_order(df, row_id)]
-    return _assign(df, order, [("train", int(n * train)), ("val", int(n * val))], "test")
+    return _assign(df, n, order, [("train", int(n * train)), ("val", int(n * val))], "test")
 
 
 def split_statistics(df: DataFrame, target: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ query = REGISTRY.add
 
 _STAMP = "'%Y-%m-%d %H:%M:%S.%f'"
 _COUNTS = """count(*) AS total_requests, count(*) FILTER (WHERE event_type <> 'error') AS successful_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests,
-    round(avg(value), 6) AS average_response_time, max(value) AS max_response_time"""
+    round(avg(value), 9) AS average_response_time, max(value) AS max_response_time"""
 
 
 def _requests(events):
@@ -26,7 +26,7 @@ USAGE_SQL = f"""SELECT event_type, strftime(date_trunc('hour', ts), {_STAMP}) AS
 
 def _usage_columns(table):
     out = table.withColumns({"window_start": stamp("window_start"), "last_request": stamp("last_request")})
-    return rounded(out, average_response_time=6)
+    return rounded(out, average_response_time=9)
 
 
 @query("usage_metrics", USAGE_SQL)

@@ -151,7 +151,7 @@ def structure_fingerprints(spark, folder):
     f"""SELECT id AS doc_id, len(bits) AS n_set, md5(array_to_string(bits, ',')) AS bits_md5 FROM ({fingerprint_sql("documents", "doc_id", "text", WORDS_SQL)})""",
 )
 def text_fingerprints(spark, folder):
-    out = features.with_fingerprint(read(spark, folder, "documents"), "text", n_bits=None, tokens=features.WORDS)
+    out = features.with_fingerprint(read(spark, folder, "documents", costly=True), "text", n_bits=None, tokens=features.WORDS)
     return out.select("doc_id", F.size("fingerprint").cast("bigint").alias("n_set"), F.md5(F.array_join("fingerprint", ",")).alias("bits_md5"))
 
 
@@ -256,7 +256,7 @@ def invalid_examples(spark, folder):
 
 _OUTLIER_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _IQR_SQL = " UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, round(any_value(lo), 4) AS lower_bound, round(any_value(hi), 4) AS upper_bound, count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS outlier_count,
+    f"""SELECT '{c}' AS column_name, round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound, count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS outlier_count,
     round(100.0e0 * count(*) FILTER (WHERE {c} < lo OR {c} > hi) / count({c}), 6) AS outlier_pct FROM l CROSS JOIN (SELECT q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi
     FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM l))"""
     for c in _OUTLIER_COLUMNS
@@ -274,7 +274,7 @@ def _skewed(spark, folder):
 @query("iqr_outliers", _SKEWED_SQL + _IQR_SQL)
 def iqr_outliers(spark, folder):
     found = quality.iqr_outliers(_skewed(spark, folder), list(_OUTLIER_COLUMNS))
-    return rounded(found, lower_bound=4, upper_bound=4, outlier_pct=6)
+    return rounded(found, lower_bound=6, upper_bound=6, outlier_pct=6)
 
 
 _Z_SQL = " UNION ALL ".join(

@@ -75,7 +75,7 @@ def search_many(spark, folder):
     """Every benchmark text against every document, the five nearest of each."""
 
     def bits(table, row_id):
-        made = features.with_fingerprint(read(spark, folder, table), "text", "bits", n_bits=None, tokens=features.WORDS)
+        made = features.with_fingerprint(read(spark, folder, table, costly=True), "text", "bits", n_bits=None, tokens=features.WORDS)
         return stage(made.select(row_id, "bits"), "bits")
 
     found = similarity.search_many(bits("benchmark", "item_id"), bits("documents", "doc_id"), "item_id", "doc_id", "bits", threshold=0.15, top_k=5)

@@ -223,12 +223,12 @@ def retention(spark, folder):
 
 @query(
     "coerced_mean",
-    """SELECT round(avg(TRY_CAST(v AS DOUBLE)), 6) AS v_mean, count(*) FILTER (WHERE v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL) AS v_bad
+    """SELECT round(avg(TRY_CAST(v AS DOUBLE)), 9) AS v_mean, count(*) FILTER (WHERE v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL) AS v_bad
         FROM (SELECT CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_size || '.5' END AS v FROM part)""",
 )
 def coerced_mean(spark, folder):
     mixed = read(spark, folder, "part").selectExpr("CASE WHEN p_size % 5 = 0 THEN p_name ELSE p_size || '.5' END AS v")
-    return rounded(validate.coerced_mean(mixed, ["v"]), v_mean=6)
+    return rounded(validate.coerced_mean(mixed, ["v"]), v_mean=9)
 
 
 # --- de-duplication ---------------------------------------------------------------

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
 COMPOUND_COLUMNS = {
     "row_id": "p_partkey",
     "smiles": """CASE WHEN p_partkey % 13 = 5 THEN NULL WHEN p_partkey % 17 = 3 THEN ' '
@@ -51,8 +53,10 @@ JOB_UPDATES = {
 }
 
 
-def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{table}.parquet")
+def read(spark: SparkSession, folder: str, table: str, costly: bool = False) -> DataFrame:
+    """A given table; ``costly`` when the work per row outweighs reading it."""
+    df = spark.read.parquet(f"{folder}/{table}.parquet")
+    return spread(df) if costly else df
 
 
 def _build(df: DataFrame, columns: dict[str, str]) -> DataFrame:

@@ -64,3 +64,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     splits skewed partitions.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame, split_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """Deal out the rows of a few small files over all cores.
+
+    A small file is one task however costly its rows are.  Tables with at
+    least one file per core, or enough bytes for a split per core, are left
+    as they are, so large inputs are never shuffled for this.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0]
+    return df if size >= cores * split_bytes else df.repartition(cores)
