@@ -70,7 +70,7 @@ def with_fingerprint(
     grams = F.concat(*[F.col(f"_g{n}") for n in range(1, radius + 2)])
     if n_bits is not None:
         grams = F.transform(grams, lambda g: (g % n_bits).cast("int"))
-    return out.withColumn(name, F.array_sort(F.array_distinct(grams))).drop(*[f"_g{n}" for n in range(1, radius + 2)])
+    return out.withColumn(name, F.sort_array(F.array_distinct(grams))).drop(*[f"_g{n}" for n in range(1, radius + 2)])
 
 
 def bit_string(bits: Column, n_bits: int) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import check_metric, score_from_counts, set_score
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, stage
 from .rules import column_for
 
 
@@ -115,19 +115,20 @@ def search_many(
         .filter((F.col("place") <= F.col("q_size") - needed + 1) & (F.col("freq") > 0))
         .select("bit", "q", "q_size")
     )
-    candidates = (
-        t_tokens.join(broadcast_if_small(prefix), "bit")
-        .filter((F.col("t_size") >= F.col("q_size") * share - 1e-9) & (F.col("t_size") * share <= F.col("q_size") + 1e-9))
-        .select("q", "t").distinct()
-    )
-    pairs = candidates.join(broadcast_if_small(q, 200_000), "q").join(t, "t")
-    common = F.size(F.array_intersect("q_bits", "t_bits"))
-    scored = pairs.select(
-        "q", "t", score_from_counts(common, F.size("q_bits"), F.size("t_bits"), metric).alias("similarity_score")
-    ).filter(F.col("similarity_score") >= threshold)
+    # Staged as its size decides the join, and again as the joins read it.
+    index = broadcast_if_small(stage(prefix, "prefix"))
+    lengths_fit = (F.col("t_size") >= F.col("q_size") * share - 1e-9) & (F.col("t_size") * share <= F.col("q_size") + 1e-9)
+    candidates = stage(t_tokens.join(index, "bit").filter(lengths_fit).select("q", "t").distinct(), "candidates")
+    pairs = t.join(broadcast_if_small(candidates), "t").join(broadcast_if_small(q, 200_000), "q")
+    # The threshold is applied after the ranking, with the same outcome: a
+    # filter here would be pushed into the join and work out the score twice.
+    sized = pairs.withColumn("common", F.size(F.array_intersect("q_bits", "t_bits")))
+    score = score_from_counts(F.col("common"), F.size("q_bits"), F.size("t_bits"), metric)
     best = Window.partitionBy("q").orderBy(F.desc("similarity_score"), "t")
     return (
-        scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+        sized.select("q", "t", score.alias("similarity_score"))
+        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+        .filter(F.col("similarity_score") >= threshold)
         .select(F.col("q").alias(query_id), "rank", F.col("t").alias(f"match_{target_id}"), "similarity_score")
     )
 

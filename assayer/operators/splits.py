@@ -11,7 +11,7 @@ import math
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions.hashing import hash32, seeded_order
@@ -67,22 +67,17 @@ def random_split(
         raise ValueError("mode must be 'exact' or 'bernoulli'")
     n = df.count()
     sizes = exact_sizes(n, train, val, test)
-    order = [position, F.col(row_id)]
-    return _assign(df, n, order, [("test", sizes["test"]), ("val", sizes["val"])], "train")
+    in_test, in_both = _before(df, [position, F.col(row_id)], n, [sizes["test"], sizes["test"] + sizes["val"]])
+    return df.withColumn("split", F.when(in_test, "test").when(in_both, "val").otherwise("train"))
 
 
-def _assign(df: DataFrame, n: int, order: list[Column], parts: list[tuple[str, int]], last: str) -> DataFrame:
-    """Give the first rows in ``order`` to the listed parts, the rest to ``last``."""
-    ends, upto = [], 0
-    for name, size in parts:
-        upto += size
-        if size > 0:
-            ends.append((name, upto - 1))
-    cuts = row_at_rank(df, order, [rank for _, rank in ends], n)
-    label = F.lit(last)
-    for name, rank in reversed(ends):
-        label = F.lit(name) if cuts[rank] is None else F.when(not_after(order, cuts[rank]), name).otherwise(label)
-    return df.withColumn("split", label)
+def _before(df: DataFrame, order: list[Column], n: int, stops: list[int]) -> list[Column]:
+    """For each stop, a test for the first ``stop`` of the table's ``n`` rows in ``order``."""
+    cuts = row_at_rank(df, order, [s - 1 for s in stops if 0 < s < n], n)
+    return [
+        F.lit(False) if s <= 0 else F.lit(True) if s >= n else not_after(order, cuts[s - 1])
+        for s in stops
+    ]
 
 
 def stratified_split(
@@ -147,50 +142,46 @@ def group_split(
     its own, or is dropped with ``drop_null_groups``.
 
     Groups of one size are interchangeable but for their order, so the fill is
-    worked out on the table of sizes, which has at most sqrt(2n) rows, and one
-    rank among the groups of the size where a part fills up.
+    worked out on the number of groups per size, plus one rank among the
+    groups of the size where a part fills up.
     """
-    n = df.count()
-    part_sizes = {"train": int(n * train), "val": int(n * val)}
     rows = df.filter(F.col(group).isNotNull())
+    numeric = isinstance(df.schema[row_id].dataType, NumericType)
     groups = stage(
         rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), F.min(row_id).alias("_first")), "groups"
     )
-    numeric = isinstance(df.schema[row_id].dataType, NumericType)
-    singles = df.filter(F.col(group).isNull()).select(F.lit(1).cast("bigint").alias("_size"), F.col(row_id).alias("_first"))
+    alone = df.filter(F.col(group).isNull())
+    lonely = alone.count()
+    # Distinct sizes add up to at most n, so there are fewer than sqrt(2n).
+    ladder = {r["_size"]: r["c"] for r in groups.groupBy("_size").agg(F.count(F.lit(1)).alias("c")).collect()}
+    n = lonely + sum(size * c for size, c in ladder.items())
     everyone = groups.select("_size", "_first")
-    if not drop_null_groups:
-        everyone = everyone.unionAll(singles)
-    by_size = everyone.groupBy("_size").agg(F.count(F.lit(1)).alias("groups"))
-    in_order = Window.orderBy(F.desc("_size")).rowsBetween(Window.unboundedPreceding, 0)
-    rows_upto = F.sum(F.col("_size") * F.col("groups")).over(in_order)
-    ladder = by_size.withColumn("upto", rows_upto).withColumn("before", F.col("upto") - F.col("_size") * F.col("groups"))
-
-    def filled(goal: Column | int):
-        """Where the running total first reaches ``goal``: (size, how many of its groups, total)."""
-        hit = ladder.filter(F.col("upto") >= F.lit(goal)).orderBy(F.desc("_size")).first()
-        if hit is None:
-            return None
-        used = -(-(goal - hit["before"]) // hit["_size"])
-        return hit["_size"], used, hit["before"] + used * hit["_size"]
+    if lonely and not drop_null_groups:
+        ladder[1] = ladder.get(1, 0) + lonely
+        everyone = everyone.unionAll(alone.select(F.lit(1).cast("bigint"), F.col(row_id)))
 
     # Text ids have no cheap rank; their hash decides ties between equal sizes.
     order = [F.col("_first")] if numeric else [hash32(F.col("_first").cast("string")), F.col("_first")]
-    def at_or_before(goal: int) -> Column:
-        """Groups that start before the running total reaches ``goal``."""
+
+    def starts_before(goal: int) -> tuple[Column, int]:
+        """Groups that start before the running total reaches ``goal``, and their rows."""
+        total = 0
         if goal <= 0:
-            return F.lit(False)
-        stop = filled(goal)
-        if stop is None:
-            return F.lit(True)
-        size, used, _ = stop
-        row = row_at_rank(everyone.filter(F.col("_size") == size), order, [used - 1])[used - 1]
-        return (F.col("_size") > size) | ((F.col("_size") == size) & not_after(order, row))
-
-    in_train = at_or_before(part_sizes["train"])
-    stop = filled(part_sizes["train"]) if part_sizes["train"] > 0 else (0, 0, 0)
-    reached = stop[2] if stop else n
-    in_val = at_or_before(reached + part_sizes["val"]) if part_sizes["val"] > 0 else F.lit(False)
+            return F.lit(False), total
+        for size in sorted(ladder, reverse=True):
+            used = -(-(goal - total) // size)
+            if used >= ladder[size]:
+                total += size * ladder[size]
+                if total >= goal:
+                    return F.col("_size") >= size, total
+                continue
+            row = row_at_rank(everyone.filter(F.col("_size") == size), order, [used - 1], ladder[size])[used - 1]
+            cut = (F.col("_size") > size) | ((F.col("_size") == size) & not_after(order, row))
+            return cut, total + used * size
+        return F.lit(True), total
+
+    in_train, reached = starts_before(int(n * train))
+    in_val = starts_before(reached + int(n * val))[0] if int(n * val) > 0 else F.lit(False)
     label = F.when(in_train, "train").when(in_val, "val").otherwise("test")
 
     # Groups above the share number at most 1 / hot_share: safe to broadcast.
@@ -202,9 +193,9 @@ def group_split(
     in_heavy = rows.join(heavy, group)
     in_light = rows.join(heavy.select(group), group, "left_anti").join(light, group)
     out = in_heavy.unionByName(in_light)
-    if not drop_null_groups:
-        alone = df.filter(F.col(group).isNull()).withColumns({"_size": F.lit(1), "_first": F.col(row_id)})
-        out = out.unionByName(alone.withColumn("split", label).drop("_size", "_first"))
+    if lonely and not drop_null_groups:
+        single = alone.withColumns({"_size": F.lit(1), "_first": F.col(row_id)})
+        out = out.unionByName(single.withColumn("split", label).drop("_size", "_first"))
     return out.select(*df.columns, "split")
 
 
@@ -246,10 +237,14 @@ def temporal_split(
     """Oldest rows to train, then val, then test; equal dates by row id, nulls last."""
     if date not in df.columns:
         raise ValueError(f"date column '{date}' not found")
-    n = df.count()
-    when = sort_key(df, date)
-    order = [F.col(date).isNull().cast("int"), F.coalesce(when, F.lit(0)), *_unique_order(df, row_id)]
-    return _assign(df, n, order, [("train", int(n * train)), ("val", int(n * val))], "test")
+    n, dated = df.agg(F.count(F.lit(1)), F.count(date)).first()
+    stops = [int(n * train), int(n * train) + int(n * val)]
+    unique = _unique_order(df, row_id)
+    has_date = F.col(date).isNotNull()
+    early = _before(df.filter(has_date), [sort_key(df, date), *unique], dated, stops)
+    late = _before(df.filter(~has_date), unique, n - dated, [s - dated for s in stops])
+    in_train, in_both = (F.when(has_date, e).otherwise(l) for e, l in zip(early, late))
+    return df.withColumn("split", F.when(in_train, "train").when(in_both, "val").otherwise("test"))
 
 
 def split_statistics(df: DataFrame, target: str | None = None) -> DataFrame:
