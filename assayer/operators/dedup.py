@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.hashing import content_key, seeded_order
 
@@ -42,11 +43,21 @@ def keep_one(
     return first_rows(df.filter(complete)).unionByName(df.filter(~complete))
 
 
+def comparable(df: DataFrame, column: str) -> Column:
+    """A short stand-in for a column's value: text by its SHA-256 digest."""
+    if isinstance(df.schema[column].dataType, StringType):
+        return F.unhex(F.sha2(F.col(column), 256)).alias(column)
+    return F.col(column)
+
+
 def duplicate_counts(df: DataFrame, key: str) -> DataFrame:
-    """Rows beyond the first, over whole rows and over the key; nulls are equal."""
+    """Rows beyond the first, over whole rows and over the key; nulls are equal.
+
+    Text is compared by its digest, so only digests are shuffled.
+    """
 
     def extra(columns: list[str], name: str) -> DataFrame:
-        sizes = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("c"))
+        sizes = df.groupBy(*[comparable(df, c) for c in columns]).agg(F.count(F.lit(1)).alias("c"))
         return sizes.select(F.lit(name).alias("scope"), (F.col("c") - 1).alias("extra"))
 
     both = extra(df.columns, "row").unionAll(extra([key], "key"))

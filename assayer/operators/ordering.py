@@ -206,7 +206,7 @@ def group_cuts(
     )
 
 
-def prefix_sums(df: DataFrame, by: str, values: list[str], buckets: int = 512) -> DataFrame:
+def prefix_sums(df: DataFrame, by: str, values: list[str], buckets: int = 2048) -> DataFrame:
     """Exclusive running totals of ``values`` in the order of numeric ``by``.
 
     ``by`` must be unique (group first).  Rows are put in range buckets whose

@@ -57,7 +57,7 @@ def _present(key: str) -> Column:
 
 def clean_key_counts(df: DataFrame, key: str) -> DataFrame:
     """What ``clean_keys`` removes: blank keys and repeats of a key."""
-    per_key = df.groupBy(F.when(_present(key), F.col(key)).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    per_key = df.groupBy(F.when(_present(key), F.unhex(F.sha2(key, 256))).alias("k")).agg(F.count(F.lit(1)).alias("c"))
     return per_key.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("total"),
         F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("c"))), F.lit(0)).alias("blank_removed"),

@@ -76,7 +76,11 @@ def read_delimited(
     return reader.option("header", True).option("inferSchema", True).csv(path)
 
 
-_PROPERTY = r"(?m)^>[^<\n]*<([^>\n]+)>[^\n]*\n([^\n]*)"
+# A property: its header line, then lines up to a blank one.
+_PROPERTY = r"(?m)^>[^<\n]*<([^>\n]+)>[^\n]*\n((?:[^\n]+\n?)*+)"
+# What is left of the separator's line.  A blank title at the start of a file
+# looks the same, but then the counts line (V2000, V3000) comes two lines later.
+_LINE_REST = r"\A\n(?!(?:[^\n]*\n){2}[^\n]*V[23]000)"
 
 
 def read_sdf(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
@@ -86,13 +90,12 @@ def read_sdf(spark: SparkSession, path: str, properties: list[str] | None = None
     The structure block stays text.
     """
     text = (
-        spark.read.option("lineSep", "$$$$\n").text(path)
-        .select(F.regexp_replace("value", r"\r", "").alias("record"))
-        .withColumn("record", F.regexp_replace("record", r"\$\$\$\$\s*\z", ""))
-        .filter(F.trim(F.regexp_replace("record", r"\s", "")) != "")
+        spark.read.option("lineSep", "$$$$").text(path)
+        .select(F.regexp_replace(F.regexp_replace("value", r"\r", ""), _LINE_REST, "").alias("record"))
+        .filter(F.col("record").rlike(r"\S"))
     )
     names = F.regexp_extract_all("record", F.lit(_PROPERTY), F.lit(1))
-    values = F.regexp_extract_all("record", F.lit(_PROPERTY), F.lit(2))
+    values = F.transform(F.regexp_extract_all("record", F.lit(_PROPERTY), F.lit(2)), lambda v: F.rtrim(v, F.lit("\n")))
     # A name given twice keeps its first value, as map keys must be unique.
     first_seen = F.filter(
         F.arrays_zip(names.alias("n"), values.alias("v")),

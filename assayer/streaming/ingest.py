@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.validate import validate_structures
 
 MAX_BYTES = 100 * 1024 * 1024
+_ROWS_OUT = 10_000  # rows handed back at a time
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 _ROW_SCHEMA = "file string, row_no long, smiles string, fields map<string,string>, error string"
 
@@ -45,10 +46,17 @@ def parse_files(files: DataFrame, key_column: str = "smiles", max_bytes: int = M
                     continue
                 others = [c for c in table.columns if c != key_column]
                 table = table.astype(object).where(table.notna(), None)
-                fields = [dict(zip(others, values)) for values in table[others].itertuples(index=False, name=None)]
-                yield pd.DataFrame(
-                    {"file": path, "row_no": range(len(table)), "smiles": table[key_column], "fields": fields, "error": None}
-                )
+                for start in range(0, len(table), _ROWS_OUT):
+                    part = table.iloc[start : start + _ROWS_OUT]
+                    yield pd.DataFrame(
+                        {
+                            "file": path,
+                            "row_no": range(start, start + len(part)),
+                            "smiles": part[key_column].to_list(),
+                            "fields": [dict(zip(others, row)) for row in zip(*(part[c] for c in others))] if others else [{}] * len(part),
+                            "error": None,
+                        }
+                    )
 
     return files.select("path", "length", "content").mapInPandas(parse, _ROW_SCHEMA)
 
