@@ -70,7 +70,7 @@ def classification_metrics(df: DataFrame, truth: str, guess: str, cut: float = 0
 def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve with ties averaged; null unless two classes.
 
-    Rows are first counted per score; negatives below each score come from
+    Rows are counted per score, and negatives below each score come from
     bucketed running totals, so no task sorts the table.
     """
     rows = df.select(F.col(truth).alias("y"), F.col(score).cast("double").alias("s")).filter(
@@ -80,10 +80,10 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     two = rows.agg(
         (F.count_if((F.col("y") > ends["lo"]) & (F.col("y") < ends["hi"])) == 0).alias("ok")
     ).scalar()
-    per_score = rows.groupBy("s").agg(
-        F.count_if(F.col("y") == ends["hi"]).alias("pos"), F.count_if(F.col("y") != ends["hi"]).alias("neg")
+    marked = rows.select(
+        "s", (F.col("y") == ends["hi"]).cast("bigint").alias("pos"), (F.col("y") != ends["hi"]).cast("bigint").alias("neg")
     )
-    ranked = prefix_sums(per_score, "s", ["neg"])
+    ranked = prefix_sums(marked, "s", ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     positives, negatives = F.sum("pos").cast("double"), F.sum("neg").cast("double")
     value = wins / F.nullif(positives * negatives, F.lit(0.0))

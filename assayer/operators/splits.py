@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions.hashing import hash32, seeded_order
 from ..session import stage
-from .ordering import group_cuts, not_after, row_at_rank, sort_key
+from .ordering import group_cuts, hashed_row_at_rank, not_after, row_at_rank, sort_key
 
 PARTS = ("train", "val", "test")
 
@@ -67,17 +67,21 @@ def random_split(
         raise ValueError("mode must be 'exact' or 'bernoulli'")
     n = df.count()
     sizes = exact_sizes(n, train, val, test)
-    in_test, in_both = _before(df, [position, F.col(row_id)], n, [sizes["test"], sizes["test"] + sizes["val"]])
-    return df.withColumn("split", F.when(in_test, "test").when(in_both, "val").otherwise("train"))
+    stops = [sizes["test"], sizes["test"] + sizes["val"]]
+    cuts = hashed_row_at_rank(df, position, F.col(row_id), [s - 1 for s in stops if 0 < s < n], n)
+    placed = df.withColumn("_at", position)
+    in_test, in_both = _until(stops, n, [F.col("_at"), F.col(row_id)], cuts)
+    return placed.withColumn("split", F.when(in_test, "test").when(in_both, "val").otherwise("train")).drop("_at")
+
+
+def _until(stops: list[int], n: int, order: list[Column], cuts: dict) -> list[Column]:
+    """For each stop, a test for the first ``stop`` of ``n`` rows in ``order``."""
+    return [F.lit(False) if s <= 0 else F.lit(True) if s >= n else not_after(order, cuts[s - 1]) for s in stops]
 
 
 def _before(df: DataFrame, order: list[Column], n: int, stops: list[int]) -> list[Column]:
-    """For each stop, a test for the first ``stop`` of the table's ``n`` rows in ``order``."""
-    cuts = row_at_rank(df, order, [s - 1 for s in stops if 0 < s < n], n)
-    return [
-        F.lit(False) if s <= 0 else F.lit(True) if s >= n else not_after(order, cuts[s - 1])
-        for s in stops
-    ]
+    """The same, finding the rows at the stops first."""
+    return _until(stops, n, order, row_at_rank(df, order, [s - 1 for s in stops if 0 < s < n], n))
 
 
 def stratified_split(
@@ -100,12 +104,12 @@ def stratified_split(
     n_val = F.when(n >= smallest, F.ceil((n - n_test) * F.lit(val / (train + val)))).otherwise(0)
     cuts = group_cuts(df, target, seeded_order(F.col(row_id), seed), row_id, {"_test": n_test, "_val": n_test + n_val})
     cuts = cuts.withColumnRenamed(target, "_class")
-    here = F.struct(seeded_order(F.col(row_id), seed).alias("h"), F.col(row_id).alias("k"))
+    placed = df.withColumn("_here", F.struct(seeded_order(F.col(row_id), seed).alias("h"), F.col(row_id).alias("k")))
     # One row per class; Spark broadcasts it when it is small and otherwise
     # splits the partitions of large classes at run time.
-    joined = df.join(cuts, F.col(target).eqNullSafe(F.col("_class")), "left")
-    label = F.when(here <= F.col("_test"), "test").when(here <= F.col("_val"), "val").otherwise("train")
-    return joined.withColumn("split", label).drop("_class", "_test", "_val")
+    joined = placed.join(cuts, F.col(target).eqNullSafe(F.col("_class")), "left")
+    label = F.when(F.col("_here") <= F.col("_test"), "test").when(F.col("_here") <= F.col("_val"), "val").otherwise("train")
+    return joined.withColumn("split", label).drop("_class", "_test", "_val", "_here")
 
 
 def balanced_split(

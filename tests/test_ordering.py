@@ -46,14 +46,29 @@ def test_row_at_rank_breaks_ties(spark, small_window):
     assert inside == 1000
 
 
+def test_hashed_ranks(spark, monkeypatch):
+    df = spark.range(3000).repartition(5)
+    position = seeded_order(F.col("id"), 4)
+    placed = sorted((r[0], r[1]) for r in df.select(position, "id").collect())
+    ranks = [0, 1, 449, 1500, 2998, 2999]
+    assert ordering.hashed_row_at_rank(df, position, F.col("id"), ranks, 3000) == {r: placed[r] for r in ranks}
+    # Far from even, as a hash never is: the general way must take over.
+    crowded = position % 50
+    placed = sorted((r[0], r[1]) for r in df.select(crowded, "id").collect())
+    assert ordering.hashed_row_at_rank(df, crowded, F.col("id"), ranks, 3000) == {r: placed[r] for r in ranks}
+
+
 def test_prefix_sums_match_a_loop(spark):
     rng = np.random.default_rng(1)
-    scores = np.unique(np.concatenate([rng.normal(size=3000), 1e-9 * rng.normal(size=3000)]))
+    scores = np.concatenate([rng.normal(size=3000), 1e-9 * rng.normal(size=3000), np.full(3000, 0.25)])
     counts = rng.integers(0, 9, len(scores))
     df = spark.createDataFrame([(float(s), int(c)) for s, c in zip(scores, counts)], "s double, c long").repartition(5)
-    found = {r["s"]: r["c_before"] for r in ordering.prefix_sums(df, "s", ["c"], buckets=64).collect()}
-    expected = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    assert [found[float(s)] for s in scores] == expected.tolist()
+    found = {r["s"]: (r["c"], r["c_before"]) for r in ordering.prefix_sums(df, "s", ["c"], buckets=64).collect()}
+    before = 0
+    for s in np.unique(scores):
+        own = int(counts[scores == s].sum())
+        assert found[float(s)] == (own, before)
+        before += own
 
 
 def test_group_cuts_with_a_hot_group_and_null_group(spark):
