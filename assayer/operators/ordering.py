@@ -3,7 +3,7 @@
 ``order_statistics`` finds the value at a rank by narrowing a window: a
 mergeable quantile sketch proposes bounds, exact counts confirm them, and only
 a window of bounded size is ever gathered.  ``group_cuts`` does the same for
-many groups at once in one lazy plan, and ``prefix_sums`` gives running totals
+many groups at once, and ``prefix_sums`` gives running totals
 over range buckets.
 """
 
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import broadcast_if_small, stage
+
 #: Values gathered for one rank at most; a window with more rows is narrowed.
 WINDOW = 10_000
 ACCURACY = 10_000
@@ -209,11 +211,12 @@ def group_cuts(
     ``position`` is a seeded 32-bit hash, so its upper bits split every group,
     however large, into up to 65,536 even buckets.  Bucket counts are
     aggregated map-side; only the one bucket per group and cut that holds the
-    wanted rank is sorted.  ``sizes`` maps a cut name to its rank as an
+    wanted rank is sorted.  The result is staged: it has a row per group.  ``sizes`` maps a cut name to its rank as an
     expression over ``n`` (rows in the group); rank 0 gives a null cut.
     """
+    # A hash is never null; saying so spares a null test that repeats the hash.
     rows = df.select(
-        F.col(group).alias("g"), position.alias("h"), F.col(key).alias("k")
+        F.col(group).alias("g"), F.coalesce(position, F.lit(0)).alias("h"), F.col(key).alias("k")
     ).withColumn("b", F.shiftright("h", buckets_shift))
     per_group = Window.partitionBy("g")
     counts = (
@@ -227,13 +230,16 @@ def group_cuts(
         .filter((F.col("ask.rank") > F.col("upto") - F.col("c")) & (F.col("ask.rank") <= F.col("upto")))
         .select("g", "b", "ask.cut", (F.col("ask.rank") - F.col("upto") + F.col("c")).alias("r"))
     )
-    right = wanted.select(F.col("g").alias("g2"), F.col("b").alias("b2"), "cut", "r")
-    inside = rows.join(right, F.col("g").eqNullSafe(F.col("g2")) & (F.col("b") == F.col("b2")))
+    # One row per group and cut, staged so that its size decides the join
+    # before any row of the table is shuffled for it.
+    right = stage(wanted.select(F.col("g").alias("g2"), F.col("b").alias("b2"), "cut", "r"), "buckets")
+    inside = rows.join(broadcast_if_small(right), F.col("g").eqNullSafe(F.col("g2")) & (F.col("b") == F.col("b2")))
     order = Window.partitionBy("g", "cut", "b").orderBy("h", "k")
     picked = inside.withColumn("at", F.row_number().over(order)).filter(F.col("at") == F.col("r"))
-    return picked.groupBy(F.col("g").alias(group)).agg(
+    cuts = picked.groupBy(F.col("g").alias(group)).agg(
         *[F.max(F.when(F.col("cut") == name, F.struct("h", "k"))).alias(name) for name in sizes]
     )
+    return stage(cuts, "cuts")
 
 
 def prefix_sums(df: DataFrame, by: str, values: list[str], buckets: int = 2048) -> DataFrame:

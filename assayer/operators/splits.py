@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions.hashing import hash32, seeded_order
-from ..session import stage
+from ..session import broadcast_if_small, stage
 from .ordering import group_cuts, hashed_row_at_rank, not_after, row_at_rank, sort_key
 
 PARTS = ("train", "val", "test")
@@ -105,9 +105,9 @@ def stratified_split(
     cuts = group_cuts(df, target, seeded_order(F.col(row_id), seed), row_id, {"_test": n_test, "_val": n_test + n_val})
     cuts = cuts.withColumnRenamed(target, "_class")
     placed = df.withColumn("_here", F.struct(seeded_order(F.col(row_id), seed).alias("h"), F.col(row_id).alias("k")))
-    # One row per class; Spark broadcasts it when it is small and otherwise
+    # One row per class: broadcast after a count.  Beyond the bound Spark
     # splits the partitions of large classes at run time.
-    joined = placed.join(cuts, F.col(target).eqNullSafe(F.col("_class")), "left")
+    joined = placed.join(broadcast_if_small(cuts), F.col(target).eqNullSafe(F.col("_class")), "left")
     label = F.when(F.col("_here") <= F.col("_test"), "test").when(F.col("_here") <= F.col("_val"), "val").otherwise("train")
     return joined.withColumn("split", label).drop("_class", "_test", "_val", "_here")
 
