@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import NumericType
 
-from .ordering import order_statistics
+from .ordering import not_after, row_at_rank, sort_keys
 
 # Activity types, unit factors to nM, class limits in nM, columns kept.
 ACTIVITY_TYPES = ("IC50", "EC50", "Ki", "Kd")
@@ -42,16 +41,15 @@ def cap_per_type(
     """
     each = max_records // 4
     rows = df.filter(F.col(type_column).isin(*types))
-    if each <= 1000 or not isinstance(df.schema[row_id].dataType, NumericType):
+    if each <= 1000:
         order = Window.partitionBy(type_column).orderBy(row_id)
         return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= each).drop("_rn")
-    ids = {t: (F.when(F.col(type_column) == t, F.col(row_id)), [each - 1]) for t in types}
-    last = order_statistics(rows, ids)
+    order = sort_keys(rows, row_id)
     keep = F.lit(False)
     for t in types:
-        bound = last[(t, each - 1)]
         here = F.col(type_column) == t
-        keep = keep | (here if bound is None else here & (F.col(row_id) <= F.lit(bound)))
+        last = row_at_rank(rows.filter(here), order, [each - 1])[each - 1]
+        keep = keep | (here if last is None else here & not_after(order, last))
     return rows.filter(keep)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DateType, StringType, TimestampNTZType, TimestampType
 
 from ..session import broadcast_if_small, stage
 
@@ -19,14 +20,28 @@ WINDOW = 10_000
 ACCURACY = 10_000
 
 
-def sort_key(df: DataFrame, column: str) -> Column:
-    """A column as a number that sorts the same way."""
-    kind = dict(df.dtypes)[column]
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp"))
-    if kind == "date":
-        return F.unix_date(F.col(column)).cast("bigint")
-    return F.col(column)
+def sort_keys(df: DataFrame, column: str) -> list[Column]:
+    """A column as numbers that sort the same way, first by the first.
+
+    Text becomes numbers of six bytes each, as many as its longest value
+    needs, so that text has ranks like any number.
+    """
+    kind = df.schema[column].dataType
+    value = F.col(column)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return [F.unix_micros(value.cast("timestamp"))]
+    if isinstance(kind, DateType):
+        return [F.unix_date(value).cast("bigint")]
+    if isinstance(kind, BooleanType):
+        return [value.cast("int")]
+    if not isinstance(kind, StringType):
+        return [value]
+    code = F.hex(F.encode(value, "UTF-8"))
+    longest = df.agg(F.max(F.length(code))).first()[0] or 0
+    # Hex digits shift by one, so that a missing byte sorts before a zero byte.
+    code = F.translate(code, "0123456789ABCDEF", "123456789ABCDEFG")
+    piece = lambda i: F.rpad(F.substring(code, i + 1, 12), 12, "0")
+    return [F.coalesce(F.conv(piece(i), 17, 10).cast("bigint"), F.lit(0)) for i in range(0, max(longest, 1), 12)]
 
 
 class _Slot:
@@ -107,7 +122,7 @@ def _narrow(data: DataFrame, wide: list[_Slot]) -> None:
         for j, group in enumerate(groups.values())
     ]
     proposed = data.agg(*sketches).first()
-    bounds = [(s, b[2 * k], b[2 * k + 1]) for b, group in zip(proposed, groups.values()) for k, s in enumerate(group)]
+    bounds = [(s, *_inside(s, b[2 * k], b[2 * k + 1])) for b, group in zip(proposed, groups.values()) for k, s in enumerate(group)]
     counts = []
     for j, (s, low, high) in enumerate(bounds):
         counts.append(F.count_if(s.window() & (s.column < F.lit(low))).alias(f"b{j}"))
@@ -123,6 +138,18 @@ def _narrow(data: DataFrame, wide: list[_Slot]) -> None:
         s.low, s.high, s.inside, s.size = low, high, s.inside - below, within
 
 
+def _inside(slot: _Slot, low, high) -> tuple:
+    """Proposed bounds, never wider than the window they are to narrow.
+
+    Large integers get some room, as the sketch works in doubles.
+    """
+    if isinstance(low, int):
+        low, high = low - (abs(low) >> 52), high + (abs(high) >> 52)
+    if slot.low is not None:
+        low, high = max(low, slot.low), min(high, slot.high)
+    return low, high
+
+
 def _halve(data: DataFrame, slot: _Slot, low, high) -> tuple:
     """Keep the half of [low, high] that holds the rank."""
     middle = low + (high - low) // 2 if isinstance(low, int) else low + (high - low) / 2
@@ -164,9 +191,13 @@ def _row_at_rank(data: DataFrame, names: list[str], ranks: list[int], size: int
         head, before, ties = heads[("x", r)], row[f"b{j}"], row[f"t{j}"]
         if r == before:  # the first of its ties, as for nearly every hash
             found[r] = (head, *row[f"m{j}"])
+            continue
+        equal = data.filter(first == F.lit(head)).select(*rest)
+        if ties <= WINDOW:
+            inner = equal.agg(F.get(F.sort_array(F.collect_list(F.struct(*rest))), F.lit(r - before))).first()[0]
         else:
-            tail = _row_at_rank(data.filter(first == F.lit(head)).select(*rest), rest, [r - before], ties)
-            found[r] = (head, *tail[r - before])
+            inner = _row_at_rank(equal, rest, [r - before], ties)[r - before]
+        found[r] = (head, *inner)
     return found
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from .ordering import order_statistics
+from .ordering import not_after, row_at_rank, sort_keys
 
 # Property names, and the other names they go by.
 DESCRIPTORS = (
@@ -165,11 +165,10 @@ def page(df: DataFrame, key: str, number: int = 1, size: int = 20) -> DataFrame:
     pages = -(-total // size)
     if offset == 0:
         rows = df
-    elif offset < total and isinstance(df.schema[key].dataType, NumericType):
-        start = order_statistics(df, {"k": (F.col(key), [offset])})[("k", offset)]
-        rows = df.filter(F.col(key) >= F.lit(start))
     elif offset < total:
-        rows = df.orderBy(key).offset(offset)
+        order = sort_keys(df, key)
+        start = row_at_rank(df, order, [offset - 1], total)[offset - 1]
+        rows = df.filter(~not_after(order, start))
     else:
         rows = df.filter(F.lit(False))
     return rows.orderBy(key).limit(size).withColumns(

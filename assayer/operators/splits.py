@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions.hashing import hash32, seeded_order
 from ..session import broadcast_if_small, stage
-from .ordering import group_cuts, hashed_row_at_rank, not_after, row_at_rank, sort_key
+from .ordering import group_cuts, hashed_row_at_rank, not_after, row_at_rank, sort_keys
 
 PARTS = ("train", "val", "test")
 
@@ -245,7 +245,7 @@ def temporal_split(
     stops = [int(n * train), int(n * train) + int(n * val)]
     unique = _unique_order(df, row_id)
     has_date = F.col(date).isNotNull()
-    early = _before(df.filter(has_date), [sort_key(df, date), *unique], dated, stops)
+    early = _before(df.filter(has_date), [*sort_keys(df, date), *unique], dated, stops)
     late = _before(df.filter(~has_date), unique, n - dated, [s - dated for s in stops])
     in_train, in_both = (F.when(has_date, e).otherwise(l) for e, l in zip(early, late))
     return df.withColumn("split", F.when(in_train, "train").when(in_both, "val").otherwise("test"))

@@ -96,6 +96,17 @@ def page_of_orders(spark, folder):
     return rules.page(rows, "o_orderkey", number=17, size=25)
 
 
+@query(
+    "page_by_name",
+    """SELECT c_name, c_acctbal, (SELECT count(*) FROM customer) AS total_items, (SELECT CAST(ceil(count(*) / 10.0e0) AS BIGINT) FROM customer) AS total_pages,
+        CAST(12 AS BIGINT) AS current_page, (SELECT count(*) > 120 FROM customer) AS has_next, true AS has_previous FROM customer ORDER BY c_name LIMIT 10 OFFSET 110""",
+)
+def page_by_name(spark, folder):
+    """Pages by a text key."""
+    rows = read(spark, folder, "customer").select("c_name", "c_acctbal")
+    return rules.page(rows, "c_name", number=12, size=10)
+
+
 # --- features ---------------------------------------------------------------------
 
 

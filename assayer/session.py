@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Settings that matter for large inputs.  A cluster's own values win: they are
-#: only applied by ``build_session``, never forced on a session passed in.
+#: Settings that matter for large inputs, applied by ``build_session`` only;
+#: sessions passed to the library keep their own.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,19 +31,24 @@ def build_session(master: str | None = None, app: str = "assayer", **conf: str)
     return builder.getOrCreate()
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting (tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder,
+    one per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="assayer-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="assayer-")
+    return _LOCAL_FOLDERS[app]
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

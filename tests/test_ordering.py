@@ -81,3 +81,24 @@ def test_group_cuts_with_a_hot_group_and_null_group(spark):
         members = sorted((r["h"], r["i"]) for r in placed if r["g"] == row["g"])
         assert (row["third"]["h"], row["third"]["k"]) == members[-(-len(members) // 3) - 1]
     assert cuts.count() == len({r[1] for r in rows})
+
+
+def test_large_integers(spark, small_window):
+    values = sorted([2**62 + 1] * 300 + [2**62 + 3] * 300 + [-(2**61) - 7] * 100 + [2**62 + 2 * i for i in range(200)])
+    df = spark.createDataFrame([(v,) for v in values], "a long").repartition(3)
+    ranks = [0, 150, 450, 899]
+    found = ordering.order_statistics(df, {"a": (F.col("a"), ranks)})
+    assert [found[("a", r)] for r in ranks] == [values[r] for r in ranks]
+
+
+def test_text_order(spark, small_window):
+    rng = random.Random(11)
+    words = ["", "a", "ab", "abc" * 9, "é", "zürich", "日本", "a\x00", "a\x01b"]
+    rows = [rng.choice(words) + rng.choice(["", "-long-common-part-of-many-values-"]) + str(rng.randrange(60)) for _ in range(1500)]
+    rows = sorted(rows + words, key=lambda w: w.encode())
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(rows)], "w string, i long").repartition(4)
+    order = ordering.sort_keys(df, "w")
+    for rank in (0, 700, 1508):
+        row = ordering.row_at_rank(df, [*order, F.col("i")], [rank], len(rows))[rank]
+        inside = df.filter(ordering.not_after([*order, F.col("i")], row))
+        assert inside.count() == rank + 1 and row[-1] == rank

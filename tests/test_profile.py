@@ -99,6 +99,9 @@ def test_pages(spark, monkeypatch):
         seen += [r["k"] for r in rows]
         assert all(r["total_items"] == 105 and r["total_pages"] == 6 and r["has_next"] == (number < 6) for r in rows)
     assert seen == [3 * i for i in range(105)]
+    text = df.select(F.concat(F.lit("compound-"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("k"))
+    assert [r["k"] for n in (2, 6) for r in rules.page(text, "k", n, 20).collect()] == [f"compound-{3 * i:04d}" for i in [*range(20, 40), *range(100, 105)]]
+    assert rules.page(text, "k", 9, 20).isEmpty()
     with pytest.raises(ValueError):
         rules.page(df, "k", 0)
 

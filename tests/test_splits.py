@@ -105,6 +105,9 @@ def test_temporal_split_order(spark, monkeypatch):
         a, b = int(400 * ratios[0]), int(400 * ratios[0]) + int(400 * ratios[1])
         expected = ["train"] * a + ["val"] * (b - a) + ["test"] * (400 - b)
         assert [parted[i] for i, _ in ordered] == expected
+    as_text = df.withColumn("d", F.lpad(F.col("d").cast("string"), 2, "0"))
+    same = {r["row_id"]: r["split"] for r in splits.temporal_split(as_text, "row_id", "d").collect()}
+    assert same == {r["row_id"]: r["split"] for r in splits.temporal_split(df, "row_id", "d").collect()}
     with pytest.raises(ValueError):
         splits.temporal_split(df, "row_id", "nope")
 
