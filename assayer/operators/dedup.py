@@ -72,8 +72,12 @@ def with_content_key(df: DataFrame, columns: list[str], name: str = "content_key
 
 
 def unseen(df: DataFrame, known: DataFrame, key: str = "content_key") -> DataFrame:
-    """Rows whose key is not in the feature table yet, one per key."""
-    return df.join(known.select(key), key, "left_anti").dropDuplicates([key])
+    """Rows whose key is not in the feature table yet, one per key.
+
+    Copies go first, in every map task, so that a hot key does not reach the
+    join; the join then finds the rows already placed by key.
+    """
+    return df.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
 def attach(df: DataFrame, features: DataFrame, key: str = "content_key", hot_share: float = 1e-3) -> DataFrame:

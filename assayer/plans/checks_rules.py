@@ -243,12 +243,17 @@ def missing_values(spark, folder):
     return rounded(quality.missing_values(compounds(spark, folder)), missing_pct=6)
 
 
-@query(
-    "column_types",
-    "SELECT * FROM (VALUES ('p_partkey', 'bigint'), ('p_name', 'string'), ('p_brand', 'string'), ('p_type', 'string'), ('p_size', 'int'), ('p_retailprice', 'double')) t(column_name, data_type) WHERE (SELECT count(*) FROM part) > 0",
+_PART_TYPES = {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double"}
+_TYPES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{t}' AS data_type, count(*) - count({c}) AS missing_count FROM p" for c, t in _PART_TYPES.items()
 )
+
+
+@query("column_types", f"WITH p AS (SELECT * REPLACE (nullif(p_size, 7) AS p_size) FROM part) {_TYPES_SQL}")
 def column_types(spark, folder):
-    return quality.column_types(read(spark, folder, "part"))
+    """Types next to the missing counts of the same columns."""
+    rows = read(spark, folder, "part").withColumn("p_size", F.expr("nullif(p_size, 7)"))
+    return quality.column_types(rows).join(quality.missing_values(rows), "column_name").select("column_name", "data_type", "missing_count")
 
 
 RATE_SQL = f"""SELECT count(*) AS total_keys, count(*) FILTER (WHERE reject_reason IS NULL) AS valid_keys, count(*) FILTER (WHERE reject_reason IS NOT NULL) AS invalid_keys,
