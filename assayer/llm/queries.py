@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import packing, sharding
-from assayer.llm.common import read
+from assayer.llm import html_text, packing, secret_scan, sharding
+from assayer.llm.common import read, span_digest
 from assayer.plans.registry import Registry
 
 LLM = Registry()
@@ -23,6 +23,29 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return os.environ.get("LLM_TOKENIZER") or public_tokenizers.path(name)
 
 
+def spans_of(*kinds: str) -> Column:
+    """``kind:start:end`` of the spans, of all kinds or of those named."""
+    spans = F.filter("spans", lambda s: s["kind"].isin(*kinds)) if kinds else F.col("spans")
+    return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+
+
+@LLM.add("op5_html_blocks")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(read(spark, folder, "pages"))
+
+
+@LLM.add("op6_secret_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read(spark, folder, "documents"))
+    base = ("assign", "access", "hex")
+    return found.select(
+        "doc_id",
+        *[F.size(spans_of(k)).cast("long").alias(f"n_{k}") for k in base],
+        span_digest(spans_of(*base)).alias("base_sha256"),
+        F.array_join(spans_of(), ",").alias("spans"),
+    )
+
+
 @LLM.add("op7_harmonic_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(read(spark, folder, "documents"), tokenizer_path())
