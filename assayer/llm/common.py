@@ -50,3 +50,23 @@ def arrow_batches(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
 def span_digest(spans: Column) -> Column:
     """sha256 of ``kind:start:end`` texts joined by commas."""
     return F.sha2(F.array_join(spans, ","), 256)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts of at most ``rows`` labelled keys, chosen by a hash of the key: doc_id, text, label.
+
+    ``keep`` is a condition on ``doc_id`` that says which labels may be seen.
+    Repeated labels of a key count by their mean, null labels not at all.  The
+    chosen keys number ``rows`` at most, so they are broadcast; the documents
+    are read once and not shuffled.
+    """
+    chosen = (
+        labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label"))
+        .where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & keep)
+        .groupBy("doc_id")
+        .agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+    texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), "doc_id")

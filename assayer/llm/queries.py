@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import html_text, packing, secret_scan, sharding
-from assayer.llm.common import read, span_digest
+from assayer.llm import html_text, packing, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm.common import crc32_fold, read, span_digest
 from assayer.plans.registry import Registry
 
 LLM = Registry()
@@ -23,6 +23,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return os.environ.get("LLM_TOKENIZER") or public_tokenizers.path(name)
 
 
+def with_verdict(scores: DataFrame, held_out: Column) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@LLM.add("op4_quality_gam")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs, fold = read(spark, folder, "documents"), crc32_fold("doc_id", 5)
+    model = quality_gam.fit_quality(docs, read(spark, folder, "labels"), fold != 0)
+    return with_verdict(quality_gam.score_quality(docs, model), fold == 0)
+
+
+@LLM.add("op10_toxicity_fm")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs, fold = read(spark, folder, "documents"), crc32_fold("doc_id", 4)
+    model = toxicity_fm.fit_toxicity(docs, read(spark, folder, "labels"), fold != 2)
+    return with_verdict(toxicity_fm.score_toxicity(docs, model), fold == 2)
+
+
 def spans_of(*kinds: str) -> Column:
     """``kind:start:end`` of the spans, of all kinds or of those named."""
     spans = F.filter("spans", lambda s: s["kind"].isin(*kinds)) if kinds else F.col("spans")
