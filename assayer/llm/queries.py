@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import html_text, packing, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import html_text, ngram_join, packing, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
 from assayer.plans.registry import Registry
 
@@ -23,6 +23,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return os.environ.get("LLM_TOKENIZER") or public_tokenizers.path(name)
 
 
+@LLM.add("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.ngram_groups(read(spark, folder, "documents"))
+
+
 def with_verdict(scores: DataFrame, held_out: Column) -> DataFrame:
     return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
