@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import html_text, ngram_join, packing, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import decontam, html_text, ngram_join, packing, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
 from assayer.plans.registry import Registry
 
@@ -39,6 +39,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return with_verdict(quality_gam.score_quality(docs, model), fold == 0)
 
 
+@LLM.add("op9_spaced_seed_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.withColumn("share", F.round("share", 6))
+
+
 @LLM.add("op10_toxicity_fm")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs, fold = read(spark, folder, "documents"), crc32_fold("doc_id", 4)
