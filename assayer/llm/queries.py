@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontam, html_text, ngram_join, packing, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import decontam, html_text, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
 from assayer.plans.registry import Registry
 
@@ -52,9 +52,22 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return with_verdict(toxicity_fm.score_toxicity(docs, model), fold == 2)
 
 
-def spans_of(*kinds: str) -> Column:
+@LLM.add("op3_weakly_supervised_pii")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, folder, "documents"))
+    found = found.select("doc_id", "base", F.concat("base", "added").alias("spans"))
+    base = tuple(pii.BASE)
+    return found.select(
+        "doc_id",
+        *[F.size(spans_of(k, column="base")).cast("long").alias(f"n_{k}") for k in base],
+        span_digest(spans_of(column="base")).alias("base_sha256"),
+        F.array_join(spans_of(), ",").alias("spans"),
+    )
+
+
+def spans_of(*kinds: str, column: str = "spans") -> Column:
     """``kind:start:end`` of the spans, of all kinds or of those named."""
-    spans = F.filter("spans", lambda s: s["kind"].isin(*kinds)) if kinds else F.col("spans")
+    spans = F.filter(column, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(column)
     return F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
 
 
