@@ -224,3 +224,14 @@ def score_quality(docs: DataFrame, model: Gam, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
     return docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"cast(`{text}` as string) as text").mapInArrow(run, "doc_id long, score double")
+
+
+def drop_low_quality(docs: DataFrame, model: Gam, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text scores ``least`` or more; decided in place, without a shuffle."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text):
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            yield batch.filter(pa.array(model.score(np.array([features(t) for t in texts])) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

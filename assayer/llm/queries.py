@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontam, html_text, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import decontam, html_text, imatch, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
 from assayer.plans.registry import Registry
 
@@ -52,6 +52,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return with_verdict(toxicity_fm.score_toxicity(docs, model), fold == 2)
 
 
+@LLM.add("op2_imatch_fingerprints")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edit_report(read(spark, folder, "documents"))
+
+
 @LLM.add("op3_weakly_supervised_pii")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_personal_data(read(spark, folder, "documents"))
