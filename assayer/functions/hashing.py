@@ -20,7 +20,11 @@ def seeded_order(key: Column, seed: int) -> Column:
 
 
 def content_key(*columns: Column) -> Column:
-    """Collision-safe key of a row's content (used by the feature table)."""
+    """Collision-safe key of a row's content (used by the feature table).
+
+    Never null: a missing value is marked, and differs from an empty text.
+    """
     if len(columns) == 1:
-        return F.sha2(columns[0].cast("string"), 256)
+        value = columns[0].cast("string")
+        return F.sha2(F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit("value:"), value)), 256)
     return F.sha2(F.to_json(F.struct(*columns)), 256)

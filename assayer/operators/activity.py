@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .ordering import not_after, row_at_rank, sort_keys
-
 # Activity types, unit factors to nM, class limits in nM, columns kept.
 ACTIVITY_TYPES = ("IC50", "EC50", "Ki", "Kd")
 UNIT_TO_NM = {"nM": 1.0, "uM": 1e3, "mM": 1e6}
@@ -33,24 +31,15 @@ def select_activities(
 def cap_per_type(
     df: DataFrame, row_id: str, max_records: int, type_column: str = "standard_type", types: tuple[str, ...] = ACTIVITY_TYPES
 ) -> DataFrame:
-    """The first ``max_records // 4`` rows of every type, by row id.
+    """The first ``max_records // 4`` rows of every type, by row id, nulls last.
 
-    Small caps use ``row_number``, which Spark cuts to the cap in every map
-    task.  For large caps the row id at the cap is found per type, and the
-    rows are only filtered.
+    ``row_number`` at any cap: Spark cuts every map task to the cap before the
+    shuffle.  Of rows with one id at the cap some are kept, so that the number
+    of rows is exact.
     """
-    each = max_records // 4
-    rows = df.filter(F.col(type_column).isin(*types))
-    if each <= 1000:
-        order = Window.partitionBy(type_column).orderBy(row_id)
-        return rows.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= each).drop("_rn")
-    order = sort_keys(rows, row_id)
-    keep = F.lit(False)
-    for t in types:
-        here = F.col(type_column) == t
-        last = row_at_rank(rows.filter(here), order, [each - 1])[each - 1]
-        keep = keep | (here if last is None else here & not_after(order, last))
-    return rows.filter(keep)
+    order = Window.partitionBy(type_column).orderBy(F.col(row_id).asc_nulls_last())
+    rows = df.filter(F.col(type_column).isin(*types)).withColumn("_rn", F.row_number().over(order))
+    return rows.filter(F.col("_rn") <= max_records // 4).drop("_rn")
 
 
 def to_nanomolar(value: Column, unit: Column) -> Column:
@@ -93,20 +82,26 @@ def with_activity(df: DataFrame, value: str = "value", unit: str = "units") -> D
 
 
 def multi_target(df: DataFrame, molecule: str, target: str, value: str, strategy: str = "separate", targets: list | None = None) -> DataFrame:
-    """Several targets per molecule: a row per target, one average, or a column each."""
+    """Several targets per molecule: a row per target, one average, or all side by side.
+
+    ``multi_task`` gives a column per name in ``targets``; without names it
+    gives one map column ``targets`` from target to mean, whatever their number.
+    """
     if strategy == "separate":
         return df.groupBy(molecule, target).agg(F.avg(value).alias("mean_value"), F.count(value).alias("measurements"))
     if strategy == "average":
         return df.groupBy(molecule).agg(F.avg(value).alias("mean_value"), F.count(value).alias("measurements"))
     if strategy == "multi_task":
-        # Known targets become plain conditional averages in a single pass.
         if targets is None:
-            targets = [r[0] for r in df.select(target).distinct().orderBy(target).limit(10_000).collect()]
+            means = df.filter(F.col(target).isNotNull()).groupBy(molecule, target).agg(F.avg(value).alias("_mean"))
+            pairs = F.array_sort(F.collect_list(F.struct(F.col(target).alias("key"), F.col("_mean").alias("value"))))
+            return means.groupBy(molecule).agg(F.map_from_entries(pairs).alias("targets"))
+        # Known targets become plain conditional averages in a single pass.
         return df.groupBy(molecule).agg(*[F.avg(F.when(F.col(target) == t, F.col(value))).alias(str(t)) for t in targets])
     raise ValueError(f"unknown strategy: {strategy}")
 
 
-def assay_summary(df: DataFrame, marks: tuple[str, ...] = ("NR-", "SR-"), first: int | None = 10, top: int | None = None) -> DataFrame:
+def assay_summary(df: DataFrame, marks: tuple[str, ...] = ("NR-", "SR-"), first: int | None = None, top: int | None = None) -> DataFrame:
     """Per assay column: tested, active, inactive, rate and coverage in percent.
 
     One aggregate over the wide table, then one row per assay; the table is

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 
 import pandas as pd
@@ -168,9 +170,9 @@ def feature_importance(df: DataFrame, target: str, columns: list[str] | None = N
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of all column pairs, pairwise complete, long form.
 
-    One pass over the table; a constant column gives null.  A few pairs are
-    plain aggregates side by side; many pairs are dealt to groups instead, as
-    one aggregate with hundreds of parts outgrows compiled code.
+    A constant column gives null.  Pairs are aggregated side by side, 24 to a
+    scan of the columns they name, so that each aggregate stays within compiled
+    code; no row is copied per pair.
     """
     names = columns or numeric_columns(df)
     if len(names) < 2:
@@ -182,14 +184,12 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         # F.corr raises on a constant column under ANSI rules.
         return F.regr_sxy(x, y) / F.sqrt(F.nullif(F.regr_sxx(x, y) * F.regr_syy(x, y), F.lit(0.0)))
 
-    if len(pairs) <= 12:
-        wide = rows.agg(*[coefficient(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in pairs])
-        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in pairs]
-        found = wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    else:
-        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for i, j in pairs]
-        dealt = rows.select(F.explode(F.array(*cells)).alias("c"))
-        found = dealt.groupBy("c.i", "c.j").agg(coefficient(F.col("c.x"), F.col("c.y")).alias("r"))
+    def together(part: list[tuple[int, int]]) -> DataFrame:
+        wide = rows.agg(*[coefficient(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in part])
+        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in part]
+        return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+    found = reduce(DataFrame.unionAll, [together(pairs[k : k + 24]) for k in range(0, len(pairs), 24)])
     spread = rows.agg(*[F.var_pop(f"x{i}").alias(f"s{i}") for i in range(len(names))])
     own = [F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(F.col(f"s{i}") > 0, 1.0).alias("r")) for i in range(len(names))]
     diagonal = spread.select(F.explode(F.array(*own)).alias("c")).select("c.*")

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ordering import prefix_sums
 
@@ -104,6 +104,8 @@ class ForestModel:
         return df.withColumns({f"_f{i}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for i, c in enumerate(self.features)})
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> "ForestModel":
+        if set(features) & {"_features", "label"}:
+            raise ValueError("feature names _features and label are taken")
         self.features = list(features)
         assembler = VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_features")
         rows = self._ready(df.filter(F.col(target).isNotNull())).withColumn("label", F.col(target).cast("double"))
@@ -124,3 +126,24 @@ class ForestModel:
         weights = self._fitted().stages[-1].featureImportances.toArray().tolist()
         table = spark.createDataFrame(list(zip(self.features, weights)), "feature string, importance double")
         return table.orderBy(F.desc("importance"), "feature")
+
+    def evaluate(self, df: DataFrame, target: str) -> DataFrame:
+        """Metrics of the predictions on labelled rows, such as a validation part."""
+        scored = self.predict(df.filter(F.col(target).isNotNull()))
+        if self.task == "regression":
+            return regression_metrics(scored, target, "prediction")
+        return classification_metrics(scored.withColumn("prediction", F.col("prediction").cast("int")), target, "prediction")
+
+    def save(self, path: str) -> None:
+        """Write the fitted forest and its feature names below ``path``."""
+        self._fitted().write().overwrite().save(f"{path}/forest")
+        names = SparkSession.active().createDataFrame([(i, c, self.task) for i, c in enumerate(self.features)], "place int, feature string, task string")
+        names.write.mode("overwrite").parquet(f"{path}/features")
+
+    @classmethod
+    def load(cls, path: str) -> "ForestModel":
+        """The forest that ``save`` wrote."""
+        names = SparkSession.active().read.parquet(f"{path}/features").orderBy("place").collect()
+        model = cls(names[0]["task"])
+        model.features, model.model = [r["feature"] for r in names], PipelineModel.load(f"{path}/forest")
+        return model

@@ -221,42 +221,18 @@ def profile(df: DataFrame, key: str = "smiles", outliers: bool = True) -> DataFr
 
 
 def report(df: DataFrame, key: str = "smiles") -> str:
-    """Text report in a fixed section order, rendered from the small profile."""
+    """The profile as text: a block per section, a line per column or measure."""
     facts = _facts(df, key).collect()  # a few rows per column
     small = df.sparkSession.createDataFrame(facts, "section string, column_name string, metric string, value double")
-    value = {(r["section"], r["column_name"], r["metric"]): r["value"] for r in facts}
-    score = score_of(small).first()["quality_score"]
-    advice = [r["recommendation"] for r in advice_from(small, df.columns).orderBy("position").collect()]
-
-    def heading(title: str, width: int) -> list[str]:
-        return [title, "-" * width]
-
-    lines = ["=" * 60, "MOLECULAR DATASET QUALITY REPORT", "=" * 60, ""]
-    lines += heading("DATASET OVERVIEW", 20)
-    lines += [
-        f"Total records: {int(value[('dataset', None, 'records')]):,}",
-        f"Total columns: {len(df.columns)}",
-        f"Overall quality score: {score:.1f}/100",
-        "",
-    ]
-    lines += heading("MISSING DATA SUMMARY", 20)
-    for c in df.columns:
-        count = int(value[("missing", c, "missing_count")])
-        if count:
-            lines.append(f"{c}: {count} missing ({value[('missing', c, 'missing_pct')]:.1f}%)")
-    lines.append("")
-    if key in df.columns:
-        lines += heading("SMILES QUALITY", 15)
-        for label, metric in (("Total", "total_keys"), ("Valid", "valid_keys"), ("Invalid", "invalid_keys")):
-            lines.append(f"{label} SMILES: {int(value[('keys', key, metric)]):,}")
-        lines += [f"Validity rate: {value[('keys', key, 'validity_rate')]:.1f}%", ""]
-        lines += heading("DUPLICATE ANALYSIS", 18)
-        lines += [
-            f"Duplicate rows: {int(value[('duplicates', key, 'duplicate_rows')]):,}",
-            f"Duplicate SMILES: {int(value[('duplicates', key, 'duplicate_keys')]):,}",
-            "",
-        ]
-    if advice:
-        lines += heading("RECOMMENDATIONS", 15) + [f"{i}. {a}" for i, a in enumerate(advice, 1)] + [""]
-    lines += heading("COLUMN DATA TYPES", 17) + [f"{c}: {t}" for c, t in df.dtypes]
-    return "\n".join(lines)
+    lines = [f"quality score {score_of(small).first()['quality_score']:.1f} of 100"]
+    shown = None
+    for r in facts:
+        if r["section"] != shown:
+            shown = r["section"]
+            lines.append(f"[{shown}]")
+        name = f"{r['column_name']}." if r["column_name"] else ""
+        lines.append(f"  {name}{r['metric']} = {r['value']:,.10g}" if r["value"] is not None else f"  {name}{r['metric']} = none")
+    lines.append("[types]")
+    lines += [f"  {c} = {t}" for c, t in df.dtypes]
+    advice = advice_from(small, df.columns).orderBy("position").collect()
+    return "\n".join(lines + ["[advice]"] * bool(advice) + [f"  {a['recommendation']}" for a in advice])

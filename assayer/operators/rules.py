@@ -10,12 +10,7 @@ from pyspark.sql.types import NumericType
 
 from .ordering import not_after, row_at_rank, sort_keys
 
-# Property names, and the other names they go by.
-DESCRIPTORS = (
-    "molecular_weight", "logp", "tpsa", "num_rotatable_bonds", "num_hbd", "num_hba", "num_aromatic_rings",
-    "num_heavy_atoms", "num_rings", "num_saturated_rings", "num_aliphatic_rings", "molar_refractivity",
-    "balaban_j", "bertz_ct",
-)
+# The other names that properties go by.
 ALIASES = {
     "mw": "molecular_weight",
     "hbd": "num_hbd",
@@ -36,6 +31,7 @@ DRUG_LIKE_RANGES = {
     "tpsa": {"max": 140},
 }
 RULE_OF_FIVE = {"molecular_weight": 500, "logp": 5, "num_hbd": 5, "num_hba": 10}
+VEBER = {"num_rotatable_bonds": 10, "tpsa": 140}
 
 # Fixed values: (low below, high above) per property, and the score bands.
 PROPERTY_BANDS = {"molecular_weight": (150, 500), "logp": (0, 3), "tpsa": (20, 130)}
@@ -115,6 +111,25 @@ def rule_violations(df: DataFrame, limits: dict[str, float] = RULE_OF_FIVE, allo
     return out.withColumn("violations", broken).withColumn("rule_pass", F.col("violations") <= allowed)
 
 
+def veber_pass(df: DataFrame) -> Column:
+    """At most 10 rotatable bonds and a polar surface of at most 140; a missing value counts as 0."""
+    value = lambda n: F.coalesce(F.col(c), F.lit(0)) if (c := column_for(df, n)) else F.lit(0)
+    return (value("num_rotatable_bonds") <= VEBER["num_rotatable_bonds"]) & (value("tpsa") <= VEBER["tpsa"])
+
+
+def drug_likeness(df: DataFrame) -> DataFrame:
+    """Add ``violations``, ``rule_pass``, ``veber_pass``, ``drug_like_score`` and ``alerts``.
+
+    The score is the share of the rule-of-five limits and of Veber's that hold;
+    the alerts name the limits that are broken.
+    """
+    out = rule_violations(df).withColumn("veber_pass", veber_pass(df))
+    flags = [f"{n}_ok" for n in RULE_OF_FIVE]
+    held = reduce(lambda a, b: a + b, [F.col(f).cast("int") for f in (*flags, "veber_pass")])
+    broken = F.array(*[F.when(~F.col(f), F.lit(f.removesuffix("_ok").removesuffix("_pass"))) for f in (*flags, "veber_pass")])
+    return out.withColumns({"drug_like_score": held / F.lit(len(flags) + 1.0), "alerts": F.array_compact(broken)})
+
+
 def band(value: Column, low: float, high: float) -> Column:
     """``low`` / ``ok`` / ``high``; the limits themselves are ok."""
     return F.when(value < low, "low").when(value > high, "high").when(value.isNotNull(), "ok")
@@ -152,23 +167,26 @@ def feature_matrix(df: DataFrame, essentials: tuple[str, ...] = ("smiles", "cano
     return df.select(*first, *numeric)
 
 
-def page(df: DataFrame, key: str, number: int = 1, size: int = 20) -> DataFrame:
+def page(df: DataFrame, key: str, number: int = 1, size: int = 20, largest: int = 100) -> DataFrame:
     """One page of the table ordered by a unique key, with the paging facts.
 
     The start of the page is sought by rank, so a deep page costs narrow scans
-    of the key and one page of rows, not a sort of everything before it.
+    of the key and one page of rows, not a sort of everything before it.  Rows
+    with a null key come first, as Spark sorts them.  ``largest`` bounds the
+    rows that a request may ask for.
     """
-    if number < 1 or not 1 <= size <= 100:
-        raise ValueError("page numbers start at 1 and pages hold 1 to 100 rows")
-    total = df.count()
-    offset = (number - 1) * size
+    if number < 1 or not 1 <= size <= largest:
+        raise ValueError(f"page numbers start at 1 and pages hold 1 to {largest} rows")
+    total, present = df.agg(F.count(F.lit(1)), F.count(key)).first()
+    offset, nulls = (number - 1) * size, total - present
     pages = -(-total // size)
-    if offset == 0:
-        rows = df
+    if offset <= nulls:
+        rows = df.orderBy(key).offset(offset) if offset else df
     elif offset < total:
-        order = sort_keys(df, key)
-        start = row_at_rank(df, order, [offset - 1], total)[offset - 1]
-        rows = df.filter(~not_after(order, start))
+        keyed = df.filter(F.col(key).isNotNull())
+        order = sort_keys(keyed, key)
+        start = row_at_rank(keyed, order, [offset - nulls - 1], present)[offset - nulls - 1]
+        rows = keyed.filter(~not_after(order, start))
     else:
         rows = df.filter(F.lit(False))
     return rows.orderBy(key).limit(size).withColumns(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import check_metric, score_from_counts, set_score
-from ..session import broadcast_if_small, stage
+from ..session import stage
 from .rules import column_for
 
 
@@ -29,18 +29,20 @@ def search(
     query: list[int],
     metric: str = "tanimoto",
     threshold: float = 0.0,
-    top_k: int = 10,
+    top_k: int | None = None,
     valid: str | None = None,
 ) -> DataFrame:
-    """The ``top_k`` targets nearest to one query, ranked.
+    """Targets ranked by their likeness to one query: all, or the ``top_k`` nearest.
 
-    The query's few bits are a literal, so this is one map-only scan whose
-    tasks each keep ``top_k`` rows.  Invalid targets score 0 with an error.
+    The query's few bits are a literal, so this is one map-only scan.  With
+    ``top_k`` its tasks each keep that many rows; without, ranks come from a
+    distributed sort (``ordering`` of the sorted parts), as many rows as targets
+    at or above the threshold.  Invalid targets score 0 with an error.
     The threshold applies only above 0.  Counts of all comparisons and of the
     rows kept come along as columns.
     """
-    if not 1 <= top_k <= 100:
-        raise ValueError("top_k must be between 1 and 100")
+    if top_k is not None and top_k < 1:
+        raise ValueError("top_k must be 1 or more")
     check_metric(metric)
     ok = F.col(valid) if valid else F.lit(True)
     literal = F.array(*[F.lit(int(b)) for b in query]).cast(targets.schema[bits].dataType)
@@ -50,24 +52,43 @@ def search(
         value.alias("similarity_score"),
         F.when(~ok, "Invalid target structure").alias("error"),
     )
-    best = scored.orderBy(F.desc("similarity_score"), target_id).limit(top_k)
-    if threshold > 0:
-        # The same rows as filtering first; here it cannot be pushed below the
-        # score, which would then be worked out twice.
-        best = best.filter(F.col("similarity_score") >= threshold)
     total = targets.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = Window.orderBy(F.desc("similarity_score"), target_id)  # at most top_k rows
-    return best.select(
-        F.row_number().over(ranked).alias("rank"),
-        target_id,
-        "similarity_score",
-        F.lit(metric).alias("metric"),
-        "error",
-        total.alias("total_comparisons"),
-        F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("above_threshold"),
+    if top_k is None:
+        best = scored.filter(F.col("similarity_score") >= threshold) if threshold > 0 else scored
+        place, kept = _all_ranks(best, target_id)
+    else:
+        best = scored.orderBy(F.desc("similarity_score"), target_id).limit(top_k)
+        if threshold > 0:
+            # The same rows as filtering first; here it cannot be pushed below the
+            # score, which would then be worked out twice.
+            best = best.filter(F.col("similarity_score") >= threshold)
+        place = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity_score"), target_id)))  # at most top_k rows
+        kept = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    return place.select(
+        "rank", target_id, "similarity_score", F.lit(metric).alias("metric"), "error", total.alias("total_comparisons"), kept.alias("above_threshold")
     )
 
 
+def _all_ranks(scored: DataFrame, target_id: str) -> tuple[DataFrame, Column]:
+    """Every row with its rank by (score descending, id), and the number of rows.
+
+    Scores are cut into 10,000 steps; a step begins where the counts of the
+    higher steps end, and rows are ranked inside (step, score) alone.
+    """
+    rows = stage(scored.withColumn("_step", F.floor(F.col("similarity_score") * 10_000)), "scores")
+    sizes = rows.groupBy("_step", "similarity_score").agg(F.count(F.lit(1)).alias("_n"))
+    steps = sizes.groupBy("_step").agg(F.sum("_n").alias("_all"))
+    above = Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)  # at most 10,001 rows
+    first = steps.select("_step", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_first"))
+    inside = Window.partitionBy("_step").orderBy(F.desc("similarity_score")).rowsBetween(Window.unboundedPreceding, -1)
+    start = sizes.join(first, "_step").select(
+        "similarity_score", (F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start")
+    )
+    own = Window.partitionBy("similarity_score").orderBy(target_id)
+    ranked = rows.join(start, "similarity_score").withColumn("rank", (F.col("_start") + F.row_number().over(own)).cast("int"))
+    return ranked, rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
 def _least_share(metric: str, threshold: float) -> float:
     """Share of a set's own bits that any match at the threshold must contain."""
     name = check_metric(metric)
@@ -82,30 +103,30 @@ def search_many(
     bits: str,
     metric: str = "tanimoto",
     threshold: float = 0.3,
-    top_k: int = 10,
+    top_k: int | None = None,
 ) -> DataFrame:
-    """The ``top_k`` targets of every query at or above a threshold; exact.
+    """Targets of every query at or above a threshold, all or ``top_k`` each; exact.
 
     A match must share ``ceil(s * |q|)`` bits with query q, so it holds at
     least one of any ``|q| - ceil(s * |q|) + 1`` of q's bits.  The rarest of
     q's bits are taken for that; targets without one of them never meet q.
-    Query tables are small and broadcast after a size check, so targets are
-    not shuffled to find candidates.  Candidates are then scored in full.
+    Candidates are then scored in full.  The tokens of both sides are made once
+    and staged; Spark picks the joins by their sizes and splits hot bits.
 
     Both tables hold (id, bits); stage them when the bits are costly.
     """
     if not 0 < threshold <= 1:
         raise ValueError("search_many needs a threshold above 0 and up to 1")
-    if not 1 <= top_k <= 100:
-        raise ValueError("top_k must be between 1 and 100")
+    if top_k is not None and top_k < 1:
+        raise ValueError("top_k must be 1 or more")
     share = _least_share(metric, threshold)
     q = queries.select(F.col(query_id).alias("q"), F.col(bits).alias("q_bits")).filter(F.size("q_bits") > 0)
     t = targets.select(F.col(target_id).alias("t"), F.col(bits).alias("t_bits"))
     q_tokens = q.select("q", F.size("q_bits").alias("q_size"), F.explode("q_bits").alias("bit"))
+    q_tokens = stage(q_tokens, "query-tokens")
     t_tokens = t.select("t", F.size("t_bits").alias("t_size"), F.explode("t_bits").alias("bit"))
-
-    wanted = broadcast_if_small(q_tokens.select("bit").distinct())
-    frequency = t_tokens.join(wanted, "bit", "left_semi").groupBy("bit").agg(F.count(F.lit(1)).alias("freq"))
+    t_tokens = stage(t_tokens.join(q_tokens.select("bit").distinct(), "bit", "left_semi"), "tokens")
+    frequency = t_tokens.groupBy("bit").agg(F.count(F.lit(1)).alias("freq"))
     # The -1e-9 guards against rounding up past a whole number: a longer
     # prefix is always safe.
     needed = F.ceil(F.col("q_size") * share - 1e-9)
@@ -117,11 +138,9 @@ def search_many(
         .filter((F.col("place") <= F.col("q_size") - needed + 1) & (F.col("freq") > 0))
         .select("bit", "q", "q_size")
     )
-    # Staged as its size decides the join, and again as the joins read it.
-    index = broadcast_if_small(stage(prefix, "prefix"))
     lengths_fit = (F.col("t_size") >= F.col("q_size") * share - 1e-9) & (F.col("t_size") * share <= F.col("q_size") + 1e-9)
-    candidates = stage(t_tokens.join(index, "bit").filter(lengths_fit).select("q", "t").distinct(), "candidates")
-    pairs = t.join(broadcast_if_small(candidates), "t").join(broadcast_if_small(q, 200_000), "q")
+    candidates = t_tokens.join(prefix, "bit").filter(lengths_fit).select("q", "t").distinct()
+    pairs = candidates.join(t, "t").join(q, "q")
     # The threshold is applied after the ranking, with the same outcome: a
     # filter here would be pushed into the join and work out the score twice.
     sized = pairs.withColumn("common", F.size(F.array_intersect("q_bits", "t_bits")))
@@ -129,7 +148,7 @@ def search_many(
     best = Window.partitionBy("q").orderBy(F.desc("similarity_score"), "t")
     return (
         sized.select("q", "t", score.alias("similarity_score"))
-        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_k)
+        .withColumn("rank", F.row_number().over(best)).filter(F.lit(True) if top_k is None else F.col("rank") <= top_k)
         .filter(F.col("similarity_score") >= threshold)
         .select(F.col("q").alias(query_id), "rank", F.col("t").alias(f"match_{target_id}"), "similarity_score")
     )

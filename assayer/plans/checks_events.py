@@ -66,11 +66,46 @@ def usage_metrics_stream(spark, folder):
 @query(
     "overall_usage",
     """SELECT count(*) AS total_requests, count(*) FILTER (WHERE event_type <> 'error') AS successful_requests, count(*) FILTER (WHERE event_type = 'error') AS failed_requests,
-        round(100.0e0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate FROM events""",
+        round(100.0e0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_rate, round(avg(value), 6) AS average_response_time FROM events""",
 )
 def overall_usage(spark, folder):
     per_endpoint = usage.usage_metrics(_requests(read(spark, folder, "events")), "event_type", duration="value", window=None)
-    return rounded(usage.overall_usage(per_endpoint), error_rate=6)
+    return rounded(usage.overall_usage(per_endpoint), error_rate=6, average_response_time=6)
+
+
+@query(
+    "usage_by_method_and_path",
+    f"""SELECT event_type, user_id % 5 AS path, {_COUNTS} FROM events GROUP BY ALL""",
+)
+def usage_by_method_and_path(spark, folder):
+    """Two key columns, without windows."""
+    requests = _requests(read(spark, folder, "events")).withColumn("path", F.col("user_id") % 5)
+    out = usage.usage_metrics(requests, ["event_type", "path"], duration="value", window=None)
+    return rounded(out.drop("last_request"), average_response_time=9)
+
+
+QUOTAS_STREAM_SQL = f"""SELECT user_id, strftime(date_trunc('minute', ts), {_STAMP}) AS window_start, count(*) AS used FROM events GROUP BY ALL"""
+
+
+@query("quotas_stream", QUOTAS_STREAM_SQL)
+def quotas_stream(spark, folder):
+    """Quotas as a stream with a watermark."""
+    seen = _run(usage.quotas(_as_stream(spark, folder, "events"), limit=2), spark, "quotas")
+    newest = seen.groupBy("user_id", "window_start").agg(F.max_by("used", "batch").alias("used"))
+    return newest.withColumn("window_start", stamp("window_start"))
+
+
+@query(
+    "latest_turns_stream",
+    """SELECT conv_id, arg_max(role, turn) AS status, max(turn) AS processed FROM conversations GROUP BY conv_id""",
+)
+def latest_turns_stream(spark, folder):
+    """The latest state per key as a stream in update mode."""
+    turns = _as_stream(spark, folder, "conversations").selectExpr("conv_id", "CASE role WHEN 'user' THEN 'running' WHEN 'assistant' THEN 'completed' ELSE 'pending' END AS status", "turn AS done", "turn AS total", "turn AS ts")
+    names = F.create_map(*[F.lit(x) for x in ("running", "user", "completed", "assistant", "pending", "system")])
+    seen = _run(usage.job_status(turns, "conv_id"), spark, "turns")
+    newest = seen.groupBy("conv_id").agg(F.max_by(F.struct("status", "processed"), "batch").alias("s"))
+    return newest.select("conv_id", names[F.col("s.status")].alias("status"), F.col("s.processed").alias("processed"))
 
 
 @query(
@@ -117,10 +152,10 @@ def latest_turns(spark, folder):
 
 @query(
     "cache_misses",
-    """WITH RECURSIVE s AS (SELECT user_id AS k, CAST(floor(epoch(ts)) AS BIGINT) AS sec, min(event_id) AS id FROM events GROUP BY ALL),
-        kept AS (SELECT k, min(sec) AS sec FROM s GROUP BY k
-            UNION ALL SELECT n.k, n.sec FROM (SELECT s.k, min(s.sec) AS sec FROM kept JOIN s ON s.k = kept.k AND s.sec >= kept.sec + 86400 GROUP BY s.k, kept.sec) n)
-        SELECT k AS user_id, id AS event_id, sec AS cached_at FROM s JOIN kept USING (k, sec)""",
+    """WITH RECURSIVE s AS (SELECT user_id AS k, epoch_us(ts) AS us, min(event_id) AS id FROM events GROUP BY ALL),
+        kept AS (SELECT k, min(us) AS us FROM s GROUP BY k
+            UNION ALL SELECT n.k, n.us FROM (SELECT s.k, min(s.us) AS us FROM kept JOIN s ON s.k = kept.k AND s.us >= kept.us + 86400000000 GROUP BY s.k, kept.us) n)
+        SELECT k AS user_id, id AS event_id, us AS cached_at FROM s JOIN kept USING (k, us)""",
 )
 def cache_misses(spark, folder):
     """A result kept for a day, per user."""
@@ -129,10 +164,10 @@ def cache_misses(spark, folder):
 
 @query(
     "cache_misses_hot_keys",
-    """WITH RECURSIVE s AS (SELECT event_type AS k, CAST(floor(epoch(ts)) AS BIGINT) AS sec, min(event_id) AS id FROM events GROUP BY ALL),
-        kept AS (SELECT k, min(sec) AS sec FROM s GROUP BY k
-            UNION ALL SELECT n.k, n.sec FROM (SELECT s.k, min(s.sec) AS sec FROM kept JOIN s ON s.k = kept.k AND s.sec >= kept.sec + 3600 GROUP BY s.k, kept.sec) n)
-        SELECT k AS event_type, id AS event_id, sec AS cached_at FROM s JOIN kept USING (k, sec)""",
+    """WITH RECURSIVE s AS (SELECT event_type AS k, epoch_us(ts) AS us, min(event_id) AS id FROM events GROUP BY ALL),
+        kept AS (SELECT k, min(us) AS us FROM s GROUP BY k
+            UNION ALL SELECT n.k, n.us FROM (SELECT s.k, min(s.us) AS us FROM kept JOIN s ON s.k = kept.k AND s.us >= kept.us + 3600000000 GROUP BY s.k, kept.us) n)
+        SELECT k AS event_type, id AS event_id, us AS cached_at FROM s JOIN kept USING (k, us)""",
 )
 def cache_misses_hot_keys(spark, folder):
     """Five keys hold all events."""
@@ -155,3 +190,23 @@ def ingest_files(spark, folder):
     return spark.read.parquet(status).groupBy("status").agg(
         F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("total_rows"), F.sum("valid_rows").alias("valid_rows"), F.sum("invalid_rows").alias("invalid_rows")
     )
+
+
+@query(
+    "ingest_bad_files",
+    f"""SELECT kind, status, files, total_rows, valid_rows FROM (
+        SELECT 'good' AS kind, 'completed' AS status, count(DISTINCT row_id % 2) AS files, count(*) AS total_rows, count(*) FILTER (WHERE reject_reason IS NULL) AS valid_rows FROM ({VALID_SQL}) WHERE row_id % 4 < 2
+        UNION ALL SELECT 'nokey', 'failed', count(DISTINCT row_id % 4), 0, 0 FROM ({VALID_SQL}) WHERE row_id % 4 = 2
+        UNION ALL SELECT 'suffix', 'failed', count(DISTINCT row_id % 4), 0, 0 FROM ({VALID_SQL}) WHERE row_id % 4 = 3)""",
+)
+def ingest_bad_files(spark, folder):
+    """Files without the key column and with a wrong suffix are marked, the others taken."""
+    incoming = scratch(spark, "incoming")
+    rows = compounds(spark, folder).select("row_id", F.when(F.trim("smiles") != "", F.col("smiles")).alias("smiles"))
+    for part, (kind, name) in enumerate([("good", "smiles"), ("good", "smiles"), ("nokey", "structure")]):
+        rows.filter(F.col("row_id") % 4 == part).withColumnRenamed("smiles", name).coalesce(1).write.option("header", True).csv(f"{incoming}/{kind}{part}")
+    rows.filter("row_id % 4 = 3").select(F.coalesce("smiles", F.lit("-")).alias("value")).coalesce(1).write.text(f"{incoming}/suffix")
+    results, status = scratch(spark, "results"), scratch(spark, "status")
+    ingest.ingest_directory(spark, f"{incoming}/*", results, status, scratch(spark, "ingest-state")).awaitTermination()
+    seen = spark.read.parquet(status).withColumn("kind", F.regexp_extract("file", "/(good|nokey|suffix)[0-9]?/", 1))
+    return seen.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("files"), F.sum("total_rows").alias("total_rows"), F.sum("valid_rows").alias("valid_rows"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import molecules
 from ..operators import features, quality, rules
@@ -107,6 +109,19 @@ def page_by_name(spark, folder):
     return rules.page(rows, "c_name", number=12, size=10)
 
 
+@query(
+    "pages_cover_all_rows",
+    """SELECT CAST(ceil(place / 400.0e0) AS INT) AS page, count(*) AS row_count, CAST(sum(k) AS BIGINT) AS key_sum FROM (
+        SELECT k, row_number() OVER (ORDER BY k NULLS FIRST) AS place FROM (SELECT nullif(c_custkey, 77) AS k FROM customer)) GROUP BY 1""",
+)
+def pages_cover_all_rows(spark, folder):
+    """All pages of a table with a missing key, counted."""
+    rows = read(spark, folder, "customer").selectExpr("nullif(c_custkey, 77) AS k")
+    number = -(-rows.count() // 400)
+    pages = [rules.page(rows, "k", n, 400, largest=400).select(F.lit(n).alias("page"), "k") for n in range(1, number + 1)]
+    return reduce(DataFrame.unionAll, pages).groupBy("page").agg(F.count(F.lit(1)).alias("row_count"), F.sum("k").alias("key_sum"))
+
+
 # --- features ---------------------------------------------------------------------
 
 
@@ -162,7 +177,7 @@ def structure_fingerprints(spark, folder):
     f"""SELECT id AS doc_id, len(bits) AS n_set, md5(array_to_string(bits, ',')) AS bits_md5 FROM ({fingerprint_sql("documents", "doc_id", "text", WORDS_SQL)})""",
 )
 def text_fingerprints(spark, folder):
-    out = features.with_fingerprint(read(spark, folder, "documents", costly=True), "text", n_bits=None, tokens=features.WORDS)
+    out = features.with_fingerprint(read(spark, folder, "documents"), "text", n_bits=None, tokens=features.WORDS)
     return out.select("doc_id", F.size("fingerprint").cast("bigint").alias("n_set"), F.md5(F.array_join("fingerprint", ",")).alias("bits_md5"))
 
 
@@ -205,6 +220,19 @@ def feature_importance(spark, folder):
     return rounded(features.feature_importance(compounds(spark, folder).drop("row_id"), "target"), importance=6)
 
 
+_WIDE = {f"c{i}": f"l_quantity % {i + 3} + l_tax * {i}" for i in range(6)} | {"c6": "l_discount", "c7": "l_extendedprice"}
+
+
+@query(
+    "correlation_wide",
+    f"WITH l AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _WIDE.items())} FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM l" for a in _WIDE for b in _WIDE),
+)
+def correlation_wide(spark, folder):
+    """Eight columns, 28 pairs."""
+    return rounded(features.correlations(read(spark, folder, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _WIDE.items()])), corr=6)
+
+
 _PAIR_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "constant")
 _PAIRS_SQL = " UNION ALL ".join(
     f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(CASE WHEN isnan(r) THEN NULL ELSE r END, 6) AS corr FROM (SELECT corr({a}, {b}) AS r FROM l)"

@@ -62,6 +62,19 @@ def search_one(spark, folder):
     return rounded(found, similarity_score=6)
 
 
+@query(
+    "search_all",
+    f"""WITH e AS (SELECT vec_id, {_BITS} AS bits FROM embeddings), q AS (SELECT bits FROM e WHERE vec_id = 0),
+        s AS (SELECT vec_id, len(list_intersect(e.bits, q.bits)) / CAST(len(e.bits) + len(q.bits) - len(list_intersect(e.bits, q.bits)) AS DOUBLE) AS score FROM e CROSS JOIN q)
+        SELECT CAST(row_number() OVER (ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, round(score, 6) AS similarity_score, (SELECT count(*) FROM s) AS above_threshold FROM s""",
+)
+def search_all(spark, folder):
+    """Every vector ranked against one, none left out."""
+    signs = _signs(spark, folder)
+    asked = similarity.query_bits(signs.filter("vec_id = 0"), "bits")
+    return rounded(similarity.search(signs, "vec_id", "bits", asked).select("rank", "vec_id", "similarity_score", "above_threshold"), similarity_score=6)
+
+
 @query(
     "search_many",
     f"""WITH d AS ({fingerprint_sql("documents", "doc_id", "text", WORDS_SQL)}), b AS ({fingerprint_sql("benchmark", "item_id", "text", WORDS_SQL)}),
@@ -75,7 +88,7 @@ def search_many(spark, folder):
     """Every benchmark text against every document, the five nearest of each."""
 
     def bits(table, row_id):
-        made = features.with_fingerprint(read(spark, folder, table, costly=True), "text", "bits", n_bits=None, tokens=features.WORDS)
+        made = features.with_fingerprint(read(spark, folder, table), "text", "bits", n_bits=None, tokens=features.WORDS)
         return stage(made.select(row_id, "bits"), "bits")
 
     found = similarity.search_many(bits("benchmark", "item_id"), bits("documents", "doc_id"), "item_id", "doc_id", "bits", threshold=0.15, top_k=5)
@@ -178,11 +191,22 @@ def _labelled(spark, folder):
     return described.join(read(spark, folder, "labels"), "doc_id")
 
 
-@query("forest_predictions")
+@query("forest_predictions", "SELECT doc_id, true AS is_class FROM documents")
 def forest_predictions(spark, folder):
-    rows = _labelled(spark, folder)
-    model = models.ForestModel("classification", trees=20, depth=5).fit(rows, _FOREST_FEATURES, "quality")
-    return model.predict(rows).select("doc_id", "quality", "prediction")
+    """Fitted on the labelled documents, applied to all; each gets one of the classes."""
+    described = features.with_token_counts(read(spark, folder, "documents"), "text").drop("text")
+    model = models.ForestModel("classification", trees=20, depth=5).fit(_labelled(spark, folder), _FOREST_FEATURES, "quality")
+    return model.predict(described).select("doc_id", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
+
+
+@query(
+    "forest_importance_sum",
+    f"SELECT CAST({len(_FOREST_FEATURES)} AS BIGINT) AS features, CASE WHEN count(*) > 0 THEN 1.0e0 END AS total FROM labels JOIN documents USING (doc_id)",
+)
+def forest_importance_sum(spark, folder):
+    """Importances are shares of one."""
+    found = forest_importances(spark, folder)
+    return found.agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query("forest_importances")

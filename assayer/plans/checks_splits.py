@@ -115,11 +115,22 @@ def split_statistics(spark, folder):
     return rounded(splits.split_statistics(parted, "o_orderstatus"), split_ratio=6)
 
 
-@query(
-    "validate_split",
-    """SELECT false AS size_preserved, false AS no_train_val_overlap, true AS no_train_test_overlap, true AS no_val_test_overlap,
-        true AS all_rows_covered, false AS valid_split WHERE (SELECT count(*) FROM orders WHERE o_orderkey % 10 = 0) > 0""",
-)
+def _checks_sql(parted: str) -> str:
+    """The checks, computed from a split table (o_orderkey, split)."""
+
+    def apart(a: str, b: str) -> str:
+        return f"(SELECT count(*) = 0 FROM p x JOIN p y USING (o_orderkey) WHERE x.split = '{a}' AND y.split = '{b}')"
+
+    return f"""WITH p AS ({parted}), c AS (SELECT (SELECT count(*) FROM p) = (SELECT count(*) FROM orders) AS size_preserved, {apart("train", "val")} AS no_train_val_overlap,
+        {apart("train", "test")} AS no_train_test_overlap, {apart("val", "test")} AS no_val_test_overlap, (SELECT count(*) = 0 FROM orders ANTI JOIN p USING (o_orderkey)) AS all_rows_covered)
+        SELECT *, size_preserved AND no_train_val_overlap AND no_train_test_overlap AND no_val_test_overlap AND all_rows_covered AS valid_split FROM c"""
+
+
+_BY_KEY = """SELECT o_orderkey, CASE WHEN rn <= floor(n * 0.7e0) THEN 'train' WHEN rn <= floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn, count(*) OVER () AS n FROM orders)"""
+
+
+@query("validate_split", _checks_sql(f"{_BY_KEY} UNION ALL SELECT o_orderkey, 'val' FROM ({_BY_KEY}) WHERE split = 'train' AND o_orderkey % 10 = 0"))
 def validate_split(spark, folder):
     """A split with a planted fault: some train rows appear in val as well."""
     orders = read(spark, folder, "orders").select("o_orderkey")
@@ -128,27 +139,13 @@ def validate_split(spark, folder):
     return splits.validate_split(parted.unionByName(doubled), orders, "o_orderkey")
 
 
-@query("validate_good_split", "SELECT count(*) > 0 AS size_preserved, true AS no_train_val_overlap, true AS no_train_test_overlap, true AS no_val_test_overlap, true AS all_rows_covered, true AS valid_split FROM orders")
+@query("validate_good_split", _checks_sql(f"SELECT o_orderkey, split FROM ({_random_sql('orders', 'o_orderkey', 'o_orderkey', 'o_orderstatus')})"))
 def validate_good_split(spark, folder):
     orders = read(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     parted = splits.split_table(orders, "o_orderkey", "balanced", target="o_orderstatus")
     return splits.validate_split(parted, orders, "o_orderkey")
 
 
-_DOCUMENT_ROWS = """SELECT doc_id AS row_id, source AS grp, lang FROM (SELECT * FROM documents WHERE trim(text) <> ''
-    QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1) WHERE n_chars BETWEEN 100 AND 20000"""
-
-
-@query(
-    "document_split",
-    f"""SELECT split, lang, count(*) AS row_count, CAST(sum(count(*)) OVER (PARTITION BY split) AS BIGINT) AS split_size,
-        round(CAST(sum(count(*)) OVER (PARTITION BY split) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS split_ratio
-        FROM ({_group_sql(_DOCUMENT_ROWS, "lang")}) GROUP BY split, lang""",
-)
-def document_split_query(spark, folder):
-    return rounded(document_split(read(spark, folder, "documents")), split_ratio=6)
-
-
 # --- activity data -------------------------------------------------------------------
 
 
@@ -181,6 +178,17 @@ def cap_per_type_large(spark, folder):
     return _capped(spark, folder, 6000)
 
 
+@query(
+    "cap_per_type_ties",
+    """SELECT o_orderpriority, k FROM (SELECT o_orderpriority, nullif(o_custkey % 50, 7) AS k FROM orders) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW')
+        QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY k NULLS LAST) <= 1001""",
+)
+def cap_per_type_ties(spark, folder):
+    """Ids that many rows share, some of them missing."""
+    orders = read(spark, folder, "orders").selectExpr("o_orderpriority", "nullif(o_custkey % 50, 7) AS k")
+    return activity.cap_per_type(orders, "k", 4004, "o_orderpriority", ("1-URGENT", "2-HIGH", "5-LOW"))
+
+
 _NM = "value * CASE units WHEN 'nM' THEN 1.0e0 WHEN 'uM' THEN 1000.0e0 WHEN 'mM' THEN 1000000.0e0 END"
 
 
@@ -243,6 +251,35 @@ def targets_as_columns(spark, folder):
     return rounded(out, **{n: 4 for n in names})
 
 
+@query(
+    "targets_as_map",
+    f"""SELECT molecule_chembl_id, string_agg(target_chembl_id || '=' || coalesce(CAST(CAST(round(m * 100) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY target_chembl_id) AS targets
+        FROM (SELECT molecule_chembl_id, target_chembl_id, avg(standard_value) AS m FROM ({ACTIVITIES_SQL}) GROUP BY ALL) GROUP BY molecule_chembl_id""",
+)
+def targets_as_map(spark, folder):
+    """All targets of a compound without naming them."""
+    out = activity.multi_target(activities(spark, folder), "molecule_chembl_id", "target_chembl_id", "standard_value", "multi_task")
+    cells = F.transform(F.map_entries("targets"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.round(e["value"] * 100).cast("bigint").cast("string"), F.lit("-"))))
+    return out.select("molecule_chembl_id", F.array_join(cells, ",").alias("targets"))
+
+
+_MANY = {f"NR-{i:02d}": f"CASE WHEN doc_id % {i + 2} > 0 THEN CAST(doc_id % {i + 3} = 1 AS INT) END" for i in range(12)}
+
+
+@query(
+    "assay_summary_many",
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS assay, count(a) AS tested, count(*) FILTER (WHERE a = 1) AS active, count(*) FILTER (WHERE a = 0) AS inactive, round(100.0e0 * count(*) FILTER (WHERE a = 1) / count(a), 6) AS activity_rate,
+            round(100.0e0 * count(a) / count(*), 6) AS coverage FROM (SELECT {e} AS a FROM labels)"""
+        for n, e in _MANY.items()
+    ),
+)
+def assay_summary_many(spark, folder):
+    """Twelve assay columns."""
+    wide = read(spark, folder, "labels").selectExpr("doc_id", *[f"{e} AS `{n}`" for n, e in _MANY.items()])
+    return rounded(activity.assay_summary(wide), activity_rate=6, coverage=6)
+
+
 @query(
     "assay_summary",
     """WITH l AS (SELECT CASE WHEN doc_id % 5 > 0 THEN quality END AS a, toxic AS b FROM labels)

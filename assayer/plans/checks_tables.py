@@ -65,6 +65,19 @@ def sdf_scan(spark, folder):
     return readers.read_sdf(spark, path, ["FORMULA", "ID", "HBD"]).drop("molblock")
 
 
+@query(
+    "sdf_properties",
+    f"SELECT 'compound-' || row_id AS title, 'FORMULA=' || molecular_formula || ',HBD=' || num_hbd || ',ID=' || row_id AS props FROM ({COMPOUNDS_SQL})",
+)
+def sdf_properties(spark, folder):
+    """The same records, with all properties and no names given."""
+    path = scratch(spark, "records") + ".sdf"
+    record = F.format_string("compound-%d\n  made\n\n  0  0  0  0  0  0  0  0  0  0999 V2000\nM  END\n> <FORMULA>\n%s\n\n> <ID>\n%d\n\n>  <HBD>  (1)\n%d\n\n", "row_id", "molecular_formula", "row_id", "num_hbd")
+    compounds(spark, folder).select(record.alias("value")).write.option("lineSep", "$$$$\n").text(path)
+    cells = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return readers.read_sdf(spark, path).select("title", F.array_join(cells, ",").alias("props"))
+
+
 @query(
     "union_files",
     """SELECT source_file, count(*) AS records, round(sum(balance), 2) AS balance, count(segment) AS segments FROM (
@@ -270,7 +283,7 @@ def duplicate_counts(spark, folder):
 
 @query(
     "feature_table_unseen",
-    """SELECT sha256(text) AS content_key, CAST(min(length(text)) AS INT) AS text_length FROM documents WHERE lang <> 'en'
+    """SELECT sha256('value:' || text) AS content_key, CAST(min(length(text)) AS INT) AS text_length FROM documents WHERE lang <> 'en'
         AND text NOT IN (SELECT text FROM documents WHERE lang = 'en') GROUP BY text""",
 )
 def feature_table_unseen(spark, folder):
@@ -293,3 +306,17 @@ def feature_table_refresh(spark, folder):
     table = scratch(spark, "features")
     dedup.refresh_features(documents.filter("lang = 'en'"), ["text"], table, compute)
     return dedup.refresh_features(documents, ["text"], table, compute).select("doc_id", "source", "n_tokens", "token_weight")
+
+
+@query(
+    "feature_table_null_content",
+    """SELECT doc_id, CAST(coalesce(length(t), -1) AS INT) AS text_length FROM (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN text END AS t FROM documents)""",
+)
+def feature_table_null_content(spark, folder):
+    """A third of the rows has no text and shares one feature row."""
+    documents = read(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("text")).alias("t"))
+
+    def compute(df):
+        return df.select("content_key", "t", F.coalesce(F.length("t"), F.lit(-1)).alias("text_length"))
+
+    return dedup.refresh_features(documents, ["t"], scratch(spark, "features"), compute).select("doc_id", "text_length")

@@ -84,10 +84,11 @@ _LINE_REST = r"\A\n(?!(?:[^\n]*\n){2}[^\n]*V[23]000)"
 
 
 def read_sdf(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
-    """One row per SDF record: title, molecule block, properties as columns.
+    """One row per SDF record: title, molecule block, properties.
 
-    Pass ``properties`` to skip the pass that discovers the property names.
-    The structure block stays text.
+    Named ``properties`` become columns; without names all of them come as the
+    map column ``props``, with no pass to find out which there are.  The
+    structure block stays text.
     """
     text = (
         spark.read.option("lineSep", "$$$$").text(path)
@@ -107,8 +108,7 @@ def read_sdf(spark: SparkSession, path: str, properties: list[str] | None = None
         F.map_from_entries(first_seen).alias("props"),
     )
     if properties is None:
-        seen = records.select(F.explode(F.map_keys("props")).alias("name")).distinct().orderBy("name")
-        properties = [r["name"] for r in seen.limit(10_000).collect()]
+        return records
     taken = {"title", "molblock"}
     columns = [F.col("props")[p].alias(p if p not in taken else f"{p}_") for p in properties]
     return records.select("title", "molblock", *columns)

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Quota per minute, cache lifetime, job states.
 QUOTA_PER_MINUTE = 100
@@ -27,15 +27,19 @@ def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
 
 def usage_metrics(
     events: DataFrame,
-    endpoint: str = "endpoint",
+    endpoint: str | list[str] = "endpoint",
     ok: str = "ok",
     duration: str = "duration",
     ts: str = "ts",
     window: str | None = "1 hour",
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Requests, successes, failures, mean and longest time per endpoint and window."""
-    keys = ([F.window(ts, window).alias("w")] if window else []) + [F.col(endpoint)]
+    """Requests, successes, failures, mean and longest time per endpoint and window.
+
+    ``endpoint`` may be several columns, such as method and path.
+    """
+    names = [endpoint] if isinstance(endpoint, str) else list(endpoint)
+    keys = ([F.window(ts, window).alias("w")] if window else []) + [F.col(c) for c in names]
     out = _timed(events, ts, delay).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.count_if(F.col(ok)).alias("successful_requests"),
@@ -48,13 +52,15 @@ def usage_metrics(
 
 
 def overall_usage(per_endpoint: DataFrame) -> DataFrame:
-    """Totals and error rate in percent from the per-endpoint metrics."""
+    """Totals, error rate in percent and mean time from the per-endpoint metrics."""
     total, failed = F.sum("total_requests"), F.sum("failed_requests")
+    spent = F.sum(F.col("average_response_time") * F.col("total_requests"))
     return per_endpoint.agg(
         total.alias("total_requests"),
         F.sum("successful_requests").alias("successful_requests"),
         failed.alias("failed_requests"),
         F.coalesce(100.0 * failed / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("error_rate"),
+        (spent / F.nullif(total, F.lit(0))).alias("average_response_time"),
     )
 
 
@@ -117,31 +123,45 @@ def first_within_ttl(events: DataFrame, key: str, ts: str = "ts", ttl_seconds: i
 def cache_misses(events: DataFrame, key: str, row_id: str, ts: str = "ts", ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Sightings that find no cached result: no kept sighting within the TTL before.
 
-    Times count in whole seconds.  Only the first sighting of a key in each
-    second can matter, so events are first reduced to that, in every map task;
-    what is left of one key is bounded by the seconds covered and not by its
-    events.  The rest is walked in time order, a batch at a time.
+    Exact to the microsecond; of sightings at one instant the smallest id counts.
+    ``cached_at`` is in microseconds.  A key's sightings are cut into blocks
+    wherever none came for a whole TTL, as nothing is cached after that; the cuts
+    are found on the first and last sighting per key and TTL.  Blocks are walked
+    in time order, a batch of rows at a time, each in one task.  Without such a
+    gap every decision hangs on the one before it.
     """
-    second = F.unix_seconds(F.date_trunc("second", F.col(ts)).cast("timestamp"))
-    firsts = events.groupBy(F.col(key).alias("k"), second.alias("at")).agg(F.min(row_id).alias("first_id"))
-    # Partitions hold whole keys, sorted, and are read in batches.
-    ordered = firsts.repartition("k").sortWithinPartitions("k", "at")
+    ttl = ttl_seconds * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    firsts = events.groupBy(F.col(key).alias("k"), at.alias("at")).agg(F.min(row_id).alias("first_id"))
+    firsts = firsts.withColumn("bin", F.floor(F.col("at") / ttl))
+    edges = firsts.groupBy("k", "bin").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    before = Window.partitionBy("k").orderBy("bin")
+    gap = F.col("lo") - F.lag("hi").over(before)
+    cuts = edges.withColumn("new", F.when(gap < ttl, 0).otherwise(1)).select(
+        F.col("k").alias("k2"), F.col("bin").alias("bin2"), F.sum("new").over(before).alias("block")
+    )
+    placed = firsts.join(cuts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("bin") == F.col("bin2"))).select("k", "block", "at", "first_id")
+    ordered = placed.repartition("k", "block").sortWithinPartitions("k", "block", "at")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, kept = None, None
         for pdf in batches:
+            if not len(pdf):
+                continue
             at = pdf["at"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, pdf["k"].to_numpy()[1:] != pdf["k"].to_numpy()[:-1]]) if len(pdf) else []
+            group = pdf[["k", "block"]].ne(pdf[["k", "block"]].shift()).any(axis=1).to_numpy()
+            group &= ~(pdf["k"].isna() & pdf["k"].shift().isna() & (pdf["block"] == pdf["block"].shift())).to_numpy()
+            group[0] = True
+            starts = np.flatnonzero(group)
             chosen = []
-            for n, start in enumerate(starts):
-                end = starts[n + 1] if n + 1 < len(starts) else len(pdf)
-                k = pdf["k"].iloc[start]
-                if k != current:
-                    current, kept = k, None
+            for start, end in zip(starts, [*starts[1:], len(pdf)]):
+                name = (None if pd.isna(pdf["k"].iloc[start]) else pdf["k"].iloc[start], pdf["block"].iloc[start])
+                if name != current:
+                    current, kept = name, None
                 i = start
                 while i < end:
                     if kept is not None:  # jump to the first sighting after expiry
-                        i = start + int(np.searchsorted(at[start:end], kept + ttl_seconds))
+                        i = start + int(np.searchsorted(at[start:end], kept + ttl))
                         if i >= end:
                             break
                     chosen.append(i)

@@ -27,15 +27,22 @@ def test_cache_misses_match_a_loop(spark):
         expected, kept = set(), {}
         firsts = {}
         for i, ts, key, *_ in rows:
-            second = ts.replace(microsecond=0)
-            firsts[(key, second)] = min(i, firsts.get((key, second), i))
-        for (key, second), i in sorted(firsts.items()):
-            if key not in kept or (second - kept[key]).total_seconds() >= ttl:
-                kept[key] = second
+            firsts[(key, ts)] = min(i, firsts.get((key, ts), i))
+        for (key, ts), i in sorted(firsts.items()):
+            if key not in kept or ts - kept[key] >= timedelta(seconds=ttl):
+                kept[key] = ts
                 expected.add(i)
         assert found == expected
 
 
+def test_cache_misses_count_microseconds(spark):
+    times = [timedelta(seconds=0.9), timedelta(seconds=3600.1), timedelta(seconds=3600.9), timedelta(seconds=3600.95), timedelta(seconds=99_999)]
+    rows = [(9 - i, START + t, key) for key in ("a", None) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, endpoint string")
+    found = usage.cache_misses(df, "endpoint", "event_id").collect()
+    assert sorted((r["endpoint"] or "", r["event_id"]) for r in found) == [(k, i) for k in ("", "a") for i in (5, 7, 9)]
+
+
 def test_cache_misses_across_arrow_batches(spark):
     _, df = events(spark, 2000)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -128,21 +135,27 @@ def test_ingest_directory(spark, tmp_path):
     (inbox / "empty.csv").write_text("\n")
     (inbox / "notes.txt").write_text("smiles\nCCO\n")
     (inbox / "large.csv").write_text("smiles\n" + "CCO\n" * 5000)
+    (inbox / "ragged.csv").write_text("smiles,n\nCCO,1,2\nCCN,2\n")
+    (inbox / "header.csv").write_text("smiles,n\n")
     results, status, state = (str(tmp_path / n) for n in ("results", "status", "state"))
 
     def run():
-        ingest.ingest_directory(spark, str(inbox), results, status, state, max_bytes=10_000).awaitTermination()
+        ingest.ingest_directory(spark, str(inbox), results, status, state).awaitTermination()
         return {r["file"].rsplit("/", 1)[1]: r for r in spark.read.parquet(status).collect()}
 
     found = run()
     assert {n: r["status"] for n, r in found.items()} == {
-        "five.csv": "completed", "nokey.csv": "failed", "empty.csv": "failed", "notes.txt": "failed", "large.csv": "failed"
+        "five.csv": "completed", "nokey.csv": "failed", "empty.csv": "failed", "notes.txt": "failed", "large.csv": "completed",
+        "ragged.csv": "completed", "header.csv": "completed",
     }
+    assert found["large.csv"]["valid_rows"] == 5000 and found["header.csv"]["total_rows"] == 0
+    assert (found["ragged.csv"]["valid_rows"], found["ragged.csv"]["invalid_rows"]) == (1, 1)
+    assert found["nokey.csv"]["error"] == "column 'smiles' not found"
     five = found["five.csv"]
     assert (five["total_rows"], five["valid_rows"], five["invalid_rows"]) == (5, 4, 1)
-    stored = spark.read.parquet(results).filter("row_no = 1 AND error IS NULL").first()
+    stored = spark.read.parquet(results).filter("smiles = 'CC(=O)O'").first()
     assert stored["fields"] == {"activity": "2", "name": "b, c"}
     (inbox / "second.csv").write_text("smiles\nCCO\n")
     again = run()
-    assert len(again) == 6 and again["second.csv"]["valid_rows"] == 1
-    assert spark.read.parquet(results).filter("error IS NULL").count() == 6
+    assert len(again) == 8 and again["second.csv"]["valid_rows"] == 1
+    assert spark.read.parquet(results).filter("error IS NULL").count() == 5007

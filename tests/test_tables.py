@@ -139,12 +139,14 @@ def test_delimited(spark, files):
 
 
 def test_sdf(spark, files):
-    rows = {r["title"]: r for r in readers.read_sdf(spark, str(files / "two.sdf")).collect()}
+    rows = {r["title"]: r for r in readers.read_sdf(spark, str(files / "two.sdf"), ["NAME", "MW", "EXTRA"]).collect()}
+    props = {r["title"]: r["props"] for r in readers.read_sdf(spark, str(files / "two.sdf")).collect()}
+    assert set(props) == {"first", "second"} and props["second"]["EXTRA"] == "yes" and "EXTRA" not in props["first"]
     assert set(rows) == {"first", "second"}
     assert rows["first"]["NAME"] == "first name" and rows["second"]["MW"] == "2.5"
     assert rows["first"]["EXTRA"] is None and rows["second"]["EXTRA"] == "yes"
     assert rows["first"]["molblock"].endswith("M  END")
-    dos = {r["title"]: r["MW"] for r in readers.read_sdf(spark, str(files / "dos.sdf")).collect()}
+    dos = {r["title"]: r["MW"] for r in readers.read_sdf(spark, str(files / "dos.sdf"), ["MW"]).collect()}
     assert dos == {"one": "3", "two": "4\n5"}
     blank = "\n  prog\n\n  0  0 V2000\nM  END\n> <K>\nv\n\n"
     (files / "blank.sdf").write_text(blank + "$$$$\n" + blank + "$$$$\n")
