@@ -30,10 +30,12 @@ def keep_one(
         raise ValueError(f"unknown method '{method}'; one of {', '.join(orders)}")
     if null_keys not in ("collapse", "keep"):
         raise ValueError("null_keys must be 'collapse' or 'keep'")
-    ranked = Window.partitionBy(*keys).orderBy(*orders[method])
+    digests = {f"_key{i}": comparable(df, k) for i, k in enumerate(keys)}
+    ranked = Window.partitionBy(*digests).orderBy(*orders[method])
 
     def first_rows(part: DataFrame) -> DataFrame:
-        return part.withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") == 1).drop("_rn")
+        """Text keys are compared by digest: a text is shuffled only if the output keeps it."""
+        return part.withColumns(digests).withColumn("_rn", F.row_number().over(ranked)).filter(F.col("_rn") == 1).drop("_rn", *digests)
 
     if null_keys == "collapse":
         return first_rows(df)

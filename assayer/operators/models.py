@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import stage
 from .ordering import prefix_sums
 
 
@@ -76,12 +77,13 @@ def auc(df: DataFrame, truth: str, score: str) -> DataFrame:
     rows = df.select(F.col(truth).alias("y"), F.col(score).cast("double").alias("s")).filter(
         F.col("y").isNotNull() & F.col("s").isNotNull()
     )
+    rows = stage(rows.groupBy("s", "y").agg(F.count(F.lit(1)).alias("n")), "scores")  # the table is read once
     ends = rows.agg(F.struct(F.min("y").alias("lo"), F.max("y").alias("hi")).alias("e")).scalar()
     two = rows.agg(
         (F.count_if((F.col("y") > ends["lo"]) & (F.col("y") < ends["hi"])) == 0).alias("ok")
     ).scalar()
     marked = rows.select(
-        "s", (F.col("y") == ends["hi"]).cast("bigint").alias("pos"), (F.col("y") != ends["hi"]).cast("bigint").alias("neg")
+        "s", F.when(F.col("y") == ends["hi"], F.col("n")).otherwise(0).alias("pos"), F.when(F.col("y") != ends["hi"], F.col("n")).otherwise(0).alias("neg")
     )
     ranked = prefix_sums(marked, "s", ["pos", "neg"])
     wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))

@@ -151,7 +151,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return counted.orderBy(F.desc("row_count"), column)
 
 
-def _facts(df: DataFrame, key: str) -> DataFrame:
+def _facts(df: DataFrame, key: str, duplicates: bool = True) -> DataFrame:
     """The profile's counts as (section, column_name, metric, value) rows."""
 
     def rows(table: DataFrame, section: str, name: Column, metrics: list[str]) -> DataFrame:
@@ -167,13 +167,14 @@ def _facts(df: DataFrame, key: str) -> DataFrame:
     ]
     if key in df.columns:
         parts.append(rows(validity_rate(df, key), "keys", F.lit(key), ["total_keys", "valid_keys", "invalid_keys", "validity_rate"]))
+    if key in df.columns and duplicates:
         parts.append(rows(duplicate_counts(df, key), "duplicates", F.lit(key), ["duplicate_rows", "duplicate_keys"]))
     return reduce(DataFrame.unionAll, parts)
 
 
 def quality_score(df: DataFrame, key: str) -> DataFrame:
     """max(0, 100 − 0.5 · mean missing % − 0.3 · (100 − validity %))."""
-    return score_of(_facts(df, key))
+    return score_of(_facts(df, key, duplicates=False))
 
 
 def score_of(facts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import molecules
-from assayer.operators import activity, features, ordering, quality, rules
+from assayer.operators import activity, dedup, features, ordering, quality, rules, validate
 
 
 def test_formula_weights(spark):
@@ -191,3 +191,20 @@ def test_caps_and_strategies(spark, monkeypatch):
     assert wide == {"m": (2.0, 5.0), "n": (None, None)}
     with pytest.raises(ValueError):
         activity.multi_target(values, "m", "t", "v", "both")
+
+
+def test_keys_are_shuffled_as_digests(spark):
+    df = spark.createDataFrame([(1, "long text"), (2, "long text"), (3, None)], "id long, text string")
+    for kept in (dedup.keep_one(df, "text", "id"), validate.clean_keys(df, "text", "id")):
+        plan = kept.select("id")._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.split("\n") if "Exchange" in line or "Sort [" in line]
+        assert moved and not any("text#" in line for line in moved)
+    assert sorted(r["id"] for r in dedup.keep_one(df, "text", "id").collect()) == [1, 3]
+
+
+def test_a_sketch_that_is_off_is_mended(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "WINDOW", 10)
+    proposed = ordering._inside
+    monkeypatch.setattr(ordering, "_inside", lambda slot, low, high: proposed(slot, high + 40, high + 50))
+    df = spark.range(500).select(F.col("id").alias("v"))
+    assert ordering.row_at_rank(df, [F.col("v")], [0, 250, 499]) == {0: (0,), 250: (250,), 499: (499,)}
