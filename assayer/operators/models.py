@@ -131,7 +131,7 @@ class ForestModel:
 
     def evaluate(self, df: DataFrame, target: str) -> DataFrame:
         """Metrics of the predictions on labelled rows, such as a validation part."""
-        scored = self.predict(df.filter(F.col(target).isNotNull()))
+        scored = stage(self.predict(df.filter(F.col(target).isNotNull())).select(target, "prediction"), "scored")
         if self.task == "regression":
             return regression_metrics(scored, target, "prediction")
         return classification_metrics(scored.withColumn("prediction", F.col("prediction").cast("int")), target, "prediction")

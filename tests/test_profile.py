@@ -208,3 +208,11 @@ def test_a_sketch_that_is_off_is_mended(spark, monkeypatch):
     monkeypatch.setattr(ordering, "_inside", lambda slot, low, high: proposed(slot, high + 40, high + 50))
     df = spark.range(500).select(F.col("id").alias("v"))
     assert ordering.row_at_rank(df, [F.col("v")], [0, 250, 499]) == {0: (0,), 250: (250,), 499: (499,)}
+
+
+def test_drug_likeness(spark):
+    df = spark.createDataFrame([(1, 600.0, 2.0, 1, 1, 12, 100.0), (2, 300.0, 6.0, 1, 1, None, 150.0), (3, 300.0, 2.0, 1, 1, 10, 140.0)], "id long, molecular_weight double, logp double, num_hbd int, num_hba int, num_rotatable_bonds int, tpsa double")
+    rows = rules.drug_likeness(df).orderBy("id").collect()
+    assert [r["alerts"] for r in rows] == [["molecular_weight", "veber"], ["logp", "veber"], []]
+    assert [round(r["drug_like_score"], 2) for r in rows] == [0.6, 0.6, 1.0] and [r["veber_pass"] for r in rows] == [False, False, True]
+    assert [r["violations"] for r in rows] == [1, 1, 0] and rules.drug_likeness(df.select("id")).filter("veber_pass").count() == 3

@@ -172,3 +172,28 @@ def test_structures_end_to_end(spark):
     rows = similarity.pair_scores(df, "fa", "fb").collect()
     assert rows[0]["tanimoto"] == rows[0]["dice"] == rows[0]["cosine"] == 1.0
     assert all(0 <= r[m] <= 1 for r in rows for m in ("tanimoto", "dice", "cosine")) and rows[2]["tanimoto"] == 0
+
+
+def test_forest_is_stored_and_evaluated(spark, tmp_path):
+    df = spark.range(300).select((F.col("id") % 10).alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") % 10 >= 5).cast("int").alias("y"))
+    model = models.ForestModel("classification", trees=5, depth=4).fit(df, ["a", "b"], "y")
+    assert model.evaluate(df, "y").first()["accuracy"] == 1.0
+    model.save(str(tmp_path / "forest"))
+    again = models.ForestModel.load(str(tmp_path / "forest"))
+    assert again.features == ["a", "b"] and again.predict(df).exceptAll(model.predict(df)).isEmpty()
+    size = models.ForestModel("regression", trees=5, depth=4).fit(df, ["a"], "y")
+    assert size.evaluate(df, "y").first()["r2"] > 0.9
+
+
+def test_search_without_a_limit(spark):
+    rng = random.Random(3)
+    sets = [(i, sorted(rng.sample(range(40), 12))) for i in range(150)]
+    df = spark.createDataFrame(sets, "id long, bits array<int>")
+    found = similarity.search(df, "id", "bits", sets[0][1]).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 151)) and found[0]["above_threshold"] == 150
+    wanted = sorted(((-brute(b, sets[0][1]), i) for i, b in sets))
+    assert [r["id"] for r in found] == [i for _, i in wanted]
+    some = similarity.search(df, "id", "bits", sets[0][1], threshold=0.3)
+    assert some.count() == sum(-s >= 0.3 for s, _ in wanted)
+    every = similarity.search_many(df.filter("id < 5"), df, "id", "id", "bits", threshold=0.3)
+    assert every.count() == sum(brute(a, b) >= 0.3 for _, a in sets[:5] for _, b in sets)
