@@ -153,7 +153,7 @@ def first_pass(text: str, links: float, zone: str) -> int | None:
 def labels(found: list[tuple[str, float, str]]) -> list[int]:
     """Both passes.  Open blocks ask the nearest decided block of their zone.
 
-    Of two equally near ones the earlier counts.  Without any, a block of the
+    Of two equally near ones a good one counts.  Without any, a block of the
     article stays; one elsewhere stays only if the page has no article and no
     other text that is good.
     """
@@ -173,7 +173,7 @@ def labels(found: list[tuple[str, float, str]]) -> list[int]:
             after = i if first[i] is not OPEN else after
             if first[i] is OPEN:
                 near = [j for j in (left, after) if j is not None]
-                out[i] = first[min(near, key=lambda j: abs(j - i))] if near else default
+                out[i] = first[min(near, key=lambda j: (abs(j - i), first[j] == BAD))] if near else default
             if zone == "main" and out[i] == BAD and found[i][1] <= LINKS:
                 out[i] = GOOD  # the article's own short lines stay beside link lists
             if zone == "page" and has_main:

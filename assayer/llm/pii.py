@@ -16,15 +16,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer.llm.common import stage
 
 # The base patterns.  Possessive repeats and the start of a run
-# find the same matches without trying every place inside a long run.
+# find the same matches without trying every place inside a long run.  Runs of
+# fewer than 13 digits are no cards, nor is any part of them.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?:\G|(?<![0-9]))[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?:\G|(?<![0-9]))(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 # A cheap test that a text must pass to hold a match.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0-9]", "phone": r"\+[0-9]"}
 
 # First names, titles, mail providers and cue words.
 FIRST_NAMES = (

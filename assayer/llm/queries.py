@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayer.llm import decontam, html_text, imatch, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
+from assayer.llm.oracles import GROUPS, OVERLAPS, SHARDS as SHARDS_SQL
 from assayer.plans.registry import Registry
 
 LLM = Registry()
@@ -23,7 +24,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return os.environ.get("LLM_TOKENIZER") or public_tokenizers.path(name)
 
 
-@LLM.add("op1_ngram_jaccard_join")
+@LLM.add("op1_ngram_jaccard_join", GROUPS)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, folder, "documents"))
 
@@ -39,7 +40,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return with_verdict(quality_gam.score_quality(docs, model), fold == 0)
 
 
-@LLM.add("op9_spaced_seed_decontamination")
+@LLM.add("op9_spaced_seed_decontamination", OVERLAPS)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.withColumn("share", F.round("share", 6))
@@ -99,7 +100,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@LLM.add("op8_rendezvous_sharding")
+@LLM.add("op8_rendezvous_sharding", SHARDS_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     shards = sharding.assign_shards(read(spark, folder, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

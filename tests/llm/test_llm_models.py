@@ -55,7 +55,7 @@ def test_machine_learns_a_pair():
     rng = np.random.default_rng(3)
     texts, labels = [], []
     for _ in range(2000):
-        insult, group = rng.random(2) < 0.4
+        insult, group = map(int, rng.random(2) < 0.4)
         words = [f"filler{i}" for i in rng.integers(0, 50, 8)] + ["vermin"] * insult + ["newcomers"] * group
         texts.append(" ".join(words))
         labels.append(float(insult and group))
