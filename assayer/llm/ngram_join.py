@@ -6,9 +6,10 @@ band.  Candidates of a tile are first bounded by bitmap signatures: bits that
 one side has and the other lacks each stand for a shingle that is not shared.
 Only then are the sorted arrays intersected.
 
-Scale.  Prefixes hold the rarest shingles, after hashed counts of the corpus of
+Scale.  Prefixes hold rare shingles first, after hashed counts of the corpus of
 fixed size, so a common passage makes a large tile only among texts that consist
-of it.  In a first round every node of a tile meets the tile's leader alone,
+of it; shingles that stand out skip the count that looks for partners, so no
+count meets a hot key.  In a first round every node of a tile meets the tile's leader alone,
 which joins large groups of near copies in linear work.  In the second round all
 pairs of a tile that are not yet connected are compared, in blocks of bounded
 size.  No link between two components can be missed, and a link inside one
@@ -18,18 +19,21 @@ changes nothing.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer.llm.common import pieces, stage
 
-#: Hashed counters for the frequency of shingles, and bits of the filter of documents.
-COUNTERS, FILTER_BITS = 1 << 20, 1 << 23
+#: Hashed counters of shingles, when one stands out, and bits of the filter of documents.
+COUNTER_BITS, STANDS_OUT, FILTER_BITS = 21, 6.0, 1 << 23
 #: Nodes of one block of a tile.
 BLOCK = 512
+#: Shingles of a kind that a prefix needs at most, see ``prefix``.
+ENOUGH = 40
 TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
@@ -48,28 +52,30 @@ def shingles(texts: list[str | None], width: int) -> list[np.ndarray]:
     A-Z in lower case.  A shorter text is one run; without words there is none.
     """
     words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-    sizes = [len(w) for w in words]
-    flat = np.array([w for doc in words for w in doc], dtype=object)
-    hashes = pd.util.hash_array(flat, categorize=len(flat) > 0) if len(flat) else np.zeros(0, np.uint64)
+    ends = np.cumsum([0, *map(len, words)])
+    flat = np.empty(int(ends[-1]), dtype=object)
+    flat[:] = list(chain.from_iterable(words))
+    hashes = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
     factors = _mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
-    out, at = [], 0
-    for n in sizes:
-        own = hashes[at : at + n]
-        at += n
-        k = min(n, width)
-        if not n:
-            out.append(own)
-            continue
+
+    def runs(own: np.ndarray, k: int) -> np.ndarray:
+        total = np.full(max(0, len(own) - k + 1), k, np.uint64)
         with np.errstate(over="ignore"):
-            total = np.full(n - k + 1, k, np.uint64)
             for i in range(k):
-                total += own[i : n - k + 1 + i] * factors[i]
-        out.append(_mix(total))
+                total += own[i : len(own) - k + 1 + i] * factors[i]
+        return _mix(total)
+
+    every = runs(hashes, width)
+    out = []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out.append(every[a : b - width + 1] if b - a >= width else runs(hashes[a:b], b - a) if b > a else hashes[:0])
     return out
 
 
 def distinct(runs: np.ndarray) -> np.ndarray:
-    return np.unique(runs)
+    """The values of a set, ascending."""
+    values = np.sort(runs)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 def bitmap(values: np.ndarray) -> bytes:
@@ -102,38 +108,76 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def prefix(values: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rare, common) shingles that a set puts into tiles, both by hash.
+
+    All shingles are ordered, rare before common, each kind by hash; two linked
+    sets share one of the first ``prefix_length``.  Of a kind in random order,
+    ``ENOUGH`` do for sure: if a share of 75 % of a kind is in both sets, that
+    many in a row miss it with a chance of 0.25 ** 40, or 1e-24, which is far
+    below that of two equal 64-bit hashes.  Linked sets share that much of one
+    kind at least.  Hence a set without common shingles needs ``ENOUGH`` rare
+    ones, and a set whose rare shingles all belong to the prefix needs ``ENOUGH``
+    common ones; in between, all of the prefix counts.
+    """
+    length = prefix_length(len(values), percent)
+    often = level > 0
+    if not often.any():
+        return values[: min(length, _enough(percent))], values[:0]
+    rare = values[~often][:length]
+    return rare, values[often][: min(length - len(rare), _enough(percent))]
+
+
+def _enough(percent: int) -> int:
+    """Draws in a row that miss a share of ``percent`` with the chance stated in ``prefix``."""
+    return ENOUGH if percent >= 75 else int(np.ceil(ENOUGH * np.log(0.25) / np.log1p(-percent / 100)))
+
+
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"cast(`{text}` as string) as text")
+    rows = docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"cast(`{text}` as string) as text")
+    return rows.withColumn("text_hash", F.xxhash64("text"))
+
+
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def shingle_levels(rows: DataFrame, width: int) -> np.ndarray:
-    """How common the shingles of each hash counter are, in powers of two above the mean.
+    """How common the shingles of each hash counter are, in powers of two; 0 for most.
 
-    All shingles are counted; every task sends its counters as (counter, count)
-    and the driver gets one array of ``COUNTERS`` bytes, whatever the input.
+    All shingles of all texts are counted.  A task per core keeps an array of
+    counters and sends it once, so what is shuffled depends on the cores and not
+    on the texts.  Counters ``STANDS_OUT`` standard deviations above the mean
+    get a level; the driver holds a byte per counter.  Levels only order the
+    shingles of a prefix: any order finds all links.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in pieces(batches):
             for runs in shingles(batch.column(1).to_pylist(), width):
-                np.add.at(counts, (runs >> np.uint64(44)).astype(np.int64), 1)
+                np.add.at(counts, _counter(runs), 1)
         at = np.flatnonzero(counts)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
+        for i in range(0, len(at), 200_000):
+            part = at[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["counter", "n"])
 
-    counted = rows.mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    mean = (counted.agg(F.sum("n")).first()[0] or 0) / COUNTERS
-    level = F.floor(F.log2(F.col("n") / F.lit(max(mean, 1.0)))).cast("int")
-    got = counted.where(F.col("n") >= 2 * max(mean, 1.0)).select("counter", level.alias("level")).toPandas()
-    levels = np.zeros(COUNTERS, np.uint8)
-    levels[got["counter"].to_numpy(int)] = got["level"].to_numpy(int)
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    counted = rows.coalesce(max(1, cores)).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    counted = stage(counted, "counters")
+    mean = (counted.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
+    over = F.col("n") - F.lit(mean)
+    limit = STANDS_OUT * mean**0.5 + 3
+    got = counted.where(over > limit).select("counter", F.floor(F.log2(over)).cast("int").alias("level")).toPandas()
+    levels = np.zeros(1 << COUNTER_BITS, np.uint8)
+    levels[got["counter"].to_numpy(int)] = np.maximum(1, got["level"].to_numpy(int))
     return levels
 
 
-_NODE = "doc_id long, n int, k1 long, k2 long, prefix array<long>, bits binary"
-_NODE_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+_NODE = "doc_id long, text_hash long, n int, k1 long, k2 long, rare array<long>, common array<long>, bits binary"
+_NODE_ARROW = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("rare", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())), ("bits", pa.binary())]
+)
 
 
 def set_key(values: np.ndarray) -> tuple[int, int]:
@@ -143,22 +187,19 @@ def set_key(values: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(rows: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """Per row: size, key, prefix (rarest shingles first, 48 bits each) and bitmap of its set."""
+    """Per row: size, key, bitmap and prefix of its set, 48 bits a shingle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for runs in shingles(batch.column(1).to_pylist(), width):
                 values = distinct(runs)
                 n = len(values)
-                common = levels[(values >> np.uint64(44)).astype(np.int64)]
-                first = values if not common.any() else values[np.argsort(common, kind="stable")]
-                k1, k2 = set_key(values)
-                token = first[: prefix_length(n, percent)] & TOKEN_MASK
-                for column, value in zip(out, (n, k1, k2, token.astype(np.int64), bitmap(values)), strict=True):
+                rare, common = ((v & TOKEN_MASK).astype(np.int64) for v in prefix(values, levels[_counter(values)], percent))
+                for column, value in zip(out, (n, *set_key(values), rare, common, bitmap(values)), strict=True):
                     column.append(value)
-            arrays = [pa.array(c, f.type) for c, f in zip(out, list(_NODE_ARROW)[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], schema=_NODE_ARROW)
+            arrays = [pa.array(c, f.type) for c, f in zip(out, list(_NODE_ARROW)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], schema=_NODE_ARROW)
 
     return rows.mapInArrow(run, _NODE)
 
@@ -188,7 +229,7 @@ def whole_sets(rows: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
                 names=["k1", "k2", "values"],
             )
 
-    slots = rows.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    slots = rows.select("doc_id", "text").withColumn("slot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(FILTER_BITS)))
     return slots.mapInArrow(run, "k1 long, k2 long, values array<long>")
 
 
@@ -216,14 +257,18 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that link: bitmap bound first, then intersection."""
+def _links(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that link: bitmap bound first, then intersection.
+
+    Whole sets are made again from the texts, and only for the nodes of pairs
+    that the bound leaves.
+    """
 
     def bounded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n_a, n_b, need = (batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6))
+            a, b, n_a, n_b, need = (batch.column(i).to_pylist() for i in range(5))
             keep = [overlap_bound(*row[:4]) >= row[4] for row in zip(a, b, n_a, n_b, need, strict=True)]
-            yield batch.select([0, 1, 6, 7, 8, 9, 10]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(list(range(4, 13))).filter(pa.array(keep, pa.bool_()))
 
     def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,21 +279,27 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
             ]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("n", "k1", "k2", "bits")], F.col("node").alias(s))
+    side = lambda s: nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "k1", "k2", "id", "bits")])
     sized = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("need", needed_overlap(F.col("n_a"), F.col("n_b"), percent))
-    sized = sized.where(F.least("n_a", "n_b") >= F.col("need"))
-    keys = ["k1_a", "k2_a", "k1_b", "k2_b"]
-    near = sized.select("a", "b", "bits_a", "bits_b", "n_a", "n_b", "need", *keys).mapInArrow(
-        bounded, "a long, b long, need long, k1_a long, k2_a long, k1_b long, k2_b long"
+    kept = ["need", "a", "b", "k1_a", "k2_a", "k1_b", "k2_b", "id_a", "id_b"]
+    near = stage(
+        sized.where(F.least("n_a", "n_b") >= F.col("need")).select("bits_a", "bits_b", "n_a", "n_b", *kept).mapInArrow(bounded, ", ".join(f"{c} long" for c in kept)),
+        "near",
     )
+    wanted = id_filter(near.select(F.explode(F.array("id_a", "id_b")).alias("id")))
+    sets = stage(whole_sets(rows, width, wanted), "sets")
     values = lambda s: sets.select(F.col("k1").alias(f"k1_{s}"), F.col("k2").alias(f"k2_{s}"), F.col("values").alias(f"values_{s}"))
-    full = near.join(values("a"), keys[:2]).join(values("b"), keys[2:]).select("a", "b", "need", "values_a", "values_b")
-    return full.mapInArrow(shared, "a long, b long")
+    full = near.select(*kept[:7]).join(values("a"), ["k1_a", "k2_a"]).join(values("b"), ["k1_b", "k2_b"])
+    return full.select("a", "b", "need", "values_a", "values_b").mapInArrow(shared, "a long, b long").distinct()
 
 
 def _leader_pairs(tiles: DataFrame) -> DataFrame:
-    """Each node of a tile with the tile's leader, the node of the least hash."""
-    lead = tiles.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("lead"))
+    """Each node of a tile with the tile's leader.
+
+    The leader has the fewest rare shingles before the tile's: of near copies
+    it is the one with the fewest edits, to which most others link.
+    """
+    lead = tiles.groupBy("token", "band").agg(F.min(F.struct("pos", F.xxhash64("node").alias("h"), "node")).alias("lead"))
     return (
         tiles.join(lead, ["token", "band"])
         .select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b"))
@@ -258,7 +309,10 @@ def _leader_pairs(tiles: DataFrame) -> DataFrame:
 
 
 def _open_pairs(tiles: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a tile and its neighbour band that can link by size and are not connected yet.
+    """All pairs of a tile and its neighbour band that can link and are not connected yet.
+
+    If the tile's shingle is the first that two sets share, they share no more
+    than either has from its place on; that and the sizes leave few pairs.
 
     A tile with m nodes is dealt into m / ``BLOCK`` chunks by a hash, and each
     pair of chunks is a block of its own, so no task gathers a tile.
@@ -272,10 +326,11 @@ def _open_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     )
     rows = wide.join(held, ["token", "low"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    left = rows.select("token", "low", F.col("chunk").alias("i"), F.explode(every).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "band", "root")]).where("i <= j")
-    right = rows.select("token", "low", F.explode(every).alias("i"), F.col("chunk").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "band", "root")]).where("i <= j")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    match = (F.col("root_a") != F.col("root_b")) & (F.least("band_a", "band_b") == F.col("low")) & (small * 100 >= large * percent)
+    left = rows.select("token", "low", F.col("chunk").alias("i"), F.explode(every).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "band", "root")]).where("i <= j")
+    right = rows.select("token", "low", F.explode(every).alias("i"), F.col("chunk").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "band", "root")]).where("i <= j")
+    need = needed_overlap(F.col("n_a"), F.col("n_b"), percent)
+    match = (F.col("root_a") != F.col("root_b")) & (F.least("band_a", "band_b") == F.col("low"))
+    match = match & (F.col("n_a") - F.col("pos_a") >= need) & (F.col("n_b") - F.col("pos_b") >= need)
     ordered = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
     pairs = left.join(right, ["token", "low", "i", "j"]).where(match & ordered)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -293,37 +348,52 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 75, key: str =
     not name a group unless it has no other.  No rows give no rows; further
     columns are not carried.
     """
+    return _groups(docs, width, percent, key, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _groups(docs: DataFrame, width: int, percent: int, key: str, text: str) -> DataFrame:
+    """As ``ngram_groups``, with the hash of the text as ``text_hash``."""
     rows = _rows(docs, key, text)
     levels = shingle_levels(rows, width)
     found = stage(signatures(rows, width, percent, levels).withColumn("node", F.monotonically_increasing_id()), "signatures")
     same = found.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("low_id"))
-    member = stage(found.select("node", "doc_id", "n", "k1", "k2").join(same, ["k1", "k2", "n"], "left"), "members")
+    member = stage(found.select("node", "doc_id", "text_hash", "n", "k1", "k2").join(same, ["k1", "k2", "n"], "left"), "members")
     reps = member.where("node = rep")
 
-    tokens = found.select("node", F.explode("prefix").alias("token"))
-    often = tokens.groupBy("token").count().where("count > 1").select("token")
-    shared = tokens.join(often, "token").join(member.select("node", "rep", "n"), "node").select("token", F.col("rep").alias("node"), "n").distinct()
-    several = shared.groupBy("token").count().where("count > 1").select("token")
-    tiles = stage(shared.join(several, "token").withColumn("band", _band(F.col("n"), percent)), "tiles")
+    each = Window.partitionBy("token")
+    rare = found.select("node", F.posexplode("rare").alias("pos", "token")).withColumn("m", F.count("*").over(each)).where("m > 1").select("node", "token", "pos")
+    common = found.select("node", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token")).select("node", "token", (F.col("before") + F.col("at")).alias("pos"))
+    shared = rare.union(common).join(member.select("node", "rep", "n"), "node").select("token", F.col("rep").alias("node"), "n", "pos").distinct()
+    tiles = stage(shared.withColumn("band", _band(F.col("n"), percent)), "tiles")
 
-    used = tiles.select("node").distinct()
-    asked = stage(reps.join(used, "node").select("node", F.col("doc_id").alias("id")), "asked")
-    nodes = stage(found.select("node", "n", "k1", "k2", "bits").join(asked.select("node"), "node", "left_semi"), "nodes")
-    keys = nodes.select("k1", "k2")
-    sets = whole_sets(rows, width, id_filter(asked)).join(keys, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
-    sets = stage(sets, "sets")
-
-    first = stage(_links(_leader_pairs(tiles), nodes, sets, percent), "links")
+    nodes = found.join(reps.select("node"), "node", "left_semi")
+    nodes = stage(nodes.select("node", "n", "k1", "k2", "bits", F.coalesce("doc_id", F.lit(0)).alias("id")), "nodes")
+    first = stage(_links(_leader_pairs(tiles), nodes, rows, width, percent), "links")
     roots = components(first)
     rooted = tiles.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = stage(_links(_open_pairs(rooted, percent), nodes, sets, percent), "links")
-    edges = first.union(second)
-    groups = components(edges).select(F.col("node").alias("rep"), "root")
+    second = stage(_links(_open_pairs(rooted, percent), nodes, rows, width, percent), "links")
+    groups = components(first.union(second)).select(F.col("node").alias("rep"), "root")
 
     joined = member.join(groups, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    lowest = joined.where("root is not null").groupBy("root").agg(F.min("low_id").alias("component_id"))
+    # Written, so that the join below is one that Spark can split at a large group.
+    lowest = stage(joined.where("root is not null").groupBy("root").agg(F.min("low_id").alias("component_id")), "lowest")
     return joined.join(lowest, "root", "left").select(
         "doc_id",
+        "text_hash",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of one document per group: that with the smallest id.
+
+    Of rows that repeat an id and its text one stays; texts without words and
+    rows with a null id are groups by the same rules as in ``ngram_groups``.
+    """
+    groups = _groups(docs, width, percent, key, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.count("*").alias("__rows"))
+    same = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__hash"))
+    found = docs.join(kept, same)
+    once, more = found.where("__rows = 1"), found.where("__rows > 1").dropDuplicates([key, text])
+    return once.union(more).select(*[F.col(f"`{c}`") for c in docs.columns])
