@@ -33,7 +33,7 @@ COUNTER_BITS, STANDS_OUT, FILTER_BITS = 21, 6.0, 1 << 23
 #: Nodes of one block of a tile.
 BLOCK = 512
 #: Shingles of a kind that a prefix needs at most, see ``prefix``.
-ENOUGH = 40
+ENOUGH = 24
 TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
@@ -112,13 +112,12 @@ def prefix(values: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndar
     """(rare, common) shingles that a set puts into tiles, both by hash.
 
     All shingles are ordered, rare before common, each kind by hash; two linked
-    sets share one of the first ``prefix_length``.  Of a kind in random order,
-    ``ENOUGH`` do for sure: if a share of 75 % of a kind is in both sets, that
-    many in a row miss it with a chance of 0.25 ** 40, or 1e-24, which is far
-    below that of two equal 64-bit hashes.  Linked sets share that much of one
-    kind at least.  Hence a set without common shingles needs ``ENOUGH`` rare
-    ones, and a set whose rare shingles all belong to the prefix needs ``ENOUGH``
-    common ones; in between, all of the prefix counts.
+    sets share one of the first ``prefix_length``.  If 75 % of a kind is in both
+    sets, the first ``ENOUGH`` of that kind, in the random order of hashes, hold
+    a shared one but for a chance of 0.25 ** 24, or 4e-15 a link.  Linked sets
+    share that much of one kind at least.  Hence a set without common shingles
+    needs ``ENOUGH`` rare ones, and a set whose rare shingles all belong to the
+    prefix needs ``ENOUGH`` common ones; in between, all of the prefix counts.
     """
     length = prefix_length(len(values), percent)
     often = level > 0
@@ -174,9 +173,9 @@ def shingle_levels(rows: DataFrame, width: int) -> np.ndarray:
     return levels
 
 
-_NODE = "doc_id long, text_hash long, n int, k1 long, k2 long, rare array<long>, common array<long>, bits binary"
+_NODE = "doc_id long, text_hash long, n int, k1 long, k2 long, mixed boolean, rare array<long>, common array<long>, bits binary"
 _NODE_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("rare", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())), ("bits", pa.binary())]
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("mixed", pa.bool_()), ("rare", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())), ("bits", pa.binary())]
 )
 
 
@@ -191,12 +190,13 @@ def signatures(rows: DataFrame, width: int, percent: int, levels: np.ndarray) ->
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for runs in shingles(batch.column(1).to_pylist(), width):
                 values = distinct(runs)
                 n = len(values)
-                rare, common = ((v & TOKEN_MASK).astype(np.int64) for v in prefix(values, levels[_counter(values)], percent))
-                for column, value in zip(out, (n, *set_key(values), rare, common, bitmap(values)), strict=True):
+                level = levels[_counter(values)]
+                rare, common = ((v & TOKEN_MASK).astype(np.int64) for v in prefix(values, level, percent))
+                for column, value in zip(out, (n, *set_key(values), bool(level.any()), rare, common, bitmap(values)), strict=True):
                     column.append(value)
             arrays = [pa.array(c, f.type) for c, f in zip(out, list(_NODE_ARROW)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], schema=_NODE_ARROW)
@@ -312,7 +312,10 @@ def _open_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     """All pairs of a tile and its neighbour band that can link and are not connected yet.
 
     If the tile's shingle is the first that two sets share, they share no more
-    than either has from its place on; that and the sizes leave few pairs.
+    than either has from its place on; that and the sizes leave few pairs.  ``at``
+    counts the shingles of its kind before it, of which none is shared: by
+    ``prefix`` fewer than ``ENOUGH`` on both sides together.  That does not hold
+    for rare shingles of two sets that both have common ones (``mixed``).
 
     A tile with m nodes is dealt into m / ``BLOCK`` chunks by a hash, and each
     pair of chunks is a block of its own, so no task gathers a tile.
@@ -326,10 +329,11 @@ def _open_pairs(tiles: DataFrame, percent: int) -> DataFrame:
     )
     rows = wide.join(held, ["token", "low"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    left = rows.select("token", "low", F.col("chunk").alias("i"), F.explode(every).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "band", "root")]).where("i <= j")
-    right = rows.select("token", "low", F.explode(every).alias("i"), F.col("chunk").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "band", "root")]).where("i <= j")
+    left = rows.select("token", "low", F.col("chunk").alias("i"), F.explode(every).alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "at", "mixed", "band", "root")]).where("i <= j")
+    right = rows.select("token", "low", F.explode(every).alias("i"), F.col("chunk").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "at", "mixed", "band", "root")]).where("i <= j")
     need = needed_overlap(F.col("n_a"), F.col("n_b"), percent)
     match = (F.col("root_a") != F.col("root_b")) & (F.least("band_a", "band_b") == F.col("low"))
+    match = match & ((F.col("mixed_a") & F.col("mixed_b")) | (F.col("at_a") + F.col("at_b") < _enough(percent)))
     match = match & (F.col("n_a") - F.col("pos_a") >= need) & (F.col("n_b") - F.col("pos_b") >= need)
     ordered = (F.col("i") < F.col("j")) | (F.col("node_a") < F.col("node_b"))
     pairs = left.join(right, ["token", "low", "i", "j"]).where(match & ordered)
@@ -361,9 +365,10 @@ def _groups(docs: DataFrame, width: int, percent: int, key: str, text: str) -> D
     reps = member.where("node = rep")
 
     each = Window.partitionBy("token")
-    rare = found.select("node", F.posexplode("rare").alias("pos", "token")).withColumn("m", F.count("*").over(each)).where("m > 1").select("node", "token", "pos")
-    common = found.select("node", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token")).select("node", "token", (F.col("before") + F.col("at")).alias("pos"))
-    shared = rare.union(common).join(member.select("node", "rep", "n"), "node").select("token", F.col("rep").alias("node"), "n", "pos").distinct()
+    rare = found.select("node", "mixed", F.posexplode("rare").alias("pos", "token")).withColumn("m", F.count("*").over(each))
+    rare = rare.where("m > 1").select("node", "token", "pos", F.col("pos").alias("at"), "mixed")
+    common = found.select("node", F.size("rare").alias("before"), F.posexplode("common").alias("at", "token")).select("node", "token", (F.col("before") + F.col("at")).alias("pos"), "at", F.lit(False).alias("mixed"))
+    shared = rare.union(common).join(member.select("node", "rep", "n"), "node").select("token", F.col("rep").alias("node"), "n", "pos", "at", "mixed").distinct()
     tiles = stage(shared.withColumn("band", _band(F.col("n"), percent)), "tiles")
 
     nodes = found.join(reps.select("node"), "node", "left_semi")
