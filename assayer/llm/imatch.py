@@ -29,10 +29,12 @@ RANGE_ROWS, RANGES = 5_000, 8_192
 def lexicon(docs: DataFrame, text: str = "text", most_share: float = MOST_SHARE, least_docs: int = LEAST_DOCS) -> Column:
     """Slots of the terms in the band, as a literal of fixed size.
 
-    Each document counts once per slot; counts are summed in the tasks first.
+    Each document counts once per slot.  Counts are summed first by a task per
+    core, so that what is shuffled depends on the cores and not on the texts.
     """
     slots = F.array_distinct(F.transform(word_hashes(text), lambda h: F.pmod(h, F.lit(SLOTS))))
-    counted = docs.select(F.explode(slots).alias("slot")).groupBy("slot").count()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    counted = docs.coalesce(max(1, cores)).select(F.explode(slots).alias("slot")).groupBy("slot").count()
     total = docs.count()
     in_band = counted.where((F.col("count") >= least_docs) & (F.col("count") <= math.floor(max(least_docs, most_share * total))))
     return _bits(in_band.select("slot"), SLOTS)
