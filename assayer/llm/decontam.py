@@ -19,7 +19,7 @@ MASKS = ("110101011", "111010101", "101100111")
 #: Words of a verification window, and the share of them that must be equal.
 WINDOW, SHARE = 16, 0.75
 #: Bits of the filters of benchmark words and seeds; fixed, so they are literals of any plan.
-WORD_BITS, SEED_BITS = 1 << 16, 1 << 20
+WORD_BITS, SEED_BITS = 1 << 16, 1 << 18
 #: Benchmark seeds that are still broadcast; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
 
