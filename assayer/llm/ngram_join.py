@@ -33,7 +33,7 @@ COUNTER_BITS, STANDS_OUT, FILTER_BITS = 21, 6.0, 1 << 23
 #: Nodes of one block of a tile.
 BLOCK = 512
 #: Shingles of a kind that a prefix needs at most, see ``prefix``.
-ENOUGH = 24
+ENOUGH = 40
 TOKEN_MASK = np.uint64((1 << 48) - 1)
 
 
@@ -114,7 +114,7 @@ def prefix(values: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndar
     All shingles are ordered, rare before common, each kind by hash; two linked
     sets share one of the first ``prefix_length``.  If 75 % of a kind is in both
     sets, the first ``ENOUGH`` of that kind, in the random order of hashes, hold
-    a shared one but for a chance of 0.25 ** 24, or 4e-15 a link.  Linked sets
+    a shared one but for a chance of 0.25 ** 40, or 1e-24 a link.  Linked sets
     share that much of one kind at least.  Hence a set without common shingles
     needs ``ENOUGH`` rare ones, and a set whose rare shingles all belong to the
     prefix needs ``ENOUGH`` common ones; in between, all of the prefix counts.
