@@ -16,6 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Masks that read 6 of 9 words; each reads the first and the last.
 MASKS = ("110101011", "111010101", "101100111")
+#: Masks of less weight for those items too.  With them every window of 9 to 16 words that is
+#: equal in three quarters of its places holds a hit, wherever the replaced words stand.
+DENSE_MASKS = ("11011", "1111")
+#: The one mask that does so for items of fewer words than ``MASKS`` read.
+SHORT_MASKS = {1: "1", 2: "11", 3: "111", 4: "11", 5: "11", 6: "111", 7: "111", 8: "11"}
 #: Words of a verification window, and the share of them that must be equal.
 WINDOW, SHARE = 16, 0.75
 #: Bits of the filters of benchmark words and seeds; fixed, so they are literals of any plan.
@@ -53,20 +58,27 @@ def _starts(words: Column, mask: str) -> Column:
     return F.when(F.size(words) >= len(mask), F.sequence(F.lit(0), F.size(words) - len(mask))).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str], key: str, text: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(item words, seeds, masks): items shorter than the masks get full masks of their length."""
+def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str], key: str, text: str, short_tolerance: bool = False) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(item words, seeds, masks): items shorter than the masks get masks of their own.
+
+    Those are full masks of their length, or with ``short_tolerance`` the ones of
+    ``SHORT_MASKS``, which replaced words within the tolerance don't hide.
+    """
     items = benchmark.select(F.col(key).alias("item_id"), word_hashes(text).alias("item")).where(F.size("item") > 0)
     items = items.withColumn("words_id", F.xxhash64("item")).dropDuplicates(["item_id", "words_id"])
     span = len(masks[0])
     short = [r[0] for r in items.select(F.size("item").alias("m")).where(F.col("m") < span).distinct().orderBy("m").collect()]
-    masks = [*masks, *("1" * m for m in short)]
+    held = {mask: F.size("item") >= span for mask in (*masks, *DENSE_MASKS)}
+    for m in short:
+        mask = SHORT_MASKS.get(m, "1" * m) if short_tolerance else "1" * m
+        own = F.size("item") == m
+        held[mask] = held[mask] | own if mask in held else own
     seeds = None
-    for mask in masks:
-        own = items if len(mask) == span and "0" in mask else items.where(F.size("item") == len(mask))
-        rows = own.dropDuplicates(["words_id"]).select("words_id", "item", F.explode(_starts(F.col("item"), mask)).alias("at"))
+    for mask, which in held.items():
+        rows = items.where(which).dropDuplicates(["words_id"]).select("words_id", "item", F.explode(_starts(F.col("item"), mask)).alias("at"))
         rows = rows.select(_seed(F.col("item"), F.col("at"), mask).alias("seed"), "words_id", "at")
         seeds = rows if seeds is None else seeds.unionByName(rows)
-    return items, seeds, masks
+    return items, seeds, list(held)
 
 
 def _hits(mask: str, known_seed: Column) -> Column:
@@ -94,6 +106,7 @@ def contaminated(
     text: str = "text",
     item_key: str = "item_id",
     item_text: str = "text",
+    short_tolerance: bool = False,
 ) -> DataFrame:
     """A row per document and benchmark item that overlap: doc_id, item_id, share, word_at.
 
@@ -101,6 +114,9 @@ def contaminated(
     words of an item shorter than that) are equal word by word in at least
     ``share`` of their places.  ``share`` is that of the best window, ``word_at``
     the first place in the document at which a window of that share begins.
+    With ``WINDOW`` and ``SHARE`` no such window is without a seed; of items of
+    fewer words than ``masks`` read that holds with ``short_tolerance``, and
+    without it they are found whole only.
 
     Null and empty texts and items overlap with nothing; rows with one id are
     one document; rows of the benchmark with one id are one item; null ids are
@@ -110,7 +126,7 @@ def contaminated(
     hashed, and seeds that are not in it before a row is made, both by filters of
     fixed size.  The benchmark's seeds are broadcast only up to a counted bound.
     """
-    items, seeds, masks = benchmark_seeds(benchmark, masks, item_key, item_text)
+    items, seeds, masks = benchmark_seeds(benchmark, masks, item_key, item_text, short_tolerance)
     known_word = _bits(items.select(F.explode("item").alias("w")), WORD_BITS)
     known_seed = _bits(seeds.select("seed"), SEED_BITS)
     small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

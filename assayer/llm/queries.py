@@ -42,7 +42,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 
 @LLM.add("op9_spaced_seed_decontamination", OVERLAPS)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontam.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    found = decontam.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"), short_tolerance=True)
     return found.withColumn("share", F.round("share", 6))
 
 

@@ -1,6 +1,7 @@
 """Near-duplicate groups and benchmark overlaps against brute force; the pipeline."""
 
 import collections
+import itertools
 import re
 
 import numpy as np
@@ -177,6 +178,34 @@ def test_replaced_words_do_not_hide_a_passage(spark):
     assert decontam.contaminated(empty(spark), benchmark).count() == decontam.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_every_window_within_the_tolerance_is_found(spark):
+    """Against a comparison of all windows, without seeds: a quarter of the words replaced at all kinds of places."""
+    for masks, sizes in [((*decontam.MASKS, *decontam.DENSE_MASKS), range(9, 17)), *(((m,), [n]) for n, m in decontam.SHORT_MASKS.items())]:
+        reads = [[o for o, c in enumerate(m) if c == "1"] for m in masks]
+        for n in sizes:
+            for gone in itertools.combinations(range(n), n // 4):
+                assert any(not {p + o for o in ones} & set(gone) for ones, m in zip(reads, masks, strict=True) for p in range(n - len(m) + 1)), (n, gone)
+    rng = np.random.default_rng(10)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    items, texts, want = [], [], set()
+    for n in [*range(1, 17), 24, 40]:
+        items.append((n, " ".join(word(n))))
+        for many in (n // 4, n // 4 + 1):
+            for _ in range(8):
+                v = items[-1][1].split()
+                for k in rng.choice(n, many, replace=False):
+                    v[k] = "other"
+                words, body = [*word(20), *v, *word(20)], items[-1][1].split()
+                size = min(16, n)
+                best = max(sum(a == b for a, b in zip(words[i : i + size], body[j : j + size], strict=True)) for i in range(len(words) - size + 1) for j in range(n - size + 1))
+                want |= {(len(texts), n)} if best / size >= 0.75 else set()
+                texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark, short_tolerance=True).collect()}
+    assert got == want
+
+
 def test_large_benchmarks_are_joined_without_broadcast(spark, monkeypatch):
     args = read(spark, FOLDER, "documents"), read(spark, FOLDER, "benchmark")
     small = sorted(map(tuple, decontam.contaminated(*args).collect()))
