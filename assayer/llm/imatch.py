@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayer.llm.decontam import _bits, _has, word_hashes
+from assayer.llm.common import stage
+from assayer.llm.decontam import _has, word_hashes
 
 #: Slots of the lexicon; terms share a slot by hash, so its size is fixed.
 SLOTS = 1 << 20
 #: Band of the inverse document frequency: at most this share of documents, at least so many.
 MOST_SHARE, LEAST_DOCS = 0.2, 2
+#: Near copies that hold this share of the rows count once in the upper limit of the band.
+HOT_SHARE = 0.01
 #: (scale, parts): each part of scale s has the share 2**-s of the lexicon.
 SCALES = ((2, 2), (3, 2), (4, 4), *((s, 8) for s in range(5, 14)))
 _RANGE = 30
@@ -31,13 +35,53 @@ def lexicon(docs: DataFrame, text: str = "text", most_share: float = MOST_SHARE,
 
     Each document counts once per slot.  Counts are summed first by a task per
     core, so that what is shuffled depends on the cores and not on the texts.
+    Terms that are above the band only because texts are there several times
+    stay in it: slots above it by rows are counted again over distinct texts.
     """
     slots = F.array_distinct(F.transform(word_hashes(text), lambda h: F.pmod(h, F.lit(SLOTS))))
     cores = docs.sparkSession.sparkContext.defaultParallelism
     counted = docs.coalesce(max(1, cores)).select(F.explode(slots).alias("slot")).groupBy("slot").count()
     total = docs.count()
-    in_band = counted.where((F.col("count") >= least_docs) & (F.col("count") <= math.floor(max(least_docs, most_share * total))))
-    return _bits(in_band.select("slot"), SLOTS)
+    above = F.col("count") > math.floor(max(least_docs, most_share * total))
+    bit = F.expr("shiftleft(1L, cast(slot & 31 as int))")
+    got = counted.where(F.col("count") >= least_docs).groupBy(F.shiftright("slot", 5).alias("w")).agg(
+        F.bit_or(F.when(above, F.lit(0)).otherwise(bit)).alias("band"), F.bit_or(F.when(above, bit).otherwise(F.lit(0))).alias("above")
+    )
+    band, common = np.zeros(SLOTS // 32, np.int64), np.zeros(SLOTS // 32, np.int64)
+    for w, inside, over in got.collect():
+        band[w], common[w] = inside, over
+    if common.any():
+        for slot in _rare_but_copied(docs, text, _literal(common), total, most_share, least_docs):
+            band[slot >> 5] |= 1 << (slot & 31)
+    return _literal(band)
+
+
+def _literal(words: np.ndarray) -> Column:
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def _rare_but_copied(docs: DataFrame, text: str, common: Column, total: int, most_share: float, least_docs: int) -> list[int]:
+    """Slots of ``common`` that are within the upper limit if each distinct text counts once.
+
+    So do near copies, that is texts which share the smallest and the largest hash
+    of five words in a row (two that share one passage rarely do), if they hold
+    ``HOT_SHARE`` of the rows, so at most 100 groups of them.  Of a text only its
+    common slots are written and shuffled, which are few.
+    """
+
+    def marks(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)]))
+        held = F.array_sort(F.array_distinct(F.transform(F.filter(words, lambda h: _has(common, h, SLOTS)), lambda h: F.pmod(h, F.lit(SLOTS)).cast("int"))))
+        ends = let(runs, lambda r: F.xxhash64(F.array_min(r), F.array_max(r)))
+        return F.struct(F.when(F.size(words) >= 5, ends).otherwise(F.xxhash64(words)).alias("near"), held.alias("slots"))
+
+    rows = docs.select(F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("exact"), let(word_hashes(text), marks).alias("m"))
+    rows = stage(rows.select("exact", "m.near", "m.slots"), "lexicon")
+    hot = [r[0] for r in rows.groupBy("near").count().where(F.col("count") >= max(2, HOT_SHARE * total)).select("near").collect()]
+    texts = rows.groupBy(F.when(F.col("near").isin(hot), F.col("near")).otherwise(F.col("exact")).alias("key")).agg(F.max("slots").alias("slots"))
+    limit = math.floor(max(least_docs, most_share * texts.count()))
+    counts = texts.select(F.explode("slots").alias("slot")).groupBy("slot").count()
+    return [r[0] for r in counts.where(F.col("count") <= limit).select("slot").collect()]
 
 
 def let(value: Column, body) -> Column:

@@ -199,6 +199,23 @@ def test_fingerprints_against_sets(spark):
     assert np.mean([a for a, _ in near]) > 0.2 > 0.05 > np.mean([b for _, b in near])
 
 
+def test_copies_keep_their_terms(spark):
+    """Copies and near copies hold three fifths of the rows; their own words stay in the lexicon, and common words don't."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 300, n)]
+    exact, near = [f"copy{i}" for i in range(60)], [f"near{i}" for i in range(200)]
+    texts = [" ".join(["the", *exact])] * 150
+    texts += [" ".join(["the", *near[:k], f"edit{j}", *near[k + 1 :]]) for j, k in enumerate(rng.integers(0, 200, 150))]
+    texts += [" ".join(["the", *word(20)]) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    band = imatch.lexicon(docs)
+    asked = spark.createDataFrame([(w,) for w in ["the", *exact, *near]], "text string")
+    held = {r["text"] for r in asked.where(imatch._has(band, imatch.word_hashes("text")[0], imatch.SLOTS)).collect()}
+    assert held == {*exact, *near}
+    parts = {r["doc_id"]: r["parts"] for r in imatch.fingerprints(docs).collect()}
+    assert all(any(p is not None for p in parts[d]) for d in range(300)) and parts[0] == parts[149] != parts[150]
+
+
 def test_next_rows_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
     ids = [None, None, 1, 1, 1, *range(5, 200, 3), 10**15, 2**62]
