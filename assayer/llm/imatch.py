@@ -2,9 +2,11 @@
 
 A text keeps the terms whose inverse document frequency lies in a band.  Every
 part of the lexicon is a share of the hash range of terms; its hash covers the
-sorted distinct terms of the text that lie in it.  Parts have shares from 1/4
-down to 1/8192, so texts of any length have parts with about one term: those
-tell how much of a text is the same, while equal texts agree in all of them.
+sorted distinct terms of the text that lie in it.  One part is the whole
+lexicon, quarters and eighths cover it once more each, and further parts have
+shares down to 2**-20, so texts with up to a million distinct terms, as many as
+the lexicon has slots, have parts with about one term: those tell how much of a
+text is the same, while equal texts agree in all of them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ MOST_SHARE, LEAST_DOCS = 0.2, 2
 #: Near copies that hold this share of the rows count once in the upper limit of the band.
 HOT_SHARE = 0.01
 #: (scale, parts): each part of scale s has the share 2**-s of the lexicon.
-SCALES = ((2, 2), (3, 2), (4, 4), *((s, 8) for s in range(5, 14)))
+SCALES = ((0, 1), (2, 4), *((s, 8) for s in range(3, 21)))
 _RANGE = 30
 #: Rows of one range of ids, about, and ranges at most.
 RANGE_ROWS, RANGES = 5_000, 8_192
@@ -207,11 +209,14 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", most_s
     """
     band = lexicon(docs, text, most_share, least_docs)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("parts", fingerprint("text", band)), "doc_id", ["text", "parts"])
+    # Part hashes have 16 bits and are dealt as such.
+    rows = rows.withColumn("parts", F.transform(fingerprint("text", band), lambda p: (p - (1 << 15)).cast("short")))
+    rows = with_next(rows, "doc_id", ["text", "parts"])
+    wide = lambda parts: F.transform(parts, lambda p: p.cast("int") + (1 << 15))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - half), F.substr(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "parts", F.col("next.parts").alias("next_parts"), edited.alias("edited"))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), wide(F.col("parts")).alias("parts"), wide(F.col("next.parts")).alias("next_parts"), edited.alias("edited"))
     rows = rows.withColumn("edited_parts", fingerprint("edited", band))
     return rows.select(
         "doc_id",

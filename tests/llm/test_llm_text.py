@@ -216,6 +216,22 @@ def test_copies_keep_their_terms(spark):
     assert all(any(p is not None for p in parts[d]) for d in range(300)) and parts[0] == parts[149] != parts[150]
 
 
+def test_parts_hold_all_terms_and_long_texts_stay_alike(spark):
+    """Different short texts differ in a part; a long text with few edits is like the old one, and one with many is less so."""
+    words = [f"word{i}" for i in range(60_000)]
+    edits = {0: 0, 1: 3, 2: 30_000}
+    long = [" ".join([f"other{i}" for i in range(n)] + words[n:]) for n in edits.values()]
+    texts = long * 2 + [w for w in words[:300] for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = imatch.fingerprints(docs, most_share=1.0)
+    parts = {r["doc_id"]: tuple(r["parts"]) for r in rows.collect()}
+    short = [parts[d] for d in range(6, 606, 2)]
+    assert all(p[0] is not None for p in parts.values()) and len(set(short)) >= 299
+    a, b = (rows.where(F.col("doc_id") < 3).select(F.col("doc_id").alias(f"{n}_id"), F.col("parts").alias(n)) for n in "ab")
+    like = {r["b_id"]: r["v"] for r in a.where("a_id = 0").crossJoin(b).select("b_id", imatch.likeness(F.col("a"), F.col("b")).alias("v")).collect()}
+    assert like[0] == 1 and like[1] > 0.9 and 0.05 < like[2] < 0.7
+
+
 def test_next_rows_over_ranges(spark, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_ROWS", 7)
     ids = [None, None, 1, 1, 1, *range(5, 200, 3), 10**15, 2**62]
