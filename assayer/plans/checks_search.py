@@ -191,12 +191,22 @@ def _labelled(spark, folder):
     return described.join(read(spark, folder, "labels"), "doc_id")
 
 
-@query("forest_predictions", "SELECT doc_id, true AS is_class FROM documents")
-def forest_predictions(spark, folder):
-    """Fitted on the labelled documents, applied to all; each gets one of the classes."""
+def _predicted(spark, folder):
+    """Fitted on the labelled documents, applied to all."""
     described = features.with_token_counts(read(spark, folder, "documents"), "text").drop("text")
     model = models.ForestModel("classification", trees=20, depth=5).fit(_labelled(spark, folder), _FOREST_FEATURES, "quality")
-    return model.predict(described).select("doc_id", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
+    return model.predict(described)
+
+
+@query("forest_predictions", "SELECT doc_id, true AS is_class FROM documents")
+def forest_predictions(spark, folder):
+    """Each document gets one of the classes; ``forest_classes`` has which."""
+    return _predicted(spark, folder).select("doc_id", F.col("prediction").isin(0.0, 1.0).alias("is_class"))
+
+
+@query("forest_classes")
+def forest_classes(spark, folder):
+    return _predicted(spark, folder).select("doc_id", "prediction")
 
 
 @query(

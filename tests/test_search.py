@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import scores
 from assayer.operators import features, models, similarity
+from assayer.plans import checks_search
 
 
 def brute(a, b, metric="tanimoto"):
@@ -174,6 +175,34 @@ def test_structures_end_to_end(spark):
     assert all(0 <= r[m] <= 1 for r in rows for m in ("tanimoto", "dice", "cosine")) and rows[2]["tanimoto"] == 0
 
 
+def test_forest_classes_are_those_of_a_walk(spark, monkeypatch):
+    """The query gives every document the class of the fitted trees, walked node by node."""
+    fitted, fit = [], models.ForestModel.fit
+    monkeypatch.setattr(models.ForestModel, "fit", lambda self, *args: fitted.append(fit(self, *args)) or fitted[-1])
+    folder = "/root/testdata/sf0.001"
+    got = checks_search.forest_classes(spark, folder)
+    assert got.columns == ["doc_id", "prediction"]
+
+    def read_node(node):
+        if not hasattr(node, "split") or "LeafNode" in node.getClass().getName():
+            return list(node.impurityStats().stats())
+        return node.split().featureIndex(), node.split().threshold(), read_node(node.leftChild()), read_node(node.rightChild())
+
+    def leaf(node, x):
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] <= node[1] else node[3]
+        return np.array(node) / sum(node)
+
+    trees = [read_node(t._java_obj.rootNode()) for t in fitted[0].model.stages[-1].trees]
+    docs = features.with_token_counts(spark.read.parquet(f"{folder}/documents.parquet"), "text").collect()
+    votes = {r["doc_id"]: sum(leaf(t, [float(r[c] or 0) for c in fitted[0].features]) for t in trees) for r in docs}
+    rows = got.collect()
+    assert len(rows) == len(docs) == len(votes) and len({r["prediction"] for r in rows}) == 2
+    for r in rows:
+        vote = votes[r["doc_id"]]
+        assert vote[int(r["prediction"])] >= vote.max() - 1e-9
+
+
 def test_forest_is_stored_and_evaluated(spark, tmp_path):
     df = spark.range(300).select((F.col("id") % 10).alias("a"), (F.col("id") % 7).alias("b"), (F.col("id") % 10 >= 5).cast("int").alias("y"))
     model = models.ForestModel("classification", trees=5, depth=4).fit(df, ["a", "b"], "y")
