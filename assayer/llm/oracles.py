@@ -55,3 +55,38 @@ SHARDS = f"""WITH c AS (SELECT {_crc_table()} AS tab),
     d AS (SELECT doc_id, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32,
         {_COST.format(n=24)} AS shard, {_COST.format(n=25)} AS grown_shard, ('0x' || substr(md5(doc_id || ''), 1, 8))::BIGINT AS h FROM b, c)
     SELECT doc_id, size, text_crc32, 'key' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size, text_crc32) - 1 AS BIGINT) AS slot, grown_shard FROM d"""
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a text, byte by byte, with the table ``c.tab``."""
+    codes = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || {value}, '-')"
+
+
+def _levels(name: str, start: str, group: str) -> str:
+    """All nodes of the trees of ``start``: pairs become a node while a tree has several."""
+    return f"""{name} AS (SELECT {group} AS g, 0 AS lv, p, h, count(*) OVER (PARTITION BY {group}) AS n FROM {start}
+    UNION ALL SELECT g, any_value(lv) + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, p // 2)"""
+
+
+#: One list of siblings per leaf, lowest first: the side it stands on and its hash, empty where a node is alone.
+_WAY = """SELECT l.g, l.p, list(CASE WHEN o.h IS NULL THEN '-' WHEN o.p < (l.p >> u.lv) THEN 'l' || o.h ELSE 'r' || o.h END ORDER BY u.lv) AS way
+    FROM {t} l JOIN {t} u ON u.g IS NOT DISTINCT FROM l.g AND u.p = l.p >> u.lv AND u.n > 1 LEFT JOIN {t} o ON o.g IS NOT DISTINCT FROM l.g AND o.lv = u.lv AND o.p = xor(l.p >> u.lv, 1) WHERE l.lv = 0 GROUP BY l.g, l.p"""
+
+#: Trees of every language and one over their roots; the siblings of every leaf; the fold from the changed leaf.
+PROOFS = f"""WITH RECURSIVE c AS (SELECT {_crc_table()} AS tab),
+    d AS (SELECT lang, doc_id, sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS h,
+        sha256({" || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars + (" + crc32_sql("CAST(doc_id AS VARCHAR)") + " % 7 = 0)::INT", "text"))}) AS claim FROM documents, c),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM d),
+    {_levels("t", "leaves", "lang")},
+    subroots AS (SELECT g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p FROM t WHERE n = 1),
+    {_levels("top", "subroots", "0")},
+    inner_way AS ({_WAY.format(t="t")}), outer_way AS ({_WAY.format(t="top")}),
+    r AS (SELECT l.doc_id, l.h AS leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, l.claim, list_concat(coalesce(i.way, []), coalesce(o.way, [])) AS way
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN inner_way i ON i.g IS NOT DISTINCT FROM l.lang AND i.p = l.p LEFT JOIN outer_way o ON o.p = s.p)
+    SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256,
+        list_reduce(list_prepend(claim, way), lambda a, x: sha256(CASE WHEN x[1] = 'l' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root, folded_root = root AS verified FROM r"""

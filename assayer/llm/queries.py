@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontam, html_text, imatch, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import decontam, html_text, imatch, merkle, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
-from assayer.llm.oracles import GROUPS, OVERLAPS, SHARDS as SHARDS_SQL
+from assayer.llm.oracles import GROUPS, OVERLAPS, PROOFS, SHARDS as SHARDS_SQL
 from assayer.plans.registry import Registry
 
 LLM = Registry()
@@ -104,3 +104,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     shards = sharding.assign_shards(read(spark, folder, "documents"), [1.0] * SHARDS, [1.0] * (SHARDS + 1))
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@LLM.add("op11_merkle_manifest", PROOFS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.col("doc_id").isNotNull() & (crc32_fold("doc_id", 7) == 0)
+    leaves = merkle.document_leaves(read(spark, folder, "documents"), tampered=tampered)
+    return merkle.verify_documents(merkle.Manifest(leaves))
