@@ -90,3 +90,48 @@ PROOFS = f"""WITH RECURSIVE c AS (SELECT {_crc_table()} AS tab),
         FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang LEFT JOIN inner_way i ON i.g IS NOT DISTINCT FROM l.lang AND i.p = l.p LEFT JOIN outer_way o ON o.p = s.p)
     SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda x: x[2:]), '')) AS proof_sha256,
         list_reduce(list_prepend(claim, way), lambda a, x: sha256(CASE WHEN x[1] = 'l' THEN x[2:] || a ELSE a || x[2:] END)) AS folded_root, folded_root = root AS verified FROM r"""
+
+
+def _cheapest(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _edit(state: str, letter: str, cost: str, text: str = "''") -> str:
+    """A way prolonged by an edit: cost, audit, repaired texts."""
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {letter}, 't': {state}.t || {text}}}"
+
+
+def _kept(state: str, role: str) -> str:
+    """The row kept where its initial fits, else given the role; out of reach where it has to go."""
+    own = f"initial = '{role[0]}'"
+    reroled = "1000000" if role == "system" else "3"
+    return _edit(
+        state,
+        f"CASE WHEN {own} THEN 'K' ELSE 'R' END",
+        f"CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE CASE WHEN {own} THEN 0 ELSE {reroled} END + CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END END",
+        f"chr(10) || CASE WHEN {own} THEN role ELSE '{role}' END || ':' || text",
+    )
+
+
+_INSERTED_USER = _cheapest("s2", *[_edit(s, "'I'", "3", "chr(10) || 'user:'") for s in ("s0", "s1", "s3")])
+_INSERTED_ASSISTANT = _cheapest("s3", _edit("g2", "'I'", "3", "chr(10) || 'assistant:'"))
+_GAP = f"(SELECT *, {_INSERTED_ASSISTANT} AS g3 FROM (SELECT *, {_INSERTED_USER} AS g2 FROM b))"
+_UNREACHED = "{'c': 1000000000, 'a': '', 't': ''}"
+
+#: Damaged rows and their faults; then row by row the cheapest way to each of the four states, with its least audit.
+REPAIRS = rf"""WITH RECURSIVE c AS (SELECT {_crc_table()} AS tab),
+    o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations, c),
+    d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS again FROM o WHERE f <> 0),
+    n AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER w - 1 AS i, lag(substr(role, 1, 1)) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS sighting
+        FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
+    f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN sighting > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM n),
+    g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate,
+        count_if(fault = 'truncated') AS truncated, count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+    b AS (SELECT DISTINCT conv_id, 0 AS i, {{'c': 0, 'a': '', 't': ''}} AS s0, {_UNREACHED} AS s1, {_UNREACHED} AS s2, {_UNREACHED} AS s3 FROM conversations
+        UNION ALL SELECT conv_id, i + 1, {_edit("s0", "'D'", "4")}, {_cheapest(_edit("s1", "'D'", "4"), _kept("s0", "system"))},
+            {_cheapest(_edit("g2", "'D'", "4"), *[_kept(s, "user") for s in ("s0", "s1", "g3")])}, {_cheapest(_edit("g3", "'D'", "4"), _kept("g2", "assistant"))}
+        FROM (SELECT q.*, f.role, f.text, f.initial, f.fault FROM {_GAP} q JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i)),
+    e AS (SELECT q.conv_id, {_cheapest("s0", "g3")} AS best FROM {_GAP} q LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id WHERE q.i = coalesce(g.n, 0))
+    SELECT e.conv_id, {", ".join(f"CAST(coalesce({k}, 0) AS BIGINT) AS {k}" for k in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
+    FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id"""

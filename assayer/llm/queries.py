@@ -6,9 +6,9 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import decontam, html_text, imatch, merkle, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import conversations, decontam, html_text, imatch, merkle, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
-from assayer.llm.oracles import GROUPS, OVERLAPS, PROOFS, SHARDS as SHARDS_SQL
+from assayer.llm.oracles import GROUPS, OVERLAPS, PROOFS, REPAIRS, SHARDS as SHARDS_SQL
 from assayer.plans.registry import Registry
 
 LLM = Registry()
@@ -111,3 +111,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.col("doc_id").isNotNull() & (crc32_fold("doc_id", 7) == 0)
     leaves = merkle.document_leaves(read(spark, folder, "documents"), tampered=tampered)
     return merkle.verify_documents(merkle.Manifest(leaves))
+
+
+@LLM.add("op12_conversation_repair", REPAIRS)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations")
+    return conversations.repair(conversations.damage(rows), rows.select("conv_id"))
