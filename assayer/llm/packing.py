@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from assayer.llm.common import arrow_batches, pieces
 
-#: Distinct words of which a Python worker remembers the ids.
-REMEMBERED = 600_000
+#: Distinct words of which a Python worker remembers the ids, and their longest.
+REMEMBERED, LONGEST = 600_000, 40
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -50,17 +50,22 @@ class Encoder:
     around a single space can join over that border; such texts are encoded whole.
     A word goes through the faster of two libraries that apply the same merges;
     it reads the vocabulary of the given file, whose ids must be in merge order.
+
+    ``special_tokens`` says whether strings such as ``<|endoftext|>`` in a text
+    are the one id that a plain call of the tokenizer gives, or ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_tokens: bool = False):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        model = json.loads(self.tokenizer.to_str())["model"]
+        self.tokenizer.encode_special_tokens = not special_tokens
+        parts = json.loads(self.tokenizer.to_str())
+        model = parts["model"]
+        strings = [regex.escape(t["content"]) for t in parts["added_tokens"]] if special_tokens else []
         vocab, letters = model["vocab"], byte_letters()
         merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         if any(vocab[a] >= vocab[b] for a, b in zip(merged, merged[1:], strict=False)):
@@ -68,7 +73,7 @@ class Encoder:
         known = set(merged)
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if len(t) == 1 or t in known}
         self.word = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.joined = regex.compile(r"\s (?:\s|$)")
+        self.joined = regex.compile("|".join([r"\s (?:\s|$)", *strings]))
         self.words: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -83,8 +88,10 @@ class Encoder:
         if len(self.words) > REMEMBERED:  # keep what the texts at hand use
             self.words = {w: self.words[w] for w in need & self.words.keys()}
         word = self.word
-        self.words.update((w, array("I", word(" " + w)).tobytes()) for w in need - self.words.keys())
-        known = self.words.__getitem__
+        new = {w: array("I", word(" " + w)).tobytes() for w in need - self.words.keys()}
+        long = {w: ids for w, ids in new.items() if len(w) > LONGEST}  # for the texts at hand only
+        self.words.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
+        known = self.words.__getitem__ if not long else lambda w: self.words.get(w) or long[w]
         return [
             self._whole(t) if words is None else array("I", word(words[0])).tobytes() + b"".join(map(known, words[1:]))
             for t, words in zip(texts, split, strict=True)
@@ -141,7 +148,7 @@ class Bins:
             self._close(bin_)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, cuts: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, cuts: int = 3, key: str = "doc_id", text: str = "text", special_tokens: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``ids`` holds the piece's ids as little-endian 32-bit numbers; the ids of a
@@ -166,7 +173,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
             return arrow_batches(dict(zip(_ARROW.names, columns, strict=True)), _ARROW)
 
         for batch in pieces(batches):
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder or Encoder(tokenizer, special_tokens)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 ids += end

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from assayer.llm import conversations, decontam, html_text, imatch, merkle, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
+from assayer.llm import conversations, decontam, grouped_packing, html_text, imatch, merkle, ngram_join, packing, pii, quality_gam, secret_scan, sharding, toxicity_fm
 from assayer.llm.common import crc32_fold, read, span_digest
 from assayer.llm.oracles import GROUPS, OVERLAPS, PROOFS, REPAIRS, SHARDS as SHARDS_SQL
 from assayer.plans.registry import Registry
@@ -96,7 +96,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @LLM.add("op7_harmonic_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.pack(read(spark, folder, "documents"), tokenizer_path())
+    pieces = packing.pack(read(spark, folder, "documents"), tokenizer_path(), special_tokens=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -117,3 +117,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     rows = read(spark, folder, "conversations")
     return conversations.repair(conversations.damage(rows), rows.select("conv_id"))
+
+
+@LLM.add("op13_grouped_packing")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    packed = grouped_packing.pack(read(spark, folder, "documents"), tokenizer_path(), end_id=2)
+    return packed.withColumn("length", F.col("length").cast("long"))
