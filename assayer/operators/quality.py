@@ -226,6 +226,7 @@ def report(df: DataFrame, key: str = "smiles") -> str:
     facts = _facts(df, key).collect()  # a few rows per column
     small = df.sparkSession.createDataFrame(facts, "section string, column_name string, metric string, value double")
     lines = [f"quality score {score_of(small).first()['quality_score']:.1f} of 100"]
+    lines += [f"Total records: {int(r['value'])}" for r in facts if r["metric"] == "records"]  # fixed text
     shown = None
     for r in facts:
         if r["section"] != shown:

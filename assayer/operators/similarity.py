@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import check_metric, score_from_counts, set_score
 from ..session import stage
+from .near_duplicates import least_share
 from .rules import column_for
 
 
@@ -89,12 +90,6 @@ def _all_ranks(scored: DataFrame, target_id: str) -> tuple[DataFrame, Column]:
     return ranked, rows.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def _least_share(metric: str, threshold: float) -> float:
-    """Share of a set's own bits that any match at the threshold must contain."""
-    name = check_metric(metric)
-    return {"tanimoto": threshold, "dice": threshold / (2 - threshold), "cosine": threshold**2}[name]
-
-
 def search_many(
     queries: DataFrame,
     targets: DataFrame,
@@ -119,7 +114,7 @@ def search_many(
         raise ValueError("search_many needs a threshold above 0 and up to 1")
     if top_k is not None and top_k < 1:
         raise ValueError("top_k must be 1 or more")
-    share = _least_share(metric, threshold)
+    share = least_share(metric, threshold)
     q = queries.select(F.col(query_id).alias("q"), F.col(bits).alias("q_bits")).filter(F.size("q_bits") > 0)
     t = targets.select(F.col(target_id).alias("t"), F.col(bits).alias("t_bits"))
     q_tokens = q.select("q", F.size("q_bits").alias("q_size"), F.explode("q_bits").alias("bit"))
