@@ -141,12 +141,15 @@ def _candidates(prefix: DataFrame, metric: str, threshold: float, share: float)
     return pairs.where(F.col("c") + rest >= least).select("left_id", "right_id")
 
 
-def word_shingles(text: Column, words: str, n: int = 5) -> Column:
-    """Hashes of the distinct runs of ``n`` words, as far as 52 bits go; a shorter text is one run, no words are none.
+def with_word_shingles(df: DataFrame, column: str, name: str, words: str, n: int = 5) -> DataFrame:
+    """Add hashes of the distinct runs of ``n`` words of a text, as far as 52 bits go.
 
-    ``words`` is the pattern of a word.
+    A shorter text is one run, no words or a null are none.  ``words`` is the
+    pattern of a word.  The words are a column of their own, used more than
+    once, so Spark splits a text once.
     """
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(words), F.lit(0))
+    split = df.withColumn("_words", F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(words), F.lit(0)))
     hashed = lambda run: F.conv(F.substring(F.md5(F.array_join(run, " ")), 1, 13), 16, 10).cast("bigint")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - (n - 1), F.lit(1))), lambda i: hashed(F.slice(found, i, F.lit(n))))
-    return F.when(F.size(found) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1))), lambda i: hashed(F.slice("_words", i, F.lit(n))))
+    none = F.array().cast("array<bigint>")
+    return split.withColumn(name, F.when(F.size("_words") > 0, F.array_distinct(runs)).otherwise(none)).drop("_words")

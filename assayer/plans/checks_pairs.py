@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import sign_bits
 from ..operators import features
-from ..operators.near_duplicates import near_duplicates, word_shingles
+from ..operators.near_duplicates import near_duplicates, with_word_shingles
 from .checks_rules import WORDS_SQL
 from .derived import read
 from .registry import REGISTRY, rounded
@@ -23,7 +23,7 @@ _PAIRS_SQL = rf"""w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{
 
 
 def _documents(spark, folder):
-    docs = read(spark, folder, "documents").select("doc_id", word_shingles(F.col("text"), features.WORDS).alias("bits"))
+    docs = with_word_shingles(read(spark, folder, "documents").select("doc_id", "text"), "text", "bits", features.WORDS)
     return near_duplicates(docs, "doc_id", "bits", threshold=0.75)
 
 
