@@ -12,11 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.numbering import number_rows
+from ..session import stage
+
 # Quota per minute, cache lifetime, job states.
 QUOTA_PER_MINUTE = 100
 CACHE_TTL_SECONDS = 3600
 JOB_STATES = ("pending", "running", "completed", "failed", "cancelled")
 
+#: Sightings of a block that one task walks through; longer blocks go by doubled jumps.
+WALK_ROWS = 100_000
+
 
 def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
     """The watermark, on streams only; event time must be an instant there."""
@@ -126,9 +132,11 @@ def cache_misses(events: DataFrame, key: str, row_id: str, ts: str = "ts", ttl_s
     Exact to the microsecond; of sightings at one instant the smallest id counts.
     ``cached_at`` is in microseconds.  A key's sightings are cut into blocks
     wherever none came for a whole TTL, as nothing is cached after that; the cuts
-    are found on the first and last sighting per key and TTL.  Blocks are walked
-    in time order, a batch of rows at a time, each in one task.  Without such a
-    gap every decision hangs on the one before it.
+    are found on the first and last sighting per key and TTL.  A block of up to
+    ``WALK_ROWS`` sightings is walked in time order, a batch of rows at a time.
+    In a longer one every sighting points to the first that finds it expired, and
+    the kept ones are those that pointers lead to from the first (``_by_jumps``);
+    no task has a block to itself there.
     """
     ttl = ttl_seconds * 1_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
@@ -141,6 +149,18 @@ def cache_misses(events: DataFrame, key: str, row_id: str, ts: str = "ts", ttl_s
         F.col("k").alias("k2"), F.col("bin").alias("bin2"), F.sum("new").over(before).alias("block")
     )
     placed = firsts.join(cuts, F.col("k").eqNullSafe(F.col("k2")) & (F.col("bin") == F.col("bin2"))).select("k", "block", "at", "first_id")
+    placed = stage(placed, "sightings")
+    long = placed.groupBy("k", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WALK_ROWS).select(F.col("k").alias("k2"), F.col("block").alias("block2"))
+    long = stage(long, "long-blocks")  # one row per WALK_ROWS sightings at most
+    is_long = F.col("k").eqNullSafe(F.col("k2")) & (F.col("block") == F.col("block2"))
+    kept = _walked(placed.join(long, is_long, "left_anti"), ttl)
+    if not long.isEmpty():
+        kept = kept.unionByName(_by_jumps(placed.join(long, is_long, "left_semi"), ttl))
+    return kept.select(F.col("k").alias(key), F.col("first_id").alias(row_id), F.col("at").alias("cached_at"))
+
+
+def _walked(placed: DataFrame, ttl: int) -> DataFrame:
+    """Kept sightings of blocks, each walked through by one task."""
     ordered = placed.repartition("k", "block").sortWithinPartitions("k", "block", "at")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,5 +189,42 @@ def cache_misses(events: DataFrame, key: str, row_id: str, ts: str = "ts", ttl_s
                     i += 1
             yield pdf.iloc[chosen]
 
-    kept = ordered.mapInPandas(walk, ordered.schema)
-    return kept.select(F.col("k").alias(key), F.col("first_id").alias(row_id), F.col("at").alias("cached_at"))
+    return ordered.mapInPandas(walk, ordered.schema)
+
+
+def _next_sightings(placed: DataFrame, ttl: int) -> DataFrame:
+    """k, block, n, p, next, at, first_id: sightings numbered from 0, and the number of the first one ``ttl`` later or more.
+
+    Every sighting asks at its own time plus the TTL.  Among sightings and
+    questions in one order of time, question p has p questions before it, so
+    what else is before it are the sightings that are too early.
+    """
+    numbered = stage(number_rows(placed, ["at"], ["k", "block"], "p", "n"), "numbered")
+    # A question stands before the sightings of its instant.
+    asked = numbered.select("k", "block", (F.col("at") + F.lit(ttl)).alias("t"), F.lit(0).alias("kind"), "n", "p", "at", "first_id")
+    seen = numbered.select("k", "block", F.col("at").alias("t"), F.lit(1).alias("kind"), "n", "p", "at", "first_id")
+    both = number_rows(stage(asked.unionAll(seen), "questions"), ["t", "kind"], ["k", "block"], "u").where("kind = 0")
+    return both.select("k", "block", "n", "p", (F.col("u") - F.col("p")).alias("next"), "at", "first_id")
+
+
+def _by_jumps(placed: DataFrame, ttl: int) -> DataFrame:
+    """Kept sightings by pointer doubling, for blocks of any length.
+
+    After round i the marks are the sightings at most 2**i - 1 jumps from the
+    first, and a pointer spans 2**i jumps.  A round joins on the number of a sighting,
+    of which there is one each, and is written before the next one; there are
+    as many rounds as the longest chain of kept sightings has binary digits.
+    """
+    nodes = stage(_next_sightings(placed, ttl), "nodes")
+    jumps = nodes.where("next < n").select("k", "block", "p", "next")  # the others lead nowhere
+    marks = nodes.where("p = 0").select("k", "block", "p")
+    same = lambda left, right: F.col("k").eqNullSafe(F.col("k2")) & (F.col("block") == F.col("block2")) & (F.col(left) == F.col(right))
+    while True:
+        target = jumps.select(F.col("k").alias("k2"), F.col("block").alias("block2"), F.col("p").alias("p2"), F.col("next").alias("next2"))
+        reached = stage(marks.join(target, same("p", "p2")).select("k", "block", F.col("next2").alias("p")), "reached")
+        if reached.isEmpty():
+            break
+        marks = stage(marks.unionByName(reached), "marks")
+        jumps = stage(jumps.join(target, same("next", "p2")).select("k", "block", "p", F.col("next2").alias("next")), "jumps")
+    chosen = marks.select(F.col("k").alias("k2"), F.col("block").alias("block2"), F.col("p").alias("p2"))
+    return nodes.join(chosen, same("p", "p2"), "left_semi").select("k", "block", "at", "first_id")

@@ -55,6 +55,46 @@ def test_cache_misses_across_arrow_batches(spark):
     assert whole == parts
 
 
+def loop_misses(rows, ttl):
+    """event_id of the kept sightings, key by key."""
+    kept, out = {}, set()
+    for i, ts, key in sorted(rows, key=lambda r: (r[1], r[0])):
+        if key not in kept or ts - kept[key] >= timedelta(seconds=ttl):
+            kept[key] = ts
+            out.add(i)
+    return out
+
+
+def test_jumps_give_what_the_walk_gives(spark, monkeypatch):
+    """A key with a sighting every second, one without a key, and quiet keys, at several lifetimes."""
+    rng = random.Random(8)
+    rows = [(i, START + timedelta(seconds=i), "steady") for i in range(3000)]
+    rows += [(5000 + i, START + timedelta(seconds=rng.randrange(4000), microseconds=rng.randrange(3)), None) for i in range(1500)]
+    rows += [(9000 + i, START + timedelta(seconds=rng.randrange(10**6)), f"k{i % 40}") for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, endpoint string").repartition(6)
+    monkeypatch.setattr(usage, "WALK_ROWS", 100)
+    for ttl in (1, 7, 600, 10**5):
+        found = [r["event_id"] for r in usage.cache_misses(df, "endpoint", "event_id", ttl_seconds=ttl).collect()]
+        assert len(found) == len(set(found)) and set(found) == loop_misses(rows, ttl)
+
+
+def test_no_task_walks_a_long_block(spark, monkeypatch):
+    monkeypatch.setattr(usage, "WALK_ROWS", 200)
+    rows = [(i, START + timedelta(seconds=i), "steady") for i in range(20_000)] + [(30_000 + i, START + timedelta(days=i), "calm") for i in range(500)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, endpoint string").repartition(6)
+    walked, ranges = [], []
+    walk, number = usage._walked, usage.number_rows
+    monkeypatch.setattr(usage, "_walked", lambda placed, ttl: walked.append(placed) or walk(placed, ttl))
+    monkeypatch.setattr(usage, "number_rows", lambda d, *a: ranges.append((d, [*a[1], *a[0]])) or number(d, *a))
+    found = usage.cache_misses(df, "endpoint", "event_id", ttl_seconds=900)
+    assert {r["event_id"] for r in found.collect()} == loop_misses(rows, 900)
+    assert max(r["count"] for r in walked[0].groupBy("k", "block").count().collect()) <= 200
+    # The long block is dealt over the ranges that the numbering sorts, about evenly.
+    data, keys = ranges[0]
+    shares = [r["count"] for r in data.repartitionByRange(8, *keys).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) >= 7 and max(shares) <= 2 * sum(shares) / len(shares)
+
+
 def stream_of(spark, df, folder, files=1):
     df.repartition(files).write.parquet(folder)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
