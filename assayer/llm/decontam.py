@@ -10,6 +10,7 @@ is made of DataFrame functions.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,10 +24,10 @@ DENSE_MASKS = ("11011", "1111")
 SHORT_MASKS = {1: "1", 2: "11", 3: "111", 4: "11", 5: "11", 6: "111", 7: "111", 8: "11"}
 #: Words of a verification window, and the share of them that must be equal.
 WINDOW, SHARE = 16, 0.75
-#: Bits of the filters of benchmark words and seeds; fixed, so they are literals of any plan.
-WORD_BITS, SEED_BITS = 1 << 16, 1 << 18
-#: Benchmark seeds that are still broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 500_000
+#: Bits of the filters of benchmark words, pairs of neighbours and seeds; fixed, so they are literals of any plan.
+WORD_BITS, PAIR_BITS, SEED_BITS = 1 << 16, 1 << 18, 1 << 18
+#: Benchmark seeds that are still broadcast, and words of its items per seed; beyond that both sides are shuffled.
+BROADCAST_ROWS, ITEM_WORDS = 500_000, 10
 
 
 def word_hashes(text: str | Column) -> Column:
@@ -81,17 +82,22 @@ def benchmark_seeds(benchmark: DataFrame, masks: Sequence[str], key: str, text:
     return items, seeds, list(held)
 
 
-def _hits(mask: str, known_seed: Column) -> Column:
-    """Places whose words under the mask are all known, with their seed, if that is known too."""
-    rest = [o for o, c in enumerate(mask) if c == "1"][1:]
+def _pair(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i), F.get(words, i + 1))
+
 
-    def possible(i: Column) -> Column:
-        test = F.get("known", i)
-        for o in rest:
-            test = test & F.get("known", i + o)
-        return test
+def _hits(mask: str, known_seed: Column) -> Column:
+    """Places that may hold a seed of the benchmark, with the seed, if that is known too.
 
-    places = F.filter(_starts(F.col("words"), mask), possible)
+    A mask with two neighbouring ones is laid only where that pair of words is
+    one of the benchmark; any other mask where all of its words are.
+    """
+    if (pair := mask.find("11")) >= 0:
+        fits = F.filter("pairs", lambda j: (j >= pair) & (j - pair + len(mask) <= F.size("words")))
+        places = F.transform(fits, lambda j: j - pair)
+    else:
+        ones = [o for o, c in enumerate(mask) if c == "1"]
+        places = F.filter(_starts(F.col("words"), mask), lambda i: reduce(lambda a, b: a & b, [F.get("known", i + o) for o in ones]))
     seeded = F.transform(places, lambda i: F.struct(i.alias("i"), _seed(F.col("words"), i, mask).alias("seed")))
     return F.filter(seeded, lambda s: _has(known_seed, s["seed"], SEED_BITS))
 
@@ -122,18 +128,26 @@ def contaminated(
     one document; rows of the benchmark with one id are one item; null ids are
     kept; no rows on either side give no rows; further columns are not carried.
 
-    Words that are not in the benchmark rule out most places before a seed is
-    hashed, and seeds that are not in it before a row is made, both by filters of
-    fixed size.  The benchmark's seeds are broadcast only up to a counted bound.
+    Pairs of neighbouring words that are not in the benchmark rule out most places
+    before a seed is hashed, and seeds that are not in it before a row is made,
+    both by filters of fixed size.  The benchmark's seeds and items are broadcast
+    only up to a counted bound.
     """
     items, seeds, masks = benchmark_seeds(benchmark, masks, item_key, item_text, short_tolerance)
-    known_word = _bits(items.select(F.explode("item").alias("w")), WORD_BITS)
+    neighbours = items.where(F.size("item") > 1).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("item") - 2), lambda i: _pair(F.col("item"), i))).alias("p"))
+    known_pair = _bits(neighbours, PAIR_BITS)
     known_seed = _bits(seeds.select("seed"), SEED_BITS)
+    # Seeds are counted by distinct texts, items by the words of all ids.
     small = seeds.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = small and (items.agg(F.sum(F.size("item"))).first()[0] or 0) <= ITEM_WORDS * BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
     rows = docs.select(F.col(key).alias("doc_id"), word_hashes(text).alias("words"))
-    rows = rows.withColumn("known", F.transform("words", lambda w: _has(known_word, w, WORD_BITS)))
+    pairs = F.filter(F.sequence(F.lit(0), F.size("words") - 2), lambda i: _has(known_pair, _pair(F.col("words"), i), PAIR_BITS))
+    rows = rows.withColumn("pairs", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<int>")))
+    if any("11" not in mask for mask in masks):
+        known_word = _bits(items.select(F.explode("item").alias("w")), WORD_BITS)
+        rows = rows.withColumn("known", F.transform("words", lambda w: _has(known_word, w, WORD_BITS)))
     hits = [_hits(mask, known_seed) for mask in masks]
     before = F.least(F.col("h.i"), F.lit(window))
     found = (

@@ -3,14 +3,16 @@
 A text keeps the terms whose inverse document frequency lies in a band.  Every
 part of the lexicon is a share of the hash range of terms; its hash covers the
 sorted distinct terms of the text that lie in it.  One part is the whole
-lexicon, quarters and eighths cover it once more each, and further parts have
-shares down to 2**-20, so texts with up to a million distinct terms, as many as
-the lexicon has slots, have parts with about one term: those tell how much of a
-text is the same, while equal texts agree in all of them.
+lexicon, quarters and eighths cover it once more each, and further parts begin
+at random places of their own and have shares down to 2**-20, so texts with up
+to a million distinct terms, as many as the lexicon has slots, have parts with
+about one term: those tell how much of a text is the same, while equal texts
+agree in all of them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -28,6 +30,22 @@ HOT_SHARE = 0.01
 #: (scale, parts): each part of scale s has the share 2**-s of the lexicon.
 SCALES = ((0, 1), (2, 4), *((s, 8) for s in range(3, 21)))
 _RANGE = 30
+#: The sign bit of a long.
+SIGN = -(2**63)
+
+
+def part_ranges() -> list[tuple[int, int]]:
+    """(low, high) of every part, scale by scale: in order where a scale's parts cover the range, else from a random place each."""
+    out = []
+    for scale, parts in SCALES:
+        width = 1 << (_RANGE - scale)
+        for p in range(parts):
+            seeded = int(hashlib.md5(f"{scale}:{p}".encode()).hexdigest()[:8], 16) % ((1 << _RANGE) - width + 1)
+            low = p * width if parts == 1 << scale else seeded
+            out.append((low, low + width))
+    return out
+
+
 #: Rows of one range of ids, about, and ranges at most.
 RANGE_ROWS, RANGES = 5_000, 8_192
 
@@ -91,33 +109,40 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fingerprint(text: str | Column, band: Column) -> Column:
-    """16-bit hash of every part of the lexicon, null where a part holds no term of the text."""
-    kept = F.filter(F.array_distinct(word_hashes(text)), lambda h: _has(band, h, SLOTS))
-    return let(F.array_sort(kept), lambda terms: F.flatten(_scales(terms, list(SCALES))))
-
+def _numbers(values: list[int], kind: str = "int") -> Column:
+    """A literal array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-def _place(h: Column) -> Column:
-    """Place of a term in the lexicon's hash range; other bits than the slot's."""
-    return F.shiftrightunsigned(h, 64 - _RANGE)
 
+def fingerprint(text: str | Column, band: Column) -> Column:
+    """16-bit hash of every part of the lexicon, null where a part holds no term of the text.
 
-def _scales(terms: Column, scales: list[tuple[int, int]]) -> Column:
-    """Arrays of part hashes, one per scale.  Each scale keeps to the terms of the one before."""
-    (scale, parts), rest = scales[0], scales[1:]
-    width = 1 << (_RANGE - scale)
-    inside = F.filter(terms, lambda h: _place(h) < parts * width)
+    Terms are sorted by place once, so that a part is a slice of them; all ends
+    of parts are found in one pass over the terms and the ends in one order.
+    """
+    ranges = part_ranges()
+    ends = sorted({e for r in ranges for e in r})
+    at = {e: i for i, e in enumerate(ends)}
+    low, high = (_numbers([at[r[side]] for r in ranges]) for side in (0, 1))
+    kept = F.filter(F.array_distinct(word_hashes(text)), lambda h: _has(band, h, SLOTS))
+    # With the sign bit turned, signed order is the order of places.
+    by_place = F.array_sort(F.transform(kept, lambda h: h.bitwiseXOR(F.lit(SIGN))))
 
-    def both(held: Column) -> Column:
-        own = F.array(F.array(*[_part(held, p * width, (p + 1) * width) for p in range(parts)]))
-        return F.concat(own, _scales(held, rest)) if rest else own
+    def part(terms: Column, below: Column, i: Column) -> Column:
+        first, last = F.get(below, F.get(low, i)), F.get(below, F.get(high, i))
+        return F.when(last > first, F.xxhash64(F.slice(terms, first + 1, last - first)).bitwiseAND(F.lit(0xFFFF)).cast("int"))
 
-    return let(inside, both)
+    each = F.sequence(F.lit(0), F.lit(len(ranges) - 1))
+    return let(by_place, lambda terms: let(_below(terms, ends), lambda below: F.transform(each, lambda i: part(terms, below, i))))
 
 
-def _part(terms: Column, low: int, high: int) -> Column:
-    own = F.filter(terms, lambda h: (_place(h) >= low) & (_place(h) < high))
-    return let(own, lambda o: F.when(F.size(o) > 0, F.xxhash64(o).bitwiseAND(F.lit(0xFFFF)).cast("int")))
+def _below(terms: Column, ends: list[int]) -> Column:
+    """How many terms lie before each of the ends, which are places in ascending order."""
+    # An end is an even number, and the terms of its place are the odd one behind it.
+    places = F.transform(terms, lambda t: F.shiftrightunsigned(t.bitwiseXOR(F.lit(SIGN)), 64 - _RANGE) * 2 + 1)
+    mixed = F.sort_array(F.concat(places, _numbers([2 * e for e in ends], "bigint")))
+    found = F.array_compact(F.transform(mixed, lambda x, i: F.when(x % 2 == 0, i)))
+    return F.transform(found, lambda i, k: i - k)
 
 
 def as_text(parts: Column) -> Column:
@@ -133,20 +158,20 @@ def likeness(a: Column, b: Column) -> Column:
     parts of a long text change with any edit.  Texts without any such part have
     the likeness 1 if all their parts are equal, else 0.
     """
-    same, told, at = F.lit(0), F.lit(0), 1
-    for _, parts in SCALES:
-        pairs = F.zip_with(F.slice(a, at, parts), F.slice(b, at, parts), lambda x, y: F.when(x.isNotNull() | y.isNotNull(), F.coalesce(x == y, F.lit(False))))
-        at += parts
-        counts = _told(pairs)
-        sparse = counts["told"] * 4 <= parts * 3
-        same, told = same + F.when(sparse, counts["same"]).otherwise(0), told + F.when(sparse, counts["told"]).otherwise(0)
-    return F.when(told > 0, same / told).otherwise(F.when(a == b, 1.0).otherwise(0.0))
-
-
-def _told(pairs: Column) -> Column:
-    return let(
-        F.filter(pairs, lambda e: e.isNotNull()), lambda t: F.struct(F.size(t).alias("told"), F.size(F.filter(t, lambda e: e)).alias("same"))
-    )
+    firsts = [1 + sum(parts for _, parts in SCALES[:i]) for i in range(len(SCALES))]
+    first, parts = _numbers(firsts), _numbers([n for _, n in SCALES])
+    codes = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), 0).when(x.eqNullSafe(y), 2).otherwise(1))
+
+    def of_scale(all_codes: Column, i: Column) -> Column:
+        held = F.filter(F.slice(all_codes, F.get(first, i), F.get(parts, i)), lambda e: e > 0)
+        none = F.struct(F.lit(0).alias("told"), F.lit(0).alias("same"))
+        counts = lambda h: F.struct(F.size(h).alias("told"), F.size(F.filter(h, lambda e: e == 2)).alias("same"))
+        return let(held, lambda h: F.when(F.size(h) * 4 <= F.get(parts, i) * 3, counts(h)).otherwise(none))
+
+    scales = let(codes, lambda c: F.transform(F.sequence(F.lit(0), F.lit(len(SCALES) - 1)), lambda i: of_scale(c, i)))
+    start = F.struct(F.lit(0).alias("told"), F.lit(0).alias("same"))
+    total = F.aggregate(scales, start, lambda t, x: F.struct((t["told"] + x["told"]).alias("told"), (t["same"] + x["same"]).alias("same")))
+    return let(total, lambda t: F.when(t["told"] > 0, t["same"] / t["told"]).otherwise(F.when(a == b, 1.0).otherwise(0.0)))
 
 
 def _range_of(key: str, bounds: list[int]) -> Column:
@@ -158,15 +183,16 @@ def _range_of(key: str, bounds: list[int]) -> Column:
     return F.coalesce(place, F.lit(0))
 
 
-def with_next(rows: DataFrame, key: str, carried: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, carried: list[str], tie: list[str] | None = None) -> DataFrame:
     """Each row with ``next``, a struct of ``carried`` of the row with the next key; the last has the first's.
 
-    Ties go by the hash of the row.  Rows meet in ranges of keys with about
+    Ties go by the hash of the columns ``tie``, all carried ones if not given; rows
+    that tie in that too must be alike.  Rows meet in ranges of keys with about
     ``RANGE_ROWS`` rows each, cut at quantiles.  The first row of every range is
     also put behind the range before it, so no range waits for another; there
     are at most ``RANGES`` such rows.
     """
-    rows = rows.withColumn("tie", F.xxhash64(*carried))
+    rows = rows.withColumn("tie", F.xxhash64(*(tie or carried)))
     n = rows.count()
     ranges = max(1, min(RANGES, n // RANGE_ROWS))
     bounds = []
@@ -211,7 +237,7 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text", most_s
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     # Part hashes have 16 bits and are dealt as such.
     rows = rows.withColumn("parts", F.transform(fingerprint("text", band), lambda p: (p - (1 << 15)).cast("short")))
-    rows = with_next(rows, "doc_id", ["text", "parts"])
+    rows = with_next(rows, "doc_id", ["text", "parts"], ["text"])
     wide = lambda parts: F.transform(parts, lambda p: p.cast("int") + (1 << 15))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -240,3 +240,17 @@ def test_pipeline_stage_by_stage(spark):
 def test_pipeline_run(spark):
     rows = corpus_pipeline.run(spark, FOLDER).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert rows and max(r["n"] for r in rows) <= 1024 and [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "packing"]
+
+
+def test_many_ids_with_one_text_are_not_broadcast(spark, monkeypatch):
+    """Items are counted by their ids: a text with many of them stays out of a broadcast, with the same result."""
+    text = " ".join(f"item{i}" for i in range(30))
+    benchmark = spark.createDataFrame([(i, text) for i in range(300)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {text} behind"), (2, "nothing of it at all")], "doc_id long, text string")
+    whole = decontam.contaminated(docs, benchmark)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 200)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    apart = decontam.contaminated(docs, benchmark)
+    assert "strategy=broadcast" in plan(whole) and "strategy=broadcast" not in plan(apart)
+    rows = sorted(map(tuple, whole.collect()))
+    assert len(rows) == 300 and rows == sorted(map(tuple, apart.collect()))

@@ -166,7 +166,8 @@ def fingerprint_brute(text, counts, total):
     for scale, parts in imatch.SCALES:
         width = 1 << (30 - scale)
         for p in range(parts):
-            out.append(frozenset(t for t in terms if p * width <= t >> 34 < (p + 1) * width))
+            low = p * width if scale <= 3 else int(hashlib.md5(f"{scale}:{p}".encode()).hexdigest()[:8], 16) % (2**30 - width + 1)
+            out.append(frozenset(t for t in terms if low <= t >> 34 < low + width))
     return out
 
 
