@@ -1,4 +1,4 @@
-"""Row numbers over a whole table or inside groups, however large a group is.
+"""Row numbers and running totals over a whole table or inside groups, however large a group is.
 
 Rows are dealt by ranges of (groups, order), so a large group fills several
 ranges and small ones share a range.  A row's number is its place in its range
@@ -44,3 +44,24 @@ def number_rows(
     numbers = {number: F.col("_before") + F.col("_at") - F.col("_start")} | ({total: F.col("_total")} if total else {})
     added = [c for c in numbers if c not in df.columns]
     return ranged.join(right, same).withColumns(numbers).select(*df.columns, *added)
+
+
+def prefix_sums(df: DataFrame, by: str, values: list[str], buckets: int | None = None) -> DataFrame:
+    """Sums of ``values`` per value of ``by``, and over all smaller ones: adds ``<value>_before``.
+
+    Rows are summed per value of ``by`` before they are ordered.  Those sums are
+    dealt by ranges whose bounds are sampled from themselves, so ranges have
+    about as many rows each, as many ranges as the session has shuffle
+    partitions or ``buckets``.  The ranges' own totals are added up before one
+    another, a row per range, and a range is ordered by itself.
+    """
+    sums = stage(df.groupBy(by).agg(*[F.sum(v).alias(v) for v in values]), "sums")
+    key = F.col(by).asc_nulls_first()
+    ranged = sums.repartitionByRange(*([buckets] if buckets else []), key).withColumn("_range", F.spark_partition_id())
+    ranged = stage(ranged, "ranges")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    offsets = totals.select("_range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_offset") for v in values])
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"{v}_offset") for v in values}
+    return ranged.join(offsets, "_range").withColumns(before).drop("_range", *[f"{v}_offset" for v in values])

@@ -1,19 +1,20 @@
-"""Exact ranks and prefix sums without sorting a table in one task.
+"""Exact ranks without sorting a table in one task.
 
 ``order_statistics`` finds the value at a rank by narrowing a window: a
 mergeable quantile sketch proposes bounds, exact counts confirm them, and only
 a window of bounded size is ever gathered.  ``group_cuts`` does the same for
-many groups at once, and ``prefix_sums`` gives running totals
-over range buckets.
+many groups at once.  Numbers of all rows and running totals are in ``numbering``.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DateType, StringType, TimestampNTZType, TimestampType
 
 from ..session import stage
+from .numbering import prefix_sums
+
+__all__ = ["group_cuts", "hashed_row_at_rank", "not_after", "order_statistics", "prefix_sums", "row_at_rank", "sort_keys"]
 
 #: Values gathered for one rank at most; a window with more rows is narrowed.
 WINDOW = 10_000
@@ -273,27 +274,3 @@ def group_cuts(
         *[F.max(F.when(F.col("cut") == name, F.struct("h", "k"))).alias(name) for name in sizes]
     )
     return stage(cuts, "cuts")
-
-
-def prefix_sums(df: DataFrame, by: str, values: list[str], buckets: int = 2048) -> DataFrame:
-    """Sums of ``values`` per value of numeric ``by``, and over all smaller ones.
-
-    Adds ``<value>_before``.  Rows fall into range buckets whose bounds come
-    from a quantile sketch.  Totals before a bucket come from a table of at
-    most ``buckets`` rows, so that table may be broadcast; rows are summed per
-    value of ``by`` before they are ordered, bucket by bucket.
-    """
-    rows = df.select(F.col(by).cast("double").alias("by_double"), by, *values)
-    steps = [i / buckets for i in range(1, buckets)]
-    bounds = rows.agg(F.percentile_approx("by_double", steps, ACCURACY)).first()[0] or []
-    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol="by_double", outputCol="bucket").transform(rows).drop("by_double")
-    totals = ranged.groupBy("bucket").agg(*[F.sum(v).alias(v) for v in values])
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "bucket", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_offset") for v in values]
-    )
-    out = ranged.groupBy("bucket", by).agg(*[F.sum(v).alias(v) for v in values]).join(F.broadcast(offsets), "bucket")
-    inside = Window.partitionBy("bucket").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    before = {f"{v}_before": F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"{v}_offset") for v in values}
-    return out.withColumns(before).drop("bucket", *[f"{v}_offset" for v in values])

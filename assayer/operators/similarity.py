@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.scores import check_metric, score_from_counts, set_score
 from ..session import stage
 from .near_duplicates import least_share
+from .numbering import number_rows
 from .rules import column_for
 
 
@@ -36,9 +37,8 @@ def search(
     """Targets ranked by their likeness to one query: all, or the ``top_k`` nearest.
 
     The query's few bits are a literal, so this is one map-only scan.  With
-    ``top_k`` its tasks each keep that many rows; without, ranks come from a
-    distributed sort (``ordering`` of the sorted parts), as many rows as targets
-    at or above the threshold.  Invalid targets score 0 with an error.
+    ``top_k`` its tasks each keep that many rows; without, all targets at or above
+    the threshold are numbered by ranges (``numbering``).  Invalid targets score 0 with an error.
     The threshold applies only above 0.  Counts of all comparisons and of the
     rows kept come along as columns.
     """
@@ -73,21 +73,11 @@ def search(
 def _all_ranks(scored: DataFrame, target_id: str) -> tuple[DataFrame, Column]:
     """Every row with its rank by (score descending, id), and the number of rows.
 
-    Scores are cut into 10,000 steps; a step begins where the counts of the
-    higher steps end, and rows are ranked inside (step, score) alone.
+    Rows are numbered by ranges of both, so targets of one score, which may be
+    most of them, are cut by their ids.
     """
-    rows = stage(scored.withColumn("_step", F.floor(F.col("similarity_score") * 10_000)), "scores")
-    sizes = rows.groupBy("_step", "similarity_score").agg(F.count(F.lit(1)).alias("_n"))
-    steps = sizes.groupBy("_step").agg(F.sum("_n").alias("_all"))
-    above = Window.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)  # at most 10,001 rows
-    first = steps.select("_step", F.coalesce(F.sum("_all").over(above), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("_step").orderBy(F.desc("similarity_score")).rowsBetween(Window.unboundedPreceding, -1)
-    start = sizes.join(first, "_step").select(
-        "similarity_score", (F.col("_first") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_start")
-    )
-    own = Window.partitionBy("similarity_score").orderBy(target_id)
-    ranked = rows.join(start, "similarity_score").withColumn("rank", (F.col("_start") + F.row_number().over(own)).cast("int"))
-    return ranked, rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ranked = number_rows(stage(scored, "scores"), [F.desc("similarity_score"), target_id], (), "rank", "_kept")
+    return ranked.withColumn("rank", (F.col("rank") + 1).cast("int")), F.col("_kept")
 
 
 def search_many(

@@ -117,9 +117,8 @@ def page_by_name(spark, folder):
 def pages_cover_all_rows(spark, folder):
     """All pages of a table with a missing key, counted."""
     rows = read(spark, folder, "customer").selectExpr("nullif(c_custkey, 77) AS k")
-    number = -(-rows.count() // 400)
-    pages = [rules.page(rows, "k", n, 400, largest=400).select(F.lit(n).alias("page"), "k") for n in range(1, number + 1)]
-    return reduce(DataFrame.unionAll, pages).groupBy("page").agg(F.count(F.lit(1)).alias("row_count"), F.sum("k").alias("key_sum"))
+    pages = rules.with_pages(rows, "k", 400)
+    return pages.groupBy("page").agg(F.count(F.lit(1)).alias("row_count"), F.sum("k").alias("key_sum"))
 
 
 # --- features ---------------------------------------------------------------------
