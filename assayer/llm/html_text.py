@@ -1,8 +1,9 @@
 """Main text of web pages by two passes over their blocks.
 
-Pass one decides blocks alone, by the part of the page they stand in, their link
-density, their length and the density of function words.  Pass two gives the
-short and unclear ones the label of the nearest decided block.
+In pass one the density of function words, the length, the link density and the
+part of the page that a block stands in vote on it; names of classes tell parts,
+so they are votes too.  Pass two gives the short and undecided ones the label of
+the nearest decided block.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BAD_NAMES = frozenset(
     "login signup signin search toolbar pagination pager skip contentinfo complementary dialog form copyright legal".split()
 )
 MAIN_NAMES = frozenset("article main post story entry articlebody".split())
+#: Beside one of these a name tells a state or a setting of the page (``has-sidebar``), not what the element is.
+STATE_NAMES = frozenset("has no not with without open opened closed free on off enabled disabled allowed left right layout page type format status js".split())
 
 # Function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -51,39 +54,51 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
-NOTICE = re.compile(r"(?i)©|copyright\b|.{0,80}\ball rights reserved\b")
+NOTICE = re.compile(r"(?i)©|copyright\s*(?:©|\(c\)|(?:19|20)\d\d)|.{0,80}\ball rights reserved\b")
 WORD = re.compile(r"[^\W\d_]+")
 
 #: Limits of pass one, in characters and shares.
 SHORT, LONG, LINKS, FEW, ENOUGH = 70, 200, 0.5, 0.12, 0.22
 GOOD, BAD, OPEN = 1, 0, None
+#: Parts of a page: what is no content by its element, what its names speak against, the page, the article.
+OUT, AGAINST, PAGE, ARTICLE = -2, -1, 0, 1
 
 
-def _zone(tag: str, rest: str, above: str) -> str:
-    """Part of the page an element opens: outside, main, or that around it."""
-    if above == "outside" or tag in OUTSIDE:
-        return "outside"
-    if rest:
-        if HIDDEN.search(rest):
-            return "outside"
-        names = {w for m in NAMES.finditer(rest) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())}
-        if names & BAD_NAMES and tag not in ("html", "body"):
-            return "outside"
-        if names & MAIN_NAMES and tag not in ("html", "body"):
-            return "main"
-    return "main" if tag in MAIN else above
+def name_votes(rest: str) -> int:
+    """1 if the class, id and role of an element speak for an article, -1 if against, by their number; 0 if neither."""
+    votes = 0
+    for m in NAMES.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(re.split(r"[_-]+", name))
+            if words & BAD_NAMES:
+                votes -= not words & STATE_NAMES
+            elif words <= MAIN_NAMES:
+                votes += 1
+    return (votes > 0) - (votes < 0)
 
 
-def blocks(html: str) -> list[tuple[str, float, str]]:
+def _zone(tag: str, rest: str, above: int) -> int:
+    """Part of the page an element opens.
+
+    Names against it hold for all that is inside.  An article inside such a part
+    is only as good as the page around; what its own text says decides there.
+    """
+    if above == OUT or tag in OUTSIDE or rest and HIDDEN.search(rest):
+        return OUT
+    votes = (tag in MAIN) + (name_votes(rest) if rest and tag not in ("html", "body") else 0)
+    return AGAINST if votes < 0 else min(ARTICLE, above + (votes > 0))
+
+
+def blocks(html: str) -> list[tuple[str, float, int]]:
     """(text, link density, zone) of the blocks in page order, without empty ones.
 
     References are decoded, white space is one space.  Elements that are never
     closed end with the element around them.
     """
-    out: list[tuple[str, float, str]] = []
-    stack: list[tuple[str, str]] = [("", "page")]
+    out: list[tuple[str, float, int]] = []
+    stack: list[tuple[str, int]] = [("", PAGE)]
     parts: list[str] = []
-    linked, link, at, block_zone = 0, 0, 0, "page"
+    linked, link, at, block_zone = 0, 0, 0, PAGE
 
     def flush() -> None:
         nonlocal linked, parts
@@ -135,49 +150,46 @@ def blocks(html: str) -> list[tuple[str, float, str]]:
     return out
 
 
-def first_pass(text: str, links: float, zone: str) -> int | None:
-    """Label of a block by itself; ``OPEN`` where it is short or unclear."""
-    if zone == "outside" or links > LINKS or zone == "page" and NOTICE.match(text):
+def first_pass(text: str, links: float, zone: int) -> int | None:
+    """Label of a block by itself; ``OPEN`` where it is short or the votes are even."""
+    if zone < PAGE or links > LINKS or zone == PAGE and NOTICE.match(text):
         return BAD
     if len(text) < SHORT:
         return OPEN
-    if zone == "main":
-        return GOOD
     words = WORD.findall(text.lower())
     density = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
-    if density >= ENOUGH or len(text) >= LONG and density >= FEW:
-        return GOOD
-    return BAD if links > LINKS / 2 else OPEN
+    votes = (density >= FEW) + (density >= ENOUGH) - 1 + (len(text) >= LONG) - (links > LINKS / 2) + zone
+    return GOOD if votes > 0 else BAD if votes < 0 else OPEN
 
 
-def labels(found: list[tuple[str, float, str]]) -> list[int]:
-    """Both passes.  Open blocks ask the nearest decided block of their zone.
+def second_pass(found: list[tuple[str, float, int]], first: list[int | None]) -> list[int]:
+    """Open blocks take the label of the nearest decided block of their part of the page, or else of any part.
 
-    Of two equally near ones a good one counts.  Without any, a block of the
-    article stays; one elsewhere stays only if the page has no article and no
-    other text that is good.
+    Of two equally near ones a good one counts.  Without any decided block the
+    open ones are good, those of an article alone if there are such.
     """
-    first = [first_pass(*b) for b in found]
-    out = list(first)
-    has_main = any(zone == "main" for _, _, zone in found)
-    for zone in ("main", "page"):
+    out: list[int | None] = list(first)
+    best = max((b[2] for b in found), default=PAGE)
+    for zone in (ARTICLE, PAGE):
         mine = [i for i, b in enumerate(found) if b[2] == zone]
-        default = GOOD if zone == "main" or not has_main and GOOD not in first else BAD
-        before: list[int | None] = []
-        last = None
+        voters = [i for i in mine if first[i] is not OPEN and found[i][1] <= LINKS] or [i for i, v in enumerate(first) if v is not OPEN and found[i][2] >= PAGE]
+        after = 0
         for i in mine:
-            last = i if first[i] is not OPEN else last
-            before.append(last)
-        after = None
-        for i, left in zip(reversed(mine), reversed(before), strict=True):
-            after = i if first[i] is not OPEN else after
-            if first[i] is OPEN:
-                near = [j for j in (left, after) if j is not None]
-                out[i] = first[min(near, key=lambda j: (abs(j - i), first[j] == BAD))] if near else default
-            if zone == "main" and out[i] == BAD and found[i][1] <= LINKS:
-                out[i] = GOOD  # the article's own short lines stay beside link lists
-            if zone == "page" and has_main:
-                out[i] = BAD
+            if first[i] is not OPEN:
+                continue
+            while after < len(voters) and voters[after] < i:
+                after += 1
+            near = voters[max(0, after - 1) : after + 1]
+            out[i] = first[min(near, key=lambda j: (abs(j - i), first[j] == BAD))] if near else GOOD if zone == best else BAD
+    return out
+
+
+def labels(found: list[tuple[str, float, int]]) -> list[int]:
+    """Both passes.  Where names speak against every good block of a page, they are not heard."""
+    out = second_pass(found, [first_pass(*b) for b in found])
+    if GOOD not in out and any(b[2] == AGAINST for b in found):
+        found = [(text, links, PAGE if zone == AGAINST else zone) for text, links, zone in found]
+        out = second_pass(found, [first_pass(*b) for b in found])
     return out
 
 
