@@ -2,17 +2,18 @@
 
 A value in a credential context (``login password is Xk29-vv7q``) is priced as a
 guesser would pay for it: dynamic programming finds the cheapest way to write it
-as words, dates, repeats, keyboard walks, sequences and brute-force spans.
+as words, dates, repeats, keyboard walks, sequences and brute-force spans.  The
+words are common ones of passwords, then those that most texts of the corpus hold.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from math import lgamma, log, log10
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm.common import pieces
 
@@ -38,10 +39,10 @@ WORDS = (
     "baseball batman superman michael jordan summer winter spring autumn orange purple yellow silver golden house flower magic star blue "
     "green black white red cat dog bird fish horse computer internet server service system public private access data file name email "
     "account company office school family friend money happy lucky angel baby mother father brother sister king queen power world "
-    "passwort geheim hallo sommer bonjour soleil amour contrasena hola amor espana france berlin paris madrid london redacted hidden"
+    "passwort geheim hallo sommer bonjour soleil amour contrasena hola amor espana france berlin paris madrid london redacted hidden happiness"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-LONGEST = max(map(len, WORDS))
+#: Words that are counted in the corpus: so many of the commonest, in so many texts at least, of so many letters.
+COUNTED, LEAST_TEXTS, LETTERS = 50_000, 3, (3, 24)
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "azertyuiop", "yxcvbnm")
 LEET = str.maketrans("4@301!$57", "aaeolisst")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])[-./]?(?:[0-2]\d|3[01]))?|(?:[0-2]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:(?:19|20)\d\d|\d\d)")
@@ -59,7 +60,18 @@ def _steps(value: str, joined) -> list[int]:
     return ends
 
 
-def guess_cost(value: str) -> float:
+def ranks(counted: Sequence[str] = ()) -> dict[str, int]:
+    """Place of every word in the order in which a guesser tries them."""
+    out = {w: i + 1 for i, w in enumerate(WORDS)}
+    for w in counted:
+        out.setdefault(w, len(out) + 1)
+    return out
+
+
+RANK = ranks()
+
+
+def guess_cost(value: str, rank: dict[str, int] = RANK) -> float:
     """log10 of the guesses for the cheapest segmentation of a value; empty: 0.
 
     Segments multiply their guesses, and k of them can stand in k! orders, which
@@ -81,11 +93,11 @@ def guess_cost(value: str) -> float:
     for i, c in enumerate(value):
         size = 10 if c.isdigit() else 26 if c.isalpha() else 33
         offer(i, i + 1, log10(size), 0)
-        for j in range(i + 3, min(i + LONGEST, len(value)) + 1):
-            rank = RANK.get(plain[i:j])
-            if rank:
-                changed = (value[i:j] != low[i:j]) + (plain[i:j] != low[i:j])
-                offer(i, j, log10(rank) + 0.6 * changed + 0.3)
+        for j in range(i + LETTERS[0], min(i + LETTERS[1], len(value)) + 1):
+            for word in {plain[i:j], low[i:j]}:
+                if place := rank.get(word):
+                    changed = (value[i:j] != low[i:j]) + (word != low[i:j])
+                    offer(i, j, log10(place) + 0.6 * changed + 0.3)
         if c.isdigit():
             match = DATE.match(value, i)
             if match:
@@ -97,12 +109,20 @@ def guess_cost(value: str) -> float:
     return total + lgamma(segments + 1) / log(10)
 
 
-def looks_random(value: str) -> bool:
-    """Letters beside digits or signs; plain words and numbers are no credentials."""
-    return any(c.isalpha() for c in value) and any(c.isdigit() or not c.isalnum() for c in value[:-1])
+def frequent_words(docs: DataFrame, text: str = "text", most: int = COUNTED, least_texts: int = LEAST_TEXTS) -> list[str]:
+    """The words that most texts of the whole table hold, commonest first; ties by the word.
+
+    A text counts once per word.  Values in credential context are cut out before,
+    so that a secret which many copies repeat is no common word.  At most ``most``
+    words come to the driver; no or empty texts give none.
+    """
+    body = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(CONTEXT.pattern), F.lit(" "))
+    words = F.filter(F.array_distinct(F.split(body, r"[^\p{L}]+")), lambda w: F.length(w).between(*LETTERS))
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
+    return [r["word"] for r in counts.where(F.col("texts") >= least_texts).orderBy(F.desc("texts"), "word").limit(most).collect()]
 
 
-def find_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, str, float | None]]:
+def find_spans(text: str, least_cost: float = LEAST_COST, rank: dict[str, int] = RANK) -> list[tuple[int, int, str, float | None]]:
     """(start, end, kind, cost) by start, then kind; cost only for ``guess``.
 
     Base spans are whole matches.  A guess span is the value alone, without marks
@@ -123,7 +143,7 @@ def find_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int
             while at < len(base) and base[at][0] < end:
                 reach = max(reach, base[at][1])
                 at += 1
-            if reach <= start and looks_random(value) and (cost := guess_cost(value)) >= least_cost:
+            if reach <= start and (cost := guess_cost(value, rank)) >= least_cost:
                 out.append((start, end, "guess", cost))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -131,20 +151,22 @@ def find_spans(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("cost", pa.float64())])
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least_cost: float = LEAST_COST) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least_cost: float = LEAST_COST, words: Sequence[str] | None = None) -> DataFrame:
     """A row per document: doc_id and its spans (start, end, kind, cost), sorted.
 
+    ``words`` are cheap to guess; if not given they are counted over ``docs``.
     Null and empty texts have no spans; repeated rows and null keys stay as they
     are; no rows give no rows; further columns are not carried.  Places count
     code points, the end is exclusive.  Texts are handled whole, a slice of rows
     at a time, and nothing is shuffled.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(_SPAN))])
+    rank = ranks(frequent_words(docs, text) if words is None else words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             spans = [
-                [dict(zip(("start", "end", "kind", "cost"), s, strict=True)) for s in find_spans(t or "", least_cost)]
+                [dict(zip(("start", "end", "kind", "cost"), s, strict=True)) for s in find_spans(t or "", least_cost, rank)]
                 for t in batch.column(1).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, schema.field(1).type)], schema=schema)
@@ -153,10 +175,10 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     return rows.mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long,kind:string,cost:double>>")
 
 
-def masked(text: str, mask: str = "[SECRET]", least_cost: float = LEAST_COST) -> str:
+def masked(text: str, mask: str = "[SECRET]", least_cost: float = LEAST_COST, rank: dict[str, int] = RANK) -> str:
     """The text with every span, overlapping ones as one, replaced by the mask."""
     parts, at, reach = [], 0, -1
-    for start, end, *_ in find_spans(text, least_cost):
+    for start, end, *_ in find_spans(text, least_cost, rank):
         if start >= reach:
             parts += [text[max(at, reach) : start], mask]
             at = end
@@ -164,14 +186,19 @@ def masked(text: str, mask: str = "[SECRET]", least_cost: float = LEAST_COST) ->
     return "".join(parts) + text[max(at, reach) :] if parts else text
 
 
-def mask_secrets(docs: DataFrame, text: str = "text", size: str | None = "n_chars", least_cost: float = LEAST_COST) -> DataFrame:
-    """The same rows and columns with secrets replaced, and ``size`` counted anew where it exists."""
+def mask_secrets(docs: DataFrame, text: str = "text", size: str | None = "n_chars", least_cost: float = LEAST_COST, words: Sequence[str] | None = None) -> DataFrame:
+    """The same rows and columns with secrets replaced, and ``size`` counted anew where it exists.
+
+    ``words`` as in ``scan_secrets``.  Null texts stay null and keep their size,
+    empty ones stay; repeated rows and null keys stay; no rows give no rows.
+    """
+    rank = ranks(frequent_words(docs, text) if words is None else words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             names = batch.schema.names
             old = batch.column(names.index(text)).to_pylist()
-            new = [t if t is None else masked(t, least_cost=least_cost) for t in old]
+            new = [t if t is None else masked(t, least_cost=least_cost, rank=rank) for t in old]
             if new == old:
                 yield batch
                 continue
