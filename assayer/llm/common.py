@@ -53,12 +53,13 @@ def span_digest(spans: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, keep: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts of at most ``rows`` labelled keys, chosen by a hash of the key: doc_id, text, label.
+    """At most ``rows`` labelled texts, chosen by a hash of the key: doc_id, text, label.
 
     ``keep`` is a condition on ``doc_id`` that says which labels may be seen.
     Repeated labels of a key count by their mean, null labels not at all.  The
     chosen keys number ``rows`` at most, so they are broadcast; the documents
-    are read once and not shuffled.
+    are read once.  Equal rows of a key count once, and different texts of one
+    key count against ``rows`` too.
     """
     chosen = (
         labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label"))
@@ -69,4 +70,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
         .limit(rows)
     )
     texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(rows)

@@ -23,8 +23,13 @@ SAMPLE_ROWS = 10_000
 BITS, RANK = 20, 4
 #: Lengths of the word beginnings that are terms beside the word itself.
 STEMS = (4, 5)
-#: Words of which a Python worker remembers the terms.
-REMEMBERED = 400_000
+#: Characters of the words of which a Python worker remembers the terms.
+REMEMBERED = 4_000_000
+#: Texts of the rarer label that a pair of terms stands in at least, and the standard errors by which
+#: they are more than the two terms alone would have it.
+PAIR_ROWS, PAIR_Z = 12, 7.0
+#: Terms of a block of the pair counts.
+BLOCK = 512
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…–—¿¡"
 
 
@@ -32,7 +37,7 @@ class Terms:
     """Hashed terms of texts, with a memory of words."""
 
     def __init__(self, wanted: np.ndarray | None = None):
-        self.wanted, self.words = wanted, {}
+        self.wanted, self.words, self.held = wanted, {}, 0
 
     def of_word(self, word: str) -> tuple[int, ...]:
         word = word.strip(EDGE)
@@ -47,9 +52,11 @@ class Terms:
         for word in set((text or "").lower().split()):
             ids = words.get(word)
             if ids is None:
-                if len(words) >= REMEMBERED:
+                if self.held >= REMEMBERED:
                     words.clear()
+                    self.held = 0
                 ids = words[word] = self.of_word(word)
+                self.held += len(word)
             if ids:
                 found.update(ids)
         return np.array(sorted(found), np.int32)
@@ -84,11 +91,11 @@ def raw(rows: np.ndarray, at: np.ndarray, n: int, weights: np.ndarray, vectors:
 
 
 def select(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, least_rows: int = 4, least_z: float = 4.0) -> np.ndarray:
-    """Terms that go with one label more than chance would have it.
+    """Terms that go with one label by themselves more than chance would have it.
 
     With hundreds of chance words in a text, all weights together are noise; the
     machine gets those terms whose counts differ between labels by ``least_z``
-    standard errors, and that ``least_rows`` texts hold.
+    standard errors, and that ``least_rows`` texts hold, and ``select_pairs``.
     """
     size = 1 << BITS
     count = np.bincount(ids, minlength=size).astype(float)
@@ -98,6 +105,51 @@ def select(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, least_rows: int = 4
     return np.flatnonzero((count >= least_rows) & (np.abs(z) >= least_z))
 
 
+def select_pairs(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, least_rows: int = PAIR_ROWS, least_z: float = PAIR_Z) -> np.ndarray:
+    """Terms that say something only beside another one.
+
+    Of every two terms it is counted in how many texts they stand together, and
+    in how many of the rarer label.  Both are kept if those are more than the
+    share of either term, or their joint lift, makes likely.  The counts are
+    products of 0/1 blocks of ``BLOCK`` terms, so memory is that of a few blocks.
+    """
+    label = y == 1 if y.mean() <= 0.5 else y == 0
+    size, share = 1 << BITS, label.mean()
+    count, ones = np.bincount(ids, minlength=size), np.bincount(ids, label[rows], minlength=size)
+    terms = np.flatnonzero(ones >= least_rows)
+    order = np.argsort(ids, kind="stable")
+    first, last = np.searchsorted(ids[order], terms), np.searchsorted(ids[order], terms, side="right")
+    place = np.empty(len(y), int)  # texts of the rarer label first
+    n_ones = int(label.sum())
+    place[label], place[~label] = np.arange(n_ones), np.arange(n_ones, len(y))
+    own = (ones[terms] + share) / (count[terms] + 1)
+
+    def block(at: int) -> np.ndarray:
+        part = range(at, min(at + BLOCK, len(terms)))
+        out = np.zeros((len(y), len(part)), np.float32)
+        for column, t in enumerate(part):
+            out[place[rows[order[first[t] : last[t]]]], column] = 1
+        return out
+
+    found = np.zeros(len(terms), bool)
+    for i in range(0, len(terms), BLOCK):
+        left = block(i)
+        for j in range(i, len(terms), BLOCK):
+            right = left if i == j else block(j)
+            with_label = left[:n_ones].T @ right[:n_ones]
+            a, b = (np.flatnonzero((with_label >= least_rows).any(axis)) for axis in (1, 0))
+            if not len(a):
+                continue
+            both = with_label[np.ix_(a, b)]
+            n = both + left[n_ones:, a].T @ right[n_ones:, b]
+            pa_, pb = own[i + a][:, None], own[j + b][None, :]
+            likely = np.clip(np.maximum(np.maximum(pa_, pb), pa_ * pb / share), share, 0.99)
+            z = (both - n * likely) / np.sqrt(np.maximum(n, 1) * likely * (1 - likely))
+            x, y_ = np.nonzero((both >= least_rows) & (z >= least_z))
+            found[i + a[x]] = found[j + b[y_]] = True
+    return terms[found]
+
+
 def fit(
     texts: list[np.ndarray], y: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-5, decay_pairs: float = 1e-4, seed: int = 7
 ) -> Machine:
@@ -115,7 +167,7 @@ def fit(
         return none
     rows = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     ids = np.concatenate(texts)
-    terms = select(rows, ids, y)
+    terms = np.union1d(select(rows, ids, y), select_pairs(rows, ids, y))
     if not len(terms):
         return none
     held = np.isin(ids, terms)
