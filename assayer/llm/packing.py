@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from assayer.llm.common import arrow_batches, pieces
 
-#: Distinct words of which a Python worker remembers the ids, and their longest.
-REMEMBERED, LONGEST = 600_000, 40
+#: Characters of the words of which a Python worker remembers the ids, and the longest of those words.
+REMEMBERED, LONGEST = 6_000_000, 40
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -75,6 +75,7 @@ class Encoder:
         self.word = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.joined = regex.compile("|".join([r"\s (?:\s|$)", *strings]))
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -85,12 +86,15 @@ class Encoder:
         for words in split:
             if words:
                 need.update(words)
-        if len(self.words) > REMEMBERED:  # keep what the texts at hand use
+        if self.held > REMEMBERED:  # keep what the texts at hand use
             self.words = {w: self.words[w] for w in need & self.words.keys()}
+            self.held = sum(map(len, self.words))
         word = self.word
         new = {w: array("I", word(" " + w)).tobytes() for w in need - self.words.keys()}
         long = {w: ids for w, ids in new.items() if len(w) > LONGEST}  # for the texts at hand only
-        self.words.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
+        short = {w: ids for w, ids in new.items() if len(w) <= LONGEST}
+        self.words.update(short)
+        self.held += sum(map(len, short))
         known = self.words.__getitem__ if not long else lambda w: self.words.get(w) or long[w]
         return [
             self._whole(t) if words is None else array("I", word(words[0])).tobytes() + b"".join(map(known, words[1:]))

@@ -70,6 +70,35 @@ def test_machine_learns_a_pair():
     assert np.abs(model.vectors).max() > 0.3
 
 
+def test_machine_finds_terms_that_are_neutral_alone():
+    """Both terms have the base share of toxic texts by themselves, and half of the texts with both are toxic."""
+    rng = np.random.default_rng(8)
+    texts, labels = [], []
+    for _ in range(6000):
+        a, b = map(int, rng.random(2) < 0.2)
+        share = 0.5 if a and b else 0.0625 if a or b else 0.15
+        texts.append(" ".join([f"filler{i}" for i in rng.integers(0, 300, 20)] + ["alpha"] * a + ["omega"] * b))
+        labels.append(float(rng.random() < share))
+    terms, y = toxicity_fm.Terms(), np.array(labels)
+    ids = [terms.of_text(t) for t in texts]
+    rows, flat = np.repeat(np.arange(len(ids)), [len(t) for t in ids]), np.concatenate(ids)
+    alone = set(toxicity_fm.select(rows, flat, y))
+    asked = {int(t) for t in terms.of_text("alpha omega")}
+    assert not asked & alone and asked <= set(toxicity_fm.select_pairs(rows, flat, y).tolist())
+    model = toxicity_fm.fit(ids, y)
+    wanted = toxicity_fm.Terms(model.wanted())
+    score = lambda t: model.score([wanted.of_text(t)])[0]
+    assert score("alpha omega") > 0.35 > 0.2 > max(score("alpha"), score("omega"), score("filler1"))
+
+
+def test_memory_of_terms_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity_fm, "REMEMBERED", 100)
+    terms = toxicity_fm.Terms()
+    for i in range(200):
+        assert len(terms.of_text(f"word{i} other{i}"))
+    assert sum(map(len, terms.words)) < 130
+
+
 def test_machine_product_is_that_of_all_pairs():
     rng = np.random.default_rng(4)
     weights, vectors = rng.normal(size=6), rng.normal(size=(6, 3))
@@ -100,6 +129,14 @@ def test_sample_is_bounded_and_keeps_out_the_fold(spark):
     assert len(ids) == 50 and all(zlib.crc32(str(d).encode()) % 5 for d in ids)
 
 
+def test_sample_is_bounded_in_rows(spark):
+    """One id holds equal rows and different texts; both count against the bound."""
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 30).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, v int")
+    assert labelled_sample(docs, labels, "v", 50, F.lit(True)).count() == 30
+    assert labelled_sample(docs, labels, "v", 2, F.lit(True)).count() == 2
+
+
 def test_low_quality_rows_go_with_all_their_columns(spark):
     docs = awkward(spark, ["good text of the day"] * 20 + ["!! BAD !!"] * 20)
     labels = docs.where("doc_id >= 100").select("doc_id", (F.col("text") != "!! BAD !!").cast("int").alias("v"))

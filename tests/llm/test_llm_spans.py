@@ -124,6 +124,26 @@ def test_hard_values_in_credential_context():
     assert find("the password is changeme") == find("password: p@ssw0rd1") == find("the secret is happiness") == find("code Xk29-vv7q") == []
 
 
+def test_values_of_letters_or_digits_alone_are_priced():
+    find = lambda t: [(t[a:b], k) for a, b, k, _ in secret_scan.find_spans(t)]
+    assert find("login password is XkqvRtbnWzpLq") == [("XkqvRtbnWzpLq", "guess")]
+    assert find("login password is 84619275038461, she said") == [("84619275038461", "guess")]
+    assert find("the password is 1999-12-31") == find("the password is aaaaaaaaaaaaaa") == find("login: qwertyuiop") == []
+
+
+def test_words_of_the_corpus_are_cheap(spark):
+    """Common words are no secrets; a secret that many copies repeat is no common word."""
+    texts = ["Wanderfalken and Kirschbaum stand here"] * 5 + ["login password is XkqvRtbnWzpLq now"] * 20 + ["the secret is wanderfalken, my pwd: kirschbaum1987"]
+    docs = awkward(spark, texts)
+    words = secret_scan.frequent_words(docs)
+    assert {"wanderfalken", "kirschbaum"} <= set(words) and "xkqvrtbnwzplq" not in words
+    assert secret_scan.frequent_words(docs, most=2) == words[:2] and secret_scan.frequent_words(empty(spark)) == []
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in secret_scan.scan_secrets(docs).where("doc_id >= 100").collect()}
+    assert all(spans[100 + i] == (["guess"] if 5 <= i < 25 else []) for i in range(26))
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(docs).where("doc_id >= 100").collect()}
+    assert masked[105] == "login password is [SECRET] now" and masked[125] == texts[25]
+
+
 def test_masks_cover_all_spans(spark):
     docs = awkward(spark, ["x token = \"0123456789abcdef01\" y", "nothing here"])
     rows = {r["doc_id"]: r for r in secret_scan.mask_secrets(docs).where("doc_id >= 100").collect()}

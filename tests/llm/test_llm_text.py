@@ -53,6 +53,39 @@ def test_page_rules(html, text):
     assert html_text.main_text(html or "") == text
 
 
+LAW = "Copyright law in the city was a matter that the council had to decide about before the end of the year, and so it did."
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f'<article class="post comments-open"><p>{STORY}</p><p>{LAW}</p></article>', f"{STORY}\n{LAW}"),
+        (f'<article class="post type-post has-sidebar"><p>{STORY}</p><p>{LAW}</p></article>', f"{STORY}\n{LAW}"),
+        (f'<div class="entry ad-free"><p>{STORY}</p><p>{LAW}</p></div>', f"{STORY}\n{LAW}"),
+        (f'<div id="page" class="has-sidebar"><article><p>{STORY}</p></article></div>', STORY),
+        (f'<div class="entry-title">Bridge</div><div><p>{STORY}</p></div>', f"Bridge\n{STORY}"),
+        (f"<main>A line</main><div><p>{STORY}</p><p>{LAW}</p></div>", f"A line\n{STORY}\n{LAW}"),
+        (f'<div class="sidebar"><p>{STORY}</p><p>{LAW}</p></div>', f"{STORY}\n{LAW}"),
+        (f'<article><h1>T</h1><p>{STORY}</p><div class="related"><article class="post"><p>{LAW}</p></article></div></article>', f"T\n{STORY}\n{LAW}"),
+        (f'<article><p>{STORY}</p><div class="comments"><div class="comment entry-comment"><p>{LAW}</p></div></div></article>', STORY),
+        (f'<article><p>{STORY}</p></article><div class="ad-slot"><p>{LAW}</p></div><p>Imprint</p><p><a href="x">All of our other pages in one long list of links</a></p>', STORY),
+    ],
+)
+def test_votes_of_names_and_text(body, text):
+    page = f"<html><body><nav><a href=x>Home</a><a href=y>News of the day</a></nav>{body}<footer>Foot</footer></body></html>"
+    assert html_text.main_text(page) == text
+
+
+def test_pages_without_article_elements(spark):
+    """The rules of pass one and two find nearly all of the text when no element tells where the article is."""
+    common = found = kept = 0
+    for r in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
+        want = collections.Counter(html_text.main_text(r["html"]).split("\n"))
+        got = collections.Counter(html_text.main_text(re.sub("<(/?)article>", r"<\1div>", r["html"])).split("\n"))
+        common, found, kept = common + sum((want & got).values()), found + sum(got.values()), kept + sum(want.values())
+    assert common / kept > 0.95 and common / found > 0.85
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>Some text</p>", "y"), (2, "u", "<" * 50_000, "z"), (2, "u", "<a <b " * 5_000, "z"), (3, "u", "<div>" * 20_000 + "deep", "z")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -103,6 +136,15 @@ def test_packing_of_odd_texts(spark):
     assert pieces.where("start = 0").count() == everything.count() and packing.pack(empty(spark), tokenizer_path()).count() == 0
 
 
+def test_memory_of_words_is_bounded_in_characters(monkeypatch):
+    plain, small = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path())
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    for i in range(30):
+        texts = [" ".join(f"word{i}x{j}" * 3 for j in range(40)), "the same words here " + "y" * 900]
+        assert small.encode(texts) == plain.encode(texts)
+    assert sum(map(len, small.words)) == small.held < 3_000
+
+
 def test_classes_hold_a_fixed_number_of_pieces():
     for tokens in range(1, 3000, 7):
         cut = packing.cut(tokens, 1024, 3)
