@@ -92,14 +92,17 @@ class Encoder:
         word = self.word
         new = {w: array("I", word(" " + w)).tobytes() for w in need - self.words.keys()}
         long = {w: ids for w, ids in new.items() if len(w) > LONGEST}  # for the texts at hand only
-        short = {w: ids for w, ids in new.items() if len(w) <= LONGEST}
-        self.words.update(short)
-        self.held += sum(map(len, short))
-        known = self.words.__getitem__ if not long else lambda w: self.words.get(w) or long[w]
-        return [
+        self.words.update(new)
+        self.held += sum(map(len, new))
+        known = self.words.__getitem__
+        out = [
             self._whole(t) if words is None else array("I", word(words[0])).tobytes() + b"".join(map(known, words[1:]))
             for t, words in zip(texts, split, strict=True)
         ]
+        for w in [w for w in new if len(w) > LONGEST]:  # for the texts at hand only
+            del self.words[w]
+            self.held -= len(w)
+        return out
 
 
 def cut(tokens: int, capacity: int, cuts: int) -> list[tuple[int, int]]:
