@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DataType, NumericType
 
@@ -167,38 +167,95 @@ def feature_importance(df: DataFrame, target: str, columns: list[str] | None = N
     )
 
 
+_CELL = "i int, j int, n double, mean_i double, mean_j double, sq_i double, sq_j double, both double, odd double"
+
+
+def _moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Pairwise complete moments of the columns of some rows, as matrices; null values are NaN with no ``odd`` mark.
+
+    Products are taken of distances to the column's own middle value, so a
+    constant column has none and large values lose no digits.
+    """
+    seen = np.isfinite(x)
+    middle = np.zeros(x.shape[1])
+    for c in range(x.shape[1]):
+        own = x[seen[:, c], c]
+        if len(own):
+            middle[c] = np.partition(own, len(own) // 2)[len(own) // 2]
+    away = np.where(seen, x - middle, 0.0)
+    mask = seen.astype(float)
+    n, total, squares, products = mask.T @ mask, away.T @ mask, (away**2).T @ mask, away.T @ away
+    some = np.maximum(n, 1)
+    spread = squares - total**2 / some
+    spread[spread <= 1e-13 * squares] = 0  # constant among the rows of the pair
+    return {"n": n, "mean": middle[:, None] + total / some, "sq": spread, "both": products - total * total.T / some}
+
+
+def _merged(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    n = a["n"] + b["n"]
+    some = np.maximum(n, 1)
+    step = np.where((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"], 0.0)
+    weight = a["n"] * b["n"] / some
+    mean = np.where(a["n"] > 0, a["mean"] + step * b["n"] / some, b["mean"])
+    return {"n": n, "mean": mean, "sq": a["sq"] + b["sq"] + weight * step**2, "both": a["both"] + b["both"] + weight * step * step.T}
+
+
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of all column pairs, pairwise complete, long form.
 
-    A constant column gives null.  Pairs are aggregated side by side, 24 to a
-    scan of the columns they name, so that each aggregate stays within compiled
-    code; no row is copied per pair.
+    A constant column gives null, as does a pair of which a row holds NaN or an
+    infinite number.  One scan: a task multiplies the matrix of its values with
+    itself, a batch of rows at a time, and returns a row per pair; those rows are
+    then merged by (count, means, squares, products), which loses no digits
+    either.  No row of the table is copied or shuffled.
     """
     names = columns or numeric_columns(df)
     if len(names) < 2:
         raise ValueError("correlation needs at least two numeric columns")
     rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-
-    def coefficient(x: Column, y: Column) -> Column:
-        # F.corr raises on a constant column under ANSI rules.
-        return F.regr_sxy(x, y) / F.sqrt(F.nullif(F.regr_sxx(x, y) * F.regr_syy(x, y), F.lit(0.0)))
-
-    def together(part: list[tuple[int, int]]) -> DataFrame:
-        wide = rows.agg(*[coefficient(F.col(f"x{i}"), F.col(f"x{j}")).alias(f"r{i}_{j}") for i, j in part])
-        cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{i}_{j}").alias("r")) for i, j in part]
-        return wide.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-
-    found = reduce(DataFrame.unionAll, [together(pairs[k : k + 24]) for k in range(0, len(pairs), 24)])
-    spread = rows.agg(*[F.var_pop(f"x{i}").alias(f"s{i}") for i in range(len(names))])
-    own = [F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.when(F.col(f"s{i}") > 0, 1.0).alias("r")) for i in range(len(names))]
-    diagonal = spread.select(F.explode(F.array(*own)).alias("c")).select("c.*")
-    both = F.explode(F.array(F.struct("i", "j", "r"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "r"))).alias("c")
-    matrix = found.select(both).select("c.*").unionAll(diagonal)
-    label = F.array(*[F.lit(c) for c in names])
-    return matrix.select(
-        label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"), F.nanvl("r", F.lit(None).cast("double")).alias("corr")
+
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, odd = None, np.zeros((len(names), len(names)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            bad = there * ~np.isfinite(x)
+            if bad.any():
+                odd = odd + bad.T @ there + there.T @ bad
+            part = _moments(x)
+            held = part if held is None else _merged(held, part)
+        if held is None:
+            return
+        i, j = np.triu_indices(len(names))
+        cells = [held["n"][i, j], held["mean"][i, j], held["mean"][j, i], held["sq"][i, j], held["sq"][j, i], held["both"][i, j], odd[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), *map(pa.array, cells)], names=[c.split()[0] for c in _CELL.split(", ")])
+
+    # A row per task and pair.  Distances to the least mean keep a constant exact.
+    pair = Window.partitionBy("i", "j")
+    cells = rows.mapInArrow(gram, _CELL)
+    some = F.when(F.col("n") > 0, F.col("n"))
+    for side in ("i", "j"):
+        low = F.min(F.when(some.isNotNull(), F.col(f"mean_{side}"))).over(pair)
+        cells = cells.withColumn(f"to_{side}", F.when(some.isNotNull(), F.col(f"mean_{side}") - low).otherwise(0.0))
+    for side in ("i", "j"):
+        cells = cells.withColumn(f"off_{side}", F.col(f"to_{side}") - F.sum(F.col("n") * F.col(f"to_{side}")).over(pair) / F.sum(some).over(pair))
+    total = cells.groupBy("i", "j").agg(
+        F.sum("odd").alias("odd"),
+        *[F.sum(F.col(f"sq_{s}") + F.col("n") * F.coalesce(F.col(f"off_{s}"), F.lit(0.0)) ** 2).alias(f"sq_{s}") for s in ("i", "j")],
+        F.sum(F.col("both") + F.col("n") * F.coalesce(F.col("off_i") * F.col("off_j"), F.lit(0.0))).alias("both"),
     )
+    between = F.when(F.col("odd") == 0, F.col("both") / F.sqrt(F.nullif(F.col("sq_i") * F.col("sq_j"), F.lit(0.0))))
+    own = F.when((F.col("sq_i") > 0) | (F.col("odd") > 0), 1.0)
+    found = total.select("i", "j", F.when(F.col("i") == F.col("j"), own).otherwise(between).alias("corr"))
+    both_ways = F.array(F.struct("i", "j", "corr"), F.when(F.col("i") < F.col("j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "corr")))
+    cells = found.select(F.explode(F.array_compact(both_ways)).alias("c")).select("c.*")
+    # Without rows in the table no task returns anything; the pairs are there all the same.
+    every = df.sparkSession.range(len(names) ** 2).select(F.floor(F.col("id") / len(names)).cast("int").alias("i"), (F.col("id") % len(names)).cast("int").alias("j"))
+    label = F.array(*[F.lit(c) for c in names])
+    matrix = every.join(F.broadcast(cells), ["i", "j"], "left")  # as many rows as pairs
+    return matrix.select(label[F.col("i")].alias("column_a"), label[F.col("j")].alias("column_b"), "corr")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:

@@ -150,18 +150,25 @@ def latest_turns(spark, folder):
     return usage.job_status(turns, "conv_id").select("conv_id", names[F.col("status")].alias("status"), "processed")
 
 
-@query(
-    "cache_misses",
-    """WITH RECURSIVE s AS (SELECT user_id AS k, epoch_us(ts) AS us, min(event_id) AS id FROM events GROUP BY ALL),
-        kept AS (SELECT k, min(us) AS us FROM s GROUP BY k
-            UNION ALL SELECT n.k, n.us FROM (SELECT s.k, min(s.us) AS us FROM kept JOIN s ON s.k = kept.k AND s.us >= kept.us + 86400000000 GROUP BY s.k, kept.us) n)
-        SELECT k AS user_id, id AS event_id, us AS cached_at FROM s JOIN kept USING (k, us)""",
-)
+MISSES_SQL = """WITH RECURSIVE s AS (SELECT user_id AS k, epoch_us(ts) AS us, min(event_id) AS id FROM events GROUP BY ALL),
+    kept AS (SELECT k, min(us) AS us FROM s GROUP BY k
+        UNION ALL SELECT n.k, n.us FROM (SELECT s.k, min(s.us) AS us FROM kept JOIN s ON s.k = kept.k AND s.us >= kept.us + 86400000000 GROUP BY s.k, kept.us) n)
+    SELECT k AS user_id, id AS event_id, us AS cached_at FROM s JOIN kept USING (k, us)"""
+
+
+@query("cache_misses", MISSES_SQL)
 def cache_misses(spark, folder):
     """A result kept for a day, per user."""
     return usage.cache_misses(read(spark, folder, "events"), "user_id", "event_id", ttl_seconds=86400)
 
 
+@query("cache_misses_stream", MISSES_SQL)
+def cache_misses_stream(spark, folder):
+    """The same from a stream, with a state per user."""
+    live = usage.cache_misses_stream(_as_stream(spark, folder, "events"), "user_id", "event_id", ttl_seconds=86400)
+    return _run(live, spark, "misses", "append").drop("batch")
+
+
 @query(
     "cache_misses_hot_keys",
     """WITH RECURSIVE s AS (SELECT event_type AS k, epoch_us(ts) AS us, min(event_id) AS id FROM events GROUP BY ALL),

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.numbering import number_rows
 from ..session import stage
@@ -120,12 +121,54 @@ def first_within_ttl(events: DataFrame, key: str, ts: str = "ts", ttl_seconds: i
     """Streaming form of the result cache: repeats of a key inside the TTL drop.
 
     State expires by watermark, so what is kept right at the TTL depends on
-    when batches arrive; ``cache_misses`` is the exact batch form.
+    when batches arrive; ``cache_misses_stream`` is exact on events in order.
     """
     delay = f"{ttl_seconds} seconds"
     return _timed(events, ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def cache_misses_stream(
+    events: DataFrame, key: str, row_id: str, ts: str = "ts", ttl_seconds: int = CACHE_TTL_SECONDS, delay: str | None = None
+) -> DataFrame:
+    """``cache_misses`` of a stream: key, row_id, cached_at of the sightings that are kept.
+
+    A key's state is the time of its last kept sighting.  It is dropped once the
+    watermark, which follows ``delay`` (the TTL if not given) behind the latest
+    event, has passed that time by a TTL, as nothing is cached then.  Batches may be cut anywhere: on
+    events that arrive in order the outcome is that of the batch form.  An event
+    that comes after a later one of its key was kept finds that one's result; one
+    behind the watermark is not looked at.  Rows without a time are left out, and
+    a null key is a key.  A task holds the times of one key in one batch, so
+    bound a batch at the source (``maxFilesPerTrigger``).
+    """
+    ttl = ttl_seconds * 1_000_000
+    timed = _timed(events, ts, delay or f"{ttl_seconds} seconds")
+    rows = timed.where(F.col(ts).isNotNull()).select(F.col(key).alias("k"), F.col(row_id).alias("id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), ts)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def keep(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pdf = pd.concat([p[["id", "at"]] for p in parts]).sort_values(["at", "id"])
+        at, chosen, i = pdf["at"].to_numpy(), [], 0
+        last = state.get[0] if state.exists else None
+        while i < len(at):
+            if last is not None:
+                i = max(i, int(np.searchsorted(at, last + ttl)))
+                if i >= len(at):
+                    break
+            chosen.append(i)
+            last = int(at[i])
+            i += 1
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + ttl, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
+        yield pd.DataFrame({"k": pd.Series([group[0]] * len(chosen), dtype=object), "id": pdf["id"].to_numpy()[chosen], "at": at[chosen]})
+
+    kept = rows.groupBy("k").applyInPandasWithState(keep, f"k {kinds['k']}, id {kinds['id']}, at bigint", "last bigint", "append", "EventTimeTimeout")
+    return kept.select(F.col("k").alias(key), F.col("id").alias(row_id), F.col("at").alias("cached_at"))
+
+
 def cache_misses(events: DataFrame, key: str, row_id: str, ts: str = "ts", ttl_seconds: int = CACHE_TTL_SECONDS) -> DataFrame:
     """Sightings that find no cached result: no kept sighting within the TTL before.
 

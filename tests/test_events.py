@@ -1,8 +1,10 @@
 """Event aggregates: batch against loops, streams against batch."""
 
+import os
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +169,29 @@ def test_first_within_ttl_stream(spark, tmp_path):
     assert sorted(r["endpoint"] for r in finish(live, tmp_path).collect()) == ["a", "b"]
 
 
+def test_cache_misses_stream_equals_batch(spark, tmp_path):
+    """Events in order, cut into batches anywhere: also where a key comes back after its state has timed out."""
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.integers(0, 40 * 3600, 900))
+    keys = [None if k == 5 else f"k{k}" for k in rng.integers(0, 6, len(at))]
+    rows = [(i, START + timedelta(seconds=int(s)), k) for i, (s, k) in enumerate(zip(at, keys))] + [(900, START + timedelta(hours=60), "k1"), (901, None, "k1")]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, endpoint string")
+    batch = {tuple(r) for r in usage.cache_misses(df.where("ts is not null"), "endpoint", "event_id").collect()}
+    source = tmp_path / "in"
+    for n, (low, high) in enumerate([(0, 1), (1, 400), (400, 401), (401, 850), (850, 902)]):
+        part = df.where(f"event_id >= {low} and event_id < {high}").coalesce(1)
+        part.write.parquet(str(tmp_path / f"part{n}"))
+        source.mkdir(exist_ok=True)
+        for k, file in enumerate(sorted((tmp_path / f"part{n}").glob("*.parquet"))):
+            target = source / f"{n}-{k}.parquet"
+            target.write_bytes(file.read_bytes())
+            os.utime(target, (1_000_000_000 + 60 * n, 1_000_000_000 + 60 * n))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    found = finish(usage.cache_misses_stream(stream, "endpoint", "event_id"), tmp_path).drop("batch")
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == batch and any(k is None for k, *_ in batch)
+
+
 def test_ingest_directory(spark, tmp_path):
     inbox = tmp_path / "inbox"
     inbox.mkdir()

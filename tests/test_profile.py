@@ -216,3 +216,23 @@ def test_drug_likeness(spark):
     assert [r["alerts"] for r in rows] == [["molecular_weight", "veber"], ["logp", "veber"], []]
     assert [round(r["drug_like_score"], 2) for r in rows] == [0.6, 0.6, 1.0] and [r["veber_pass"] for r in rows] == [False, False, True]
     assert [r["violations"] for r in rows] == [1, 1, 0] and rules.drug_likeness(df.select("id")).filter("veber_pass").count() == 3
+
+
+def test_correlations_of_many_columns_in_one_scan(spark):
+    """30 columns with gaps, far from zero; constants, NaN and empty columns give null."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(2000, 27)) @ rng.normal(size=(27, 27)) + 1e7
+    base[rng.random(base.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(27)] + ["same", "odd", "none"]
+    rows = [[None if np.isnan(v) else float(v) for v in r] + [0.1, float("nan") if i == 7 else float(i), None] for i, r in enumerate(base)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7)
+    out = features.correlations(df, names)
+    plan = out._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+    found = {(r["column_a"], r["column_b"]): r["corr"] for r in out.collect()}
+    want = pd.DataFrame(base, columns=names[:27]).corr().to_numpy()
+    assert len(found) == 900
+    assert max(abs(found[f"c{i}", f"c{j}"] - want[i, j]) for i in range(27) for j in range(27)) < 1e-7
+    assert all(found[a, b] is None for a in ("same", "none") for b in names) and all(found["odd", n] is None for n in names if n != "odd")
+    empty = features.correlations(df.limit(0), ["c0", "c1"]).collect()
+    assert len(empty) == 4 and all(r["corr"] is None for r in empty)
