@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from assayer.llm.common import arrow_batches, pieces, stage
-from assayer.llm.packing import Encoder
+from assayer.llm.packing import encoder_of
 from assayer.operators.numbering import number_rows
 
 #: Groups of large pieces, and the share of the optimum of the linear programme that may be missed.
@@ -239,7 +239,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, number, end = None, TaskContext.get().partitionId() << 33, end_id.to_bytes(4, "little")
         for batch in pieces(batches):
-            encoder = encoder or Encoder(tokenizer, special_tokens=True)
+            encoder = encoder or encoder_of(tokenizer, True)
             out: dict[str, list] = {f.name: [] for f in schema}
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):

@@ -13,6 +13,7 @@ import json
 import os
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -91,7 +92,6 @@ class Encoder:
             self.held = sum(map(len, self.words))
         word = self.word
         new = {w: array("I", word(" " + w)).tobytes() for w in need - self.words.keys()}
-        long = {w: ids for w, ids in new.items() if len(w) > LONGEST}  # for the texts at hand only
         self.words.update(new)
         self.held += sum(map(len, new))
         known = self.words.__getitem__
@@ -105,6 +105,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, special_tokens: bool) -> Encoder:
+    """The encoder of a Python worker, which its tasks use one after the other."""
+    return Encoder(path, special_tokens)
+
+
 def cut(tokens: int, capacity: int, cuts: int) -> list[tuple[int, int]]:
     """(length, class) of a document's pieces, in order.
 
@@ -180,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
             return arrow_batches(dict(zip(_ARROW.names, columns, strict=True)), _ARROW)
 
         for batch in pieces(batches):
-            encoder = encoder or Encoder(tokenizer, special_tokens)
+            encoder = encoder or encoder_of(tokenizer, special_tokens)
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 ids += end
