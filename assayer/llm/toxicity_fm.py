@@ -28,8 +28,6 @@ REMEMBERED = 4_000_000
 #: Texts of the rarer label that a pair of terms stands in at least, and the standard errors by which
 #: they are more than the two terms alone would have it.
 PAIR_ROWS, PAIR_Z = 12, 7.0
-#: Terms of a block of the pair counts.
-BLOCK = 512
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "«»„“”‘’…–—¿¡"
 
 
@@ -110,43 +108,39 @@ def select_pairs(rows: np.ndarray, ids: np.ndarray, y: np.ndarray, least_rows: i
 
     Of every two terms it is counted in how many texts they stand together, and
     in how many of the rarer label.  Both are kept if those are more than the
-    share of either term, or their joint lift, makes likely.  The counts are
-    products of 0/1 blocks of ``BLOCK`` terms, so memory is that of a few blocks.
+    share of either term, or their joint lift, makes likely.  A term is a row of
+    bits, one per text; two rows are counted by their common bits, first over the
+    texts of the rarer label, then over the others where those are enough.
     """
     label = y == 1 if y.mean() <= 0.5 else y == 0
     size, share = 1 << BITS, label.mean()
     count, ones = np.bincount(ids, minlength=size), np.bincount(ids, label[rows], minlength=size)
     terms = np.flatnonzero(ones >= least_rows)
-    order = np.argsort(ids, kind="stable")
-    first, last = np.searchsorted(ids[order], terms), np.searchsorted(ids[order], terms, side="right")
-    place = np.empty(len(y), int)  # texts of the rarer label first
-    n_ones = int(label.sum())
-    place[label], place[~label] = np.arange(n_ones), np.arange(n_ones, len(y))
-    own = (ones[terms] + share) / (count[terms] + 1)
+    place = np.where(label, np.cumsum(label), np.cumsum(~label)) - 1
 
-    def block(at: int) -> np.ndarray:
-        part = range(at, min(at + BLOCK, len(terms)))
-        out = np.zeros((len(y), len(part)), np.float32)
-        for column, t in enumerate(part):
-            out[place[rows[order[first[t] : last[t]]]], column] = 1
-        return out
+    def bits(of: np.ndarray) -> np.ndarray:
+        """A row per term over the texts ``of``."""
+        held = of[rows] & (ones[ids] >= least_rows)
+        out = np.zeros((len(terms), -(-int(of.sum()) // 64) * 64 // 8), np.uint8)
+        at = place[rows[held]]
+        np.bitwise_or.at(out, (np.searchsorted(terms, ids[held]), at >> 3), np.left_shift(1, at & 7).astype(np.uint8))
+        return out.view(np.uint64)
 
+    with_label, without = bits(label), bits(~label)
+    own = (ones[terms] + share) / (count[terms] + 1)
     found = np.zeros(len(terms), bool)
-    for i in range(0, len(terms), BLOCK):
-        left = block(i)
-        for j in range(i, len(terms), BLOCK):
-            right = left if i == j else block(j)
-            with_label = left[:n_ones].T @ right[:n_ones]
-            a, b = (np.flatnonzero((with_label >= least_rows).any(axis)) for axis in (1, 0))
-            if not len(a):
-                continue
-            both = with_label[np.ix_(a, b)]
-            n = both + left[n_ones:, a].T @ right[n_ones:, b]
-            pa_, pb = own[i + a][:, None], own[j + b][None, :]
-            likely = np.clip(np.maximum(np.maximum(pa_, pb), pa_ * pb / share), share, 0.99)
-            z = (both - n * likely) / np.sqrt(np.maximum(n, 1) * likely * (1 - likely))
-            x, y_ = np.nonzero((both >= least_rows) & (z >= least_z))
-            found[i + a[x]] = found[j + b[y_]] = True
+    for i in range(len(terms) - 1):
+        both = np.bitwise_count(with_label[i + 1 :] & with_label[i]).sum(1, dtype=np.int32)
+        j = np.flatnonzero(both >= least_rows)
+        both, j = both[j], j + i + 1
+        likely = np.clip(np.maximum(np.maximum(own[i], own[j]), own[i] * own[j] / share), share, 0.99)
+        # Without any text of the other label the excess is the largest it can be.
+        some = (1 - likely) * both >= least_z * np.sqrt(both * likely * (1 - likely))
+        both, j, likely = both[some], j[some], likely[some]
+        n = both + np.bitwise_count(without[j] & without[i]).sum(1, dtype=np.int32)
+        far = both - n * likely >= least_z * np.sqrt(n * likely * (1 - likely))
+        if far.any():
+            found[i] = found[j[far]] = True
     return terms[found]
 
 
