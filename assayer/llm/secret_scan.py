@@ -15,7 +15,7 @@ from math import lgamma, log, log10
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from assayer.llm.common import pieces
+from assayer.llm.common import pieces, stage
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -113,13 +113,23 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = COUNTED, lea
     """The words that most texts of the whole table hold, commonest first; ties by the word.
 
     A text counts once per word.  Values in credential context are cut out before,
-    so that a secret which many copies repeat is no common word.  At most ``most``
-    words come to the driver; no or empty texts give none.
+    so that a secret which many copies repeat is no common word.  Counts are
+    taken in steps of a sixteenth of a doubling, from the top as long as a whole
+    step fits, so at most ``most`` words come to the driver, whatever the number
+    of partitions; no or empty texts give none.
     """
     body = F.regexp_replace(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(CONTEXT.pattern), F.lit(" "))
     words = F.filter(F.array_distinct(F.split(body, r"[^\p{L}]+")), lambda w: F.length(w).between(*LETTERS))
-    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    return [r["word"] for r in counts.where(F.col("texts") >= least_texts).orderBy(F.desc("texts"), "word").limit(most).collect()]
+    counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= least_texts)
+    counts = stage(counts.withColumn("step", F.floor(F.log2("texts") * 16).cast("int")), "words")
+    lowest, held = None, 0
+    for step, n in sorted(counts.groupBy("step").count().collect(), reverse=True):  # some hundreds at most
+        held += n
+        if held > most:
+            break
+        lowest = step
+    rows = counts.where(F.col("step") >= lowest).select("texts", "word").collect() if lowest is not None else []
+    return [word for _, word in sorted(rows, key=lambda r: (-r["texts"], r["word"]))]
 
 
 def find_spans(text: str, least_cost: float = LEAST_COST, rank: dict[str, int] = RANK) -> list[tuple[int, int, str, float | None]]:
