@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from .ordering import not_after, row_at_rank, sort_keys
+from .numbering import number_rows
+from .ordering import not_after, row_at_rank, sortable
 
 # The other names that properties go by.
 ALIASES = {
@@ -184,7 +185,7 @@ def page(df: DataFrame, key: str, number: int = 1, size: int = 20, largest: int
         rows = df.orderBy(key).offset(offset) if offset else df
     elif offset < total:
         keyed = df.filter(F.col(key).isNotNull())
-        order = sort_keys(keyed, key)
+        order = [sortable(keyed, key)]
         start = row_at_rank(keyed, order, [offset - nulls - 1], present)[offset - nulls - 1]
         rows = keyed.filter(~not_after(order, start))
     else:

@@ -16,7 +16,8 @@ from pyspark.sql.types import ArrayType, NumericType
 
 from ..functions.hashing import hash32, seeded_order
 from ..session import stage
-from .ordering import group_cuts, hashed_row_at_rank, not_after, row_at_rank, sort_keys
+from .numbering import prefix_sums
+from .ordering import group_cuts, not_after, row_at_rank, sortable
 
 PARTS = ("train", "val", "test")
 
@@ -68,7 +69,7 @@ def random_split(
     n = df.count()
     sizes = exact_sizes(n, train, val, test)
     stops = [sizes["test"], sizes["test"] + sizes["val"]]
-    cuts = hashed_row_at_rank(df, position, F.col(row_id), [s - 1 for s in stops if 0 < s < n], n)
+    cuts = row_at_rank(df, [position, F.col(row_id)], [s - 1 for s in stops if 0 < s < n], n, (0, 2**32 - 1))
     placed = df.withColumn("_at", position)
     in_test, in_both = _until(stops, n, [F.col("_at"), F.col(row_id)], cuts)
     return placed.withColumn("split", F.when(in_test, "test").when(in_both, "val").otherwise("train")).drop("_at")
@@ -156,33 +157,31 @@ def group_split(
     )
     alone = df.filter(F.col(group).isNull())
     lonely = alone.count()
-    # Distinct sizes add up to at most n, so there are fewer than sqrt(2n).
-    ladder = {r["_size"]: r["c"] for r in groups.groupBy("_size").agg(F.count(F.lit(1)).alias("c")).collect()}
-    n = lonely + sum(size * c for size, c in ladder.items())
     everyone = groups.select("_size", "_first")
+    n = lonely + (groups.agg(F.sum("_size")).first()[0] or 0)
     if lonely and not drop_null_groups:
-        ladder[1] = ladder.get(1, 0) + lonely
         everyone = everyone.unionAll(alone.select(F.lit(1).cast("bigint"), F.col(row_id)))
+    # Groups and rows per size, and in all larger groups.
+    steps = everyone.select((-F.col("_size")).alias("_down"), F.lit(1).alias("_groups"), F.col("_size").alias("_rows"))
+    ladder = stage(prefix_sums(steps, "_down", ["_groups", "_rows"]), "ladder")
 
     # Text ids have no cheap rank; their hash decides ties between equal sizes.
     order = [F.col("_first")] if numeric else [hash32(F.col("_first").cast("string")), F.col("_first")]
 
     def starts_before(goal: int) -> tuple[Column, int]:
         """Groups that start before the running total reaches ``goal``, and their rows."""
-        total = 0
         if goal <= 0:
-            return F.lit(False), total
-        for size in sorted(ladder, reverse=True):
-            used = -(-(goal - total) // size)
-            if used >= ladder[size]:
-                total += size * ladder[size]
-                if total >= goal:
-                    return F.col("_size") >= size, total
-                continue
-            row = row_at_rank(everyone.filter(F.col("_size") == size), order, [used - 1], ladder[size])[used - 1]
-            cut = (F.col("_size") > size) | ((F.col("_size") == size) & not_after(order, row))
-            return cut, total + used * size
-        return F.lit(True), total
+            return F.lit(False), 0
+        last = ladder.filter(F.col("_rows_before") < goal).orderBy(F.desc("_down")).first()
+        if last is None:
+            return F.lit(True), 0
+        size, before = -last["_down"], last["_rows_before"]
+        used = -(-(goal - before) // size)
+        if used >= last["_groups"]:
+            return F.col("_size") >= size, before + last["_rows"]
+        row = row_at_rank(everyone.filter(F.col("_size") == size), order, [used - 1], last["_groups"])[used - 1]
+        cut = (F.col("_size") > size) | ((F.col("_size") == size) & not_after(order, row))
+        return cut, before + used * size
 
     in_train, reached = starts_before(int(n * train))
     in_val = starts_before(reached + int(n * val))[0] if int(n * val) > 0 else F.lit(False)
@@ -245,7 +244,7 @@ def temporal_split(
     stops = [int(n * train), int(n * train) + int(n * val)]
     unique = _unique_order(df, row_id)
     has_date = F.col(date).isNotNull()
-    early = _before(df.filter(has_date), [*sort_keys(df, date), *unique], dated, stops)
+    early = _before(df.filter(has_date), [sortable(df, date), *unique], dated, stops)
     late = _before(df.filter(~has_date), unique, n - dated, [s - dated for s in stops])
     in_train, in_both = (F.when(has_date, e).otherwise(l) for e, l in zip(early, late))
     return df.withColumn("split", F.when(in_train, "train").when(in_both, "val").otherwise("test"))

@@ -207,7 +207,7 @@ def test_a_sketch_that_is_off_is_mended(spark, monkeypatch):
     proposed = ordering._inside
     monkeypatch.setattr(ordering, "_inside", lambda slot, low, high: proposed(slot, high + 40, high + 50))
     df = spark.range(500).select(F.col("id").alias("v"))
-    assert ordering.row_at_rank(df, [F.col("v")], [0, 250, 499]) == {0: (0,), 250: (250,), 499: (499,)}
+    assert ordering.order_statistics(df, {"v": (F.col("v"), [0, 250, 499])}) == {("v", 0): 0, ("v", 250): 250, ("v", 499): 499}
 
 
 def test_drug_likeness(spark):
