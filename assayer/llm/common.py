@@ -56,10 +56,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
     """At most ``rows`` labelled texts, chosen by a hash of the key: doc_id, text, label.
 
     ``keep`` is a condition on ``doc_id`` that says which labels may be seen.
-    Repeated labels of a key count by their mean, null labels not at all.  The
-    chosen keys number ``rows`` at most, so they are broadcast; the documents
-    are read once.  Equal rows of a key count once, and different texts of one
-    key count against ``rows`` too.
+    Repeated labels of a key count by their mean, null labels not at all.  Equal
+    rows of a key count once, and different texts of one key count against
+    ``rows`` too: digests decide which, ``rows`` at most, and are broadcast.
+    Only the chosen texts move, spread over the tasks.
     """
     chosen = (
         labels.select(F.col(key).alias("doc_id"), F.col(label).cast("double").alias("label"))
@@ -70,5 +70,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, k
         .limit(rows)
     )
     texts = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
-    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(rows)
+    digest = F.sha2("text", 256)
+    known = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", digest.alias("digest")).distinct()
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "digest").limit(rows)
+    # A list per key keeps the digest out of the join's keys: only texts of chosen keys are hashed.
+    known = known.groupBy("doc_id", "label").agg(F.collect_list("digest").alias("digests"))
+    found = texts.join(F.broadcast(known), "doc_id").withColumn("digest", digest).where(F.array_contains("digests", F.col("digest")))
+    return found.dropDuplicates(["doc_id", "digest"]).select("doc_id", "text", "label")

@@ -143,3 +143,15 @@ def test_low_quality_rows_go_with_all_their_columns(spark):
     kept = quality_gam.drop_low_quality(docs, quality_gam.fit_quality(docs, labels, F.lit(True), label="v"))
     assert kept.columns == docs.columns
     assert kept.where("text = '!! BAD !!'").count() == 0 and kept.where("doc_id >= 100").count() == 20
+
+
+def test_sample_reads_whole_texts_once_each(spark):
+    """Equal rows in many partitions count once; the texts come back as they are, over several tasks."""
+    docs = spark.range(4000).select((F.col("id") % 400).alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 800).cast("string")).alias("text")).repartition(16)
+    labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("v"))
+    sample = labelled_sample(docs, labels, "v", 1000, F.lit(True))
+    got = sorted((r["doc_id"], r["text"], r["label"]) for r in sample.collect())
+    assert got == sorted({(i % 400, f"t{i}", i % 2) for i in range(800)})
+    few = [(r["doc_id"], r["text"]) for r in labelled_sample(docs, labels, "v", 100, F.lit(True)).collect()]
+    assert len(few) == len(set(few)) == 100 and set(few) <= {(a, b) for a, b, _ in got}
+    assert labelled_sample(docs.limit(0), labels, "v", 10, F.lit(True)).isEmpty()
