@@ -185,6 +185,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows, with all their columns, of documents that overlap with no item."""
+    """The rows, with all their columns, of documents that overlap with no item.
+
+    Null and empty texts overlap with nothing and stay; rows that repeat an id go
+    or stay together, as do rows with a null id; no items leave all rows, and no
+    rows give no rows.
+    """
     bad = contaminated(docs, benchmark, key=key, **options).select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")

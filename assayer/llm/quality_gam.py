@@ -227,7 +227,12 @@ def score_quality(docs: DataFrame, model: Gam, key: str = "doc_id", text: str =
 
 
 def drop_low_quality(docs: DataFrame, model: Gam, least: float = 0.3, text: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores ``least`` or more; decided in place, without a shuffle."""
+    """The rows, with all their columns, whose text scores ``least`` or more; decided in place, without a shuffle.
+
+    Null texts are scored as empty ones; repeated rows and null keys are decided
+    each by its text; a model fitted without labels scores all texts alike; no
+    rows give no rows.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):

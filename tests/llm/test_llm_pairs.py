@@ -254,3 +254,24 @@ def test_many_ids_with_one_text_are_not_broadcast(spark, monkeypatch):
     assert "strategy=broadcast" in plan(whole) and "strategy=broadcast" not in plan(apart)
     rows = sorted(map(tuple, whole.collect()))
     assert len(rows) == 300 and rows == sorted(map(tuple, apart.collect()))
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_stages_take_awkward_documents(spark, tmp_path, labelled):
+    """Nulls, empty and long texts, repeated rows and clashing names pass all stages, with labels and benchmark or with empty ones."""
+    for name in ("labels", "benchmark"):
+        table = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        (table if labelled else table.limit(0)).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for start in (awkward(spark, ["the same words stand here in two of these texts"] * 2), empty(spark)):
+        docs, some = start, not start.isEmpty()
+        for i, (name, step) in enumerate(corpus_pipeline.STAGES):
+            out = step(spark, docs, str(tmp_path))
+            path = str(tmp_path / f"{'some' if some else 'none'}-{name}")
+            out.write.parquet(path)
+            done = spark.read.schema(out.schema).parquet(path)
+            if i < 4:
+                assert done.columns == docs.columns and done.count() <= docs.count()
+            docs = done
+        assert some or docs.isEmpty()
+        if some and not labelled:  # nothing is known of quality, so the texts stay but for copies
+            assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == {None, 1, 2, 3, 4, 5, 6, 100}
