@@ -122,4 +122,5 @@ def refresh_features(
             raise
         new = content.dropDuplicates([key])
     compute(new).drop(*columns).write.mode("append").parquet(table_path)
-    return attach(keyed, spark.read.parquet(table_path), key)
+    # Two runs at once can append the same content; a key counts once.
+    return attach(keyed, spark.read.parquet(table_path).dropDuplicates([key]), key)

@@ -192,3 +192,15 @@ def test_sinks(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(text).collect()] == ["line 1", "line 2"]
     assert spark.read.json(sinks.write_report(df, str(tmp_path / "metrics"))).count() == 4
     assert "\"a\": 1" in spark.read.text(sinks.write_result(spark, {"a": 1}, str(tmp_path / "r")), wholetext=True).first()[0]
+
+
+def test_content_appended_twice_counts_once(spark, tmp_path):
+    """Two runs at once append the same content; later runs still give a row per input row."""
+    table = str(tmp_path / "features")
+    df = spark.createDataFrame([("CCO", 1), ("CCN", 2), ("CCO", 3)], "smiles string, id long")
+    compute = lambda content: content.withColumn("size", F.length("smiles"))
+    assert dedup.refresh_features(df, ["smiles"], table, compute).count() == 3
+    again = spark.createDataFrame(spark.read.parquet(table).collect(), spark.read.parquet(table).schema)
+    again.write.mode("append").parquet(table)
+    out = dedup.refresh_features(df, ["smiles"], table, compute)
+    assert sorted((r["id"], r["size"]) for r in out.collect()) == [(1, 3), (2, 3), (3, 3)]
