@@ -35,8 +35,9 @@ def usage_metrics(spark, folder):
 
 
 def _as_stream(spark, folder, table):
+    """A table as a stream, be it one file or a folder of part files; a path in brackets may be either."""
     schema = read(spark, folder, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).option("basePath", folder).parquet(f"{folder}/{table}.parque[t]")
 
 
 def _run(stream, spark, name, mode="update"):

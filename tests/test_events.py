@@ -224,3 +224,19 @@ def test_ingest_directory(spark, tmp_path):
     again = run()
     assert len(again) == 8 and again["second.csv"]["valid_rows"] == 1
     assert spark.read.parquet(results).filter("error IS NULL").count() == 5007
+
+
+def test_streams_read_tables_of_several_files(spark, tmp_path):
+    """A table may be a folder of part files."""
+    from assayer.plans import checks_events
+
+    turns = [(c, t, ("system", "user", "assistant")[min(t, 1 + t % 2)], "x") for c in range(40) for t in range(1 + c % 5)]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, START)], "user_id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet.old")
+    assert len(list((tmp_path / "conversations.parquet").glob("part-*"))) > 1
+    got = {r["conv_id"]: (r["status"], r["processed"]) for r in checks_events.latest_turns_stream(spark, str(tmp_path)).collect()}
+    assert got == {c: (role, t) for c, t, role, _ in turns}
+    seen = [(i % 7, START + timedelta(seconds=i)) for i in range(90)]
+    spark.createDataFrame(seen, "user_id long, ts timestamp").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    used = checks_events.quotas_stream(spark, str(tmp_path))
+    assert used.agg(F.sum("used")).first()[0] == 90
