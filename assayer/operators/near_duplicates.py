@@ -4,20 +4,40 @@ Equal sets become one class, so a group of copies is one row however large it
 is.  Classes meet by their rarest bits: two sets above the threshold share one
 of the first few bits of each when all bits are ordered rare before common.
 Sizes and the places of the shared bits bound what two sets can have in common,
-and only pairs within those bounds are compared in full.
+and only pairs within those bounds are compared in full.  Only those first bits
+are shuffled; how common a bit is comes from hashed counters of fixed size.
+
+Where a few distinct bits make up all sets, as with the signs of a vector, every
+set meets nearly every other by some of them.  Such sets are compared as bitmaps,
+a block of two chunks in a task, with nothing kept but the pairs found.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scores import check_metric, score_from_counts
 from ..session import stage
 
+#: Hashed counters of bits, and the standard deviations above their mean from which one holds common bits.
+COUNTER_BITS, STANDS_OUT = 20, 6.0
+#: Places of the filter of classes that are compared in full.
+FILTER_BITS = 1 << 23
+#: First shared bits that a class takes along to a meeting.
+KNOWN = 8
+#: Distinct bits up to which sets are compared as bitmaps, if their meetings cost more; comparisons of 64 bits that one meeting costs.
+DENSE_BITS, MEETING = 1024, 16
+#: Rows of a chunk at most, and of the strips and columns of it that are compared at once.
+CHUNK, STRIP, WIDTH = 1 << 17, 32, 1 << 13
+
 #: Guards least overlaps against rounding up past a whole number.
 _SLACK = 1e-9
 
@@ -74,82 +94,274 @@ def near_duplicates(df: DataFrame, key: str, bits: str, metric: str = "tanimoto"
     A null or empty set is linked with nothing and is a class of its own, equal
     sets or not.  The sets are written once; hot bits are no more than any other
     bit in the joins on them, as they stand last in every set's order and only a
-    set made of common bits reaches them.
+    set made of common bits reaches them.  Bits meet by their 64-bit hashes,
+    which differ for different integers.
     """
     if not 0 < threshold <= 1:
         raise ValueError("near_duplicates needs a threshold above 0 and up to 1")
     share = least_share(metric, threshold)
     sets = df.select(F.col(key).alias("_key"), F.sort_array(F.coalesce(F.col(bits), F.array().cast(df.schema[bits].dataType))).alias("_bits"))
     empty = F.size("_bits") == 0
-    digest = F.when(~empty, F.sha2(F.array_join(F.col("_bits").cast("array<string>"), ","), 256))
+    digest = F.when(~empty, F.unhex(F.sha2(F.array_join(F.col("_bits").cast("array<string>"), ","), 256)))
     sets = stage(sets.select("_key", digest.alias("_digest"), "_bits"), "sets")
-    classes = sets.where(F.col("_digest").isNotNull()).groupBy("_digest").agg(
-        F.min("_key").alias("id"), F.count(F.lit(1)).alias("rows"), F.any_value("_bits").alias("bits")
+    counters = _counters(sets)
+    first = _first_bits(_levels(counters), share)
+    held = sets.where(F.col("_digest").isNotNull())
+    classes = held.select("_key", "_digest", F.size("_bits").alias("size"), first(F.transform("_bits", lambda x: F.xxhash64(x))).alias("first")).groupBy("_digest").agg(
+        F.min("_key").alias("id"), F.count(F.lit(1)).alias("rows"), F.any_value("size").alias("size"), F.any_value("first").alias("first")
     )
-    classes = stage(classes.withColumn("size", F.size("bits")), "classes")
+    classes = stage(classes, "classes")
     named = sets.select("_key", "_digest").join(classes.select("_digest", "id"), "_digest", "left")
     members = stage(named.select(F.col("_key").alias(key), F.coalesce("id", "_key").alias("class_id"), F.col("_digest").isNull().alias("empty")), "members")
-    prefix = stage(_prefixes(classes, share), "prefixes")
-    candidates = _candidates(prefix, metric, threshold, share)
-    left = classes.select(F.col("id").alias("left_id"), F.col("rows").alias("left_size"), F.col("bits").alias("_a"))
-    right = classes.select(F.col("id").alias("right_id"), F.col("rows").alias("right_size"), F.col("bits").alias("_b"))
-    scored = candidates.join(left, "left_id").join(right, "right_id").select(
-        "left_id", "right_id", "left_size", "right_size", F.size(F.array_intersect("_a", "_b")).alias("common"), F.size("_a").alias("_n"), F.size("_b").alias("_m")
-    )
+    shared = stage(_shared_firsts(classes), "prefixes")
+    universe = _small_universe(held, counters)
+    if universe is not None and _bitmaps_are_cheaper(shared, classes, len(universe)):
+        counted = _all_pairs(held, classes, universe, metric, threshold, share)
+    else:
+        counted = _intersections(held, classes, stage(_candidates(shared, metric, threshold, share), "candidates"))
     score = score_from_counts(F.col("common"), F.col("_n"), F.col("_m"), metric)
-    pairs = scored.withColumn("similarity", score).filter(F.col("similarity") >= threshold).drop("_n", "_m")
+    pairs = counted.withColumn("similarity", score).filter(F.col("similarity") >= threshold).drop("_n", "_m")
     return NearDuplicates(members, stage(pairs, "links"), key)
 
 
-def _prefixes(classes: DataFrame, share: float) -> DataFrame:
-    """id, size, bit, place of the first bits of every class, rare before common.
+def _slot(bit: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(bit), 64 - COUNTER_BITS).cast("int")
+
+
+def _counters(sets: DataFrame) -> DataFrame:
+    """slot, n: bits of all sets per hash counter, added up by a task per core before they are shuffled."""
+    tokens = sets.coalesce(max(1, sets.sparkSession.sparkContext.defaultParallelism)).select(F.explode("_bits").alias("bit"))
+    return stage(tokens.groupBy(_slot(F.col("bit")).alias("slot")).agg(F.count(F.lit(1)).alias("n")), "counters")
 
-    A bit of one class alone meets nothing, so it only counts: such bits come
-    first in the order and move the others back by their number.
+
+def _levels(counters: DataFrame) -> np.ndarray:
+    """How common the bits of each counter are, in powers of two; 0 for most.
+
+    Levels only order the bits of a set: any order finds all links.
     """
-    tokens = classes.select("id", "size", F.explode("bits").alias("bit"))
-    shared = tokens.groupBy("bit").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    in_order = Window.partitionBy("id").orderBy("freq", "bit")
-    ranked = tokens.join(shared, "bit").withColumns(
-        {"place": F.row_number().over(in_order), "alone": F.col("size") - F.count(F.lit(1)).over(Window.partitionBy("id"))}
-    )
-    ranked = ranked.withColumn("place", F.col("place") + F.col("alone"))
-    longest = F.col("size") - F.ceil(F.col("size") * share - _SLACK) + 1
-    return ranked.where(F.col("place") <= longest).select("id", "size", "bit", F.col("place").cast("int").alias("place"), F.col("alone").cast("int").alias("alone"))
+    mean = (counters.agg(F.sum("n")).first()[0] or 0) / (1 << COUNTER_BITS)
+    over = F.col("n") - F.lit(mean)
+    got = counters.where(over > STANDS_OUT * mean**0.5 + 3).select("slot", F.floor(F.log2(over)).cast("int").alias("level")).toPandas()
+    levels = np.zeros(1 << COUNTER_BITS, np.uint64)
+    levels[got["slot"].to_numpy(int)] = np.maximum(1, got["level"].to_numpy(int))
+    return levels.astype(np.uint8)
+
+
+def _first_bits(levels: np.ndarray, share: float) -> Callable[[Column], Column]:
+    """Of the hashes of a set's bits those that a partner must share one of: by level, then by hash."""
+
+    @F.arrow_udf("array<bigint>")
+    def first(hashes: pa.Array) -> pa.Array:
+        ends, values = hashes.offsets.to_numpy(), hashes.values.to_numpy().view(np.uint64)
+        level = levels[values >> np.uint64(64 - COUNTER_BITS)]
+        out, lengths = [values[:0]], [0]
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            own, common = values[a:b], level[a:b] > 0
+            length = b - a - math.ceil((b - a) * share - _SLACK) + 1
+            chosen = np.sort(own[~common])[:length]
+            if len(chosen) < length:
+                often = own[common]
+                chosen = np.concatenate([chosen, often[np.lexsort((often, level[a:b][common]))][: length - len(chosen)]])
+            out.append(chosen)
+            lengths.append(len(chosen))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
 
+    return first
 
-def _candidates(prefix: DataFrame, metric: str, threshold: float, share: float) -> DataFrame:
+
+def _shared_firsts(classes: DataFrame) -> DataFrame:
+    """id, size, bit, place, freq of the first bits that more than one class has among its first."""
+    firsts = classes.select("id", "size", F.posexplode("first").alias("place", "bit")).withColumn("place", F.col("place") + 1)
+    return firsts.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("bit"))).where("freq > 1")
+
+
+def _candidates(shared: DataFrame, metric: str, threshold: float, share: float) -> DataFrame:
     """left_id < right_id of the classes that can reach the threshold.
 
     Classes of sizes too far apart never meet: a bit's classes are cut into size
     bands so wide that partners stand in one band or in neighbouring ones.
+    Every class knows the first ``KNOWN`` shared bits before the one it meets by.
+    If one of them is the partner's too, the pair has met there, so nearly all
+    pairs come once, by the first bit they share.  Last, what the first bits of
+    both have in common and all that is behind them bound what the sets have.
     """
     width = math.log(1 / share) if share < 1 else 1e-6
-    banded = prefix.withColumn("band", F.floor(F.log("size") / width + _SLACK).cast("int"))
-    a = banded.select("bit", "band", F.col("id").alias("left_id"), F.col("size").alias("n"), F.col("place").alias("i"), (F.col("place") - F.col("alone")).alias("p"))
-    near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
-    b = banded.select("bit", F.explode(near).alias("band"), F.col("id").alias("right_id"), F.col("size").alias("m"), F.col("place").alias("j"), (F.col("place") - F.col("alone")).alias("q"))
-    least = _least_common(metric, threshold, F.col("n"), F.col("m"))
-    sizes_fit = (F.col("n") >= F.col("m") * share - _SLACK) & (F.col("m") >= F.col("n") * share - _SLACK)
+    ordered = shared.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("place", "bit"))).alias("own"))
+    known = ordered.withColumn("known", F.transform(F.slice("own", 1, KNOWN), lambda x: x["bit"]))
+    met_by = F.transform("own", lambda x, at: F.struct(x["bit"].alias("bit"), x["place"].alias("place"), (at + 1).alias("p"), F.slice("known", F.lit(1), F.least(at, F.lit(KNOWN))).alias("before")))
+    rows = known.select("id", "size", F.explode(met_by).alias("x")).select("id", "size", "x.*")
+    banded = rows.withColumn("band", F.floor(F.log("size") / width + _SLACK).cast("int"))
+    # The smaller set stands on the left; its partner is in its band or the next one.
+    a = banded.select("bit", "band", F.col("id").alias("a"), F.col("size").alias("n"), F.col("place").alias("i"), "p", F.col("before").alias("before_a"))
+    b = banded.select("bit", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("id").alias("b"), F.col("size").alias("m"), F.col("place").alias("j"), F.col("p").alias("q"), F.col("before").alias("before_b"))
+    once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    sizes_fit = F.col("n") >= F.col("m") * share - _SLACK
+    # Up to this bit two sets share this bit alone if all bits before it are known, else no more than the shorter of their
+    # stretches of shared bits; behind it no more than what is left.
+    upto = F.when(F.greatest("p", "q") <= KNOWN + 1, 1).otherwise(F.least("p", "q"))
     behind = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    # Up to this bit two sets share no more than the shorter of their stretches of shared bits, and no more than what is left behind it.
-    met = a.join(b, ["bit", "band"]).where((F.col("left_id") < F.col("right_id")) & sizes_fit & (F.least("p", "q") + behind >= least))
-    # Bits before the last shared one of both prefixes are all among those met.
-    last = F.struct(F.col("i"), F.col("j"))
-    pairs = met.groupBy("left_id", "right_id", "n", "m").agg(F.count(F.lit(1)).alias("c"), F.max(last).alias("last"))
-    rest = F.least(F.col("n") - F.col("last.i"), F.col("m") - F.col("last.j"))
-    return pairs.where(F.col("c") + rest >= least).select("left_id", "right_id")
+    least = _least_common(metric, threshold, F.col("n"), F.col("m"))
+    can_reach = upto + behind >= least
+    met = a.join(b, ["bit", "band"]).where(once & sizes_fit & can_reach & ~F.arrays_overlap("before_a", "before_b"))
+    met = met.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).where("left_id < right_id").distinct()
+    lists = ordered.select("id", "size", F.transform("own", lambda x: x["bit"]).alias("own"))
+    left, right = lists.toDF("left_id", "n", "own_a"), lists.toDF("right_id", "m", "own_b")
+    past = lambda size: F.ceil(F.col(size) * share - _SLACK) - 1
+    within = F.size(F.array_intersect("own_a", "own_b")) + F.greatest(past("n"), past("m")) >= least
+    return met.join(left, "left_id").join(right, "right_id").where(within).select("left_id", "right_id").distinct()
+
+
+def _intersections(held: DataFrame, classes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates with both classes' rows and sizes and what their sets have in common.
+
+    Only sets of classes in candidates are shuffled, but for a few that the
+    filters, of fixed size, let through.  What is counted is written, so that
+    no filter is worked out on the sets again.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    def side(name: str, bits: str) -> DataFrame:
+        words = candidates.select(slot(name).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("v"))
+        found = held.withColumn("s", slot("_key")).join(F.broadcast(words), F.shiftright("s", 6) == F.col("w")).where("shiftright(v, cast(s & 63 AS int)) & 1 = 1")
+        return found.select(F.col("_key").alias(name), F.col("_digest").alias(f"{name}_digest"), F.col("_bits").alias(bits))
+
+    both = candidates.join(side("left_id", "_a"), "left_id").join(side("right_id", "_b"), "right_id")
+    counted = both.select(
+        "left_id", "right_id", "left_id_digest", "right_id_digest", F.size(F.array_intersect("_a", "_b")).alias("common"), F.size("_a").alias("_n"), F.size("_b").alias("_m")
+    )
+    named = lambda name, rows: classes.select(F.col("id").alias(name), F.col("_digest").alias(f"{name}_digest"), F.col("rows").alias(rows))
+    counted = stage(counted, "counted").distinct()  # a row that comes twice has one set
+    counted = counted.join(named("left_id", "left_size"), ["left_id", "left_id_digest"]).join(named("right_id", "right_size"), ["right_id", "right_id_digest"])
+    return counted.select("left_id", "right_id", "left_size", "right_size", "common", "_n", "_m")
+
+
+def _small_universe(held: DataFrame, counters: DataFrame) -> pa.Array | None:
+    """All distinct bits if there are few of them."""
+    if counters.count() > DENSE_BITS:
+        return None
+    found = held.select(F.explode("_bits").alias("bit")).distinct().limit(DENSE_BITS + 1).toArrow().column("bit").combine_chunks()
+    return found if 0 < len(found) <= DENSE_BITS and not found.null_count else None
+
+
+def _bitmaps_are_cheaper(shared: DataFrame, classes: DataFrame, n_bits: int) -> bool:
+    meetings = shared.agg(F.sum("freq")).first()[0] or 0
+    return meetings * MEETING > classes.count() ** 2 * -(-n_bits // 64)
+
+
+def _bitmap(universe: pa.Array) -> Callable[[Column], Column]:
+    """A set as a bit per member of the universe, in whole 64-bit words."""
+    width = -(-len(universe) // 64) * 64
+
+    @F.arrow_udf("binary")
+    def bitmap(sets: pa.Array) -> pa.Array:
+        ends = sets.offsets.to_numpy()
+        at = pc.index_in(sets.values[ends[0] : ends[-1]], value_set=universe).to_numpy(zero_copy_only=False)
+        marks = np.zeros((len(sets), width), np.uint8)
+        marks[np.repeat(np.arange(len(sets)), np.diff(ends)), at] = 1
+        return pa.array([row.tobytes() for row in np.packbits(marks, axis=1)], pa.binary())
+
+    return bitmap
+
+
+def _all_pairs(held: DataFrame, classes: DataFrame, universe: pa.Array, metric: str, threshold: float, share: float) -> DataFrame:
+    """What ``_intersections`` gives, for all pairs that reach the threshold, by comparing bitmaps.
+
+    Classes are dealt into chunks by a hash, and each pair of chunks is a block
+    that one task compares, strip by strip.  There are as many chunks as keep
+    all cores busy, and more only to bound a chunk.
+    """
+    maps = held.select("_digest", _bitmap(universe)("_bits").alias("map")).groupBy("_digest").agg(F.any_value("map").alias("map"))
+    nodes = stage(classes.select("_digest", "id", "rows", "size").join(maps, "_digest").where("id IS NOT NULL").drop("_digest"), "bitmaps")
+    n, cores = nodes.count(), nodes.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-n // CHUNK), min(-(-n // 1024), math.ceil((8 * cores) ** 0.5)))
+    dealt = nodes.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("other")
+    block = (F.least("chunk", "other") * F.lit(chunks) + F.greatest("chunk", "other")).alias("block")
+    placed = dealt.select("*", other).select(block, "chunk", "id", "rows", "size", "map")
+    placed = placed.repartition(chunks * (chunks + 1) // 2, "block").sortWithinPartitions("block")
+    kind, rows_kind = nodes.schema["id"].dataType.simpleString(), nodes.schema["rows"].dataType.simpleString()
+    compare = _compare(chunks, metric, threshold, share)
+    found = placed.mapInArrow(compare, f"a {kind}, b {kind}, ra {rows_kind}, rb {rows_kind}, n int, m int, common int")
+    swap = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    return found.where("a <> b").select(
+        pick("a", "b").alias("left_id"), pick("b", "a").alias("right_id"), pick("ra", "rb").alias("left_size"), pick("rb", "ra").alias("right_size"),
+        "common", pick("n", "m").alias("_n"), pick("m", "n").alias("_m"),
+    )
+
+
+def _compare(chunks: int, metric: str, threshold: float, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, chunk, id, rows, size, map) in order of blocks to the pairs that share enough."""
+
+    def sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        table = table.take(pa.array(np.argsort(table.column("size").to_numpy(), kind="stable")))
+        words = np.frombuffer(b"".join(table.column("map").to_pylist()), np.uint64).reshape(len(table), -1)
+        return table, words, table.column("size").to_numpy().astype(np.int64)
+
+    name = check_metric(metric)
+
+    def least(n: int, m: np.ndarray) -> np.ndarray:
+        raw = threshold / (1 + threshold) * (n + m) if name == "tanimoto" else threshold / 2 * (n + m) if name == "dice" else threshold * np.sqrt(n * m.astype(float))
+        return np.ceil(raw - _SLACK)
+
+    def hits(x: np.ndarray, y: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        common = np.bitwise_count(x[:, None, 0] & y[None, :, 0])
+        for k in range(1, x.shape[1]):
+            common = common.astype(np.uint16) + np.bitwise_count(x[:, None, k] & y[None, :, k])
+        i, j = np.nonzero(common >= enough.astype(common.dtype))
+        return i, j, common[i, j].astype(np.int32)
+
+    def pairs(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        low, high = divmod(block, chunks)
+        chunk = table.column("chunk")
+        ta, wa, na = sides(table.filter(pc.equal(chunk, low)))
+        tb, wb, nb = (ta, wa, na) if low == high else sides(table.filter(pc.equal(chunk, high)))
+        for n in np.unique(na).tolist() if len(nb) else []:
+            first, end = np.searchsorted(na, [n, n + 1]).tolist()
+            lo, hi = np.searchsorted(nb, [n * share - _SLACK, n / share + _SLACK]).tolist()
+            enough = least(n, nb)
+            for s in range(first, end, STRIP):
+                e = min(end, s + STRIP)
+                for t in range(max(lo, s) if low == high else lo, hi, WIDTH):
+                    u = min(hi, t + WIDTH)
+                    i, j, common = hits(wa[s:e], wb[t:u], enough[t:u])
+                    i, j = i + s, j + t
+                    if low == high:
+                        later = j > i
+                        i, j, common = i[later], j[later], common[later]
+                    if len(i):
+                        a, b = (x.select(["id", "rows", "size"]).take(pa.array(at)).combine_chunks() for x, at in ((ta, i), (tb, j)))
+                        columns = [a["id"], b["id"], a["rows"], b["rows"], a["size"], b["size"], pa.chunked_array([pa.array(common)])]
+                        yield from pa.table(columns, names=["a", "b", "ra", "rb", "n", "m", "common"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if parts and of[a] != block:
+                    yield from pairs(block, pa.Table.from_batches(parts))
+                    parts = []
+                block = int(of[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from pairs(block, pa.Table.from_batches(parts))
+
+    return run
 
 
 def with_word_shingles(df: DataFrame, column: str, name: str, words: str, n: int = 5) -> DataFrame:
-    """Add hashes of the distinct runs of ``n`` words of a text, as far as 52 bits go.
+    """Add 64-bit hashes of the distinct runs of ``n`` words of a text, made of the hashes of its words.
 
     A shorter text is one run, no words or a null are none.  ``words`` is the
-    pattern of a word.  The words are a column of their own, used more than
-    once, so Spark splits a text once.
+    pattern of a word.  The words and their hashes are columns of their own, used
+    more than once, so Spark splits a text and hashes a word once.
     """
     split = df.withColumn("_words", F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(words), F.lit(0)))
-    hashed = lambda run: F.conv(F.substring(F.md5(F.array_join(run, " ")), 1, 13), 16, 10).cast("bigint")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - (n - 1), F.lit(1))), lambda i: hashed(F.slice("_words", i, F.lit(n))))
+    split = split.withColumn("_words", F.transform("_words", lambda w: F.xxhash64(w)))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_words") - n, F.lit(0))), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(n)]))
     none = F.array().cast("array<bigint>")
     return split.withColumn(name, F.when(F.size("_words") > 0, F.array_distinct(runs)).otherwise(none)).drop("_words")

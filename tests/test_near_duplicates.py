@@ -3,7 +3,9 @@ import random
 
 import pytest
 
+from assayer.operators import near_duplicates as module
 from assayer.operators.near_duplicates import near_duplicates
+from assayer.session import stage
 
 
 def score(a, b, metric):
@@ -66,3 +68,42 @@ def test_no_rows_and_wrong_threshold(spark):
     assert found.pairs.count() == 0 and found.rows.count() == 0
     with pytest.raises(ValueError, match="threshold"):
         near_duplicates(spark.createDataFrame([], "k long, b array<int>"), "k", "b", threshold=0.0)
+
+
+@pytest.mark.parametrize("metric,threshold,places", [("dice", 0.8, 64), ("tanimoto", 0.7, 100), ("cosine", 0.85, 30)])
+def test_few_distinct_bits_are_compared_as_bitmaps(spark, monkeypatch, metric, threshold, places):
+    """Sets in which half of all places are marked: nearly every pair would meet by some bit."""
+    rng = random.Random(places)
+    rows = [(k, [i for i in range(places) if rng.random() < 0.5]) for k in range(180)]
+    rows += [(200 + k, sorted(set(b) ^ set(rng.sample(range(places), rng.randrange(5))))) for k, b in rows[:90]]
+    rows += [(400, None), (401, []), (402, rows[0][1]), (403, [0])]
+    monkeypatch.setattr(module, "_candidates", None)  # pairs by their bits are not even looked for
+    monkeypatch.setattr(module, "CHUNK", 60)
+    found = near_duplicates(spark.createDataFrame(rows, "k long, b array<int>").repartition(5), "k", "b", metric, threshold)
+    members, pairs = brute(rows, metric, threshold)
+    got = {(r["left_id"], r["right_id"]): r["similarity"] for r in found.pairs.collect()}
+    assert got.keys() == pairs.keys() and len(got) > 50 and all(got[p] == pytest.approx(pairs[p]) for p in got)
+    assert {r["k"]: tuple(r)[1:] for r in found.rows.collect()} == members
+
+
+def test_bitmaps_and_meetings_give_the_same(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"k{k}", [f"w{i}" for i in range(90) if rng.random() < 0.3]) for k in range(60)]
+    rows += [(f"n{k}", b[: -1 - k % 3]) for k, (_, b) in enumerate(rows)]
+    table = spark.createDataFrame(rows, "k string, b array<string>")
+    found = []
+    for cost in (0, 1 << 20):
+        monkeypatch.setattr(module, "MEETING", cost)
+        found.append(sorted(map(tuple, near_duplicates(table, "k", "b").pairs.collect())))
+    assert found[0] == found[1] and len(found[0]) > 40
+
+
+def test_only_first_bits_are_shuffled(spark, monkeypatch):
+    """Of sets that have nothing in common no bit meets another, and none is compared in full."""
+    staged = {}
+    monkeypatch.setattr(module, "stage", lambda df, name="stage": staged.setdefault(name, stage(df, name)))
+    rows = [(k, list(range(100 * k, 100 * k + 100))) for k in range(50)] + [(50, list(range(99)))]
+    found = near_duplicates(spark.createDataFrame(rows, "k long, b array<int>"), "k", "b")
+    assert [tuple(r)[:2] for r in found.pairs.collect()] == [(0, 50)]
+    assert staged["classes"].selectExpr("max(size(first))").first()[0] == 26 and staged["prefixes"].count() <= 52
+    assert staged["candidates"].count() == 1
