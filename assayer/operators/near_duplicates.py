@@ -32,11 +32,15 @@ COUNTER_BITS, STANDS_OUT = 20, 6.0
 #: Places of the filter of classes that are compared in full.
 FILTER_BITS = 1 << 23
 #: First shared bits that a class takes along to a meeting.
-KNOWN = 8
+KNOWN = 4
 #: Distinct bits up to which sets are compared as bitmaps, if their meetings cost more; comparisons of 64 bits that one meeting costs.
 DENSE_BITS, MEETING = 1024, 16
 #: Rows of a chunk at most, and of the strips and columns of it that are compared at once.
 CHUNK, STRIP, WIDTH = 1 << 17, 32, 1 << 13
+#: Bits of all sets of a chunk, about, where whole sets are compared.
+CHUNK_BITS = 1 << 23
+#: Classes of one neighbourhood that go to a chunk together.
+TOGETHER = 1000
 
 #: Guards least overlaps against rounding up past a whole number.
 _SLACK = 1e-9
@@ -107,13 +111,14 @@ def near_duplicates(df: DataFrame, key: str, bits: str, metric: str = "tanimoto"
     counters = _counters(sets)
     first = _first_bits(_levels(counters), share)
     held = sets.where(F.col("_digest").isNotNull())
-    classes = held.select("_key", "_digest", F.size("_bits").alias("size"), first(F.transform("_bits", lambda x: F.xxhash64(x))).alias("first")).groupBy("_digest").agg(
-        F.min("_key").alias("id"), F.count(F.lit(1)).alias("rows"), F.any_value("size").alias("size"), F.any_value("first").alias("first")
+    sized = held.withColumn("size", F.size("_bits"))
+    classes = stage(sized.groupBy("_digest").agg(F.min("_key").alias("id"), F.count(F.lit(1)).alias("rows"), F.any_value("size").alias("size")), "classes")
+    firsts = sized.withColumn("first", first(F.transform("_bits", lambda x: F.xxhash64(x)))).groupBy("_digest").agg(
+        F.min("_key").alias("id"), F.any_value("size").alias("size"), F.any_value("first").alias("first")
     )
-    classes = stage(classes, "classes")
     named = sets.select("_key", "_digest").join(classes.select("_digest", "id"), "_digest", "left")
     members = stage(named.select(F.col("_key").alias(key), F.coalesce("id", "_key").alias("class_id"), F.col("_digest").isNull().alias("empty")), "members")
-    shared = stage(_shared_firsts(classes), "prefixes")
+    shared = stage(_shared_firsts(firsts), "prefixes")
     universe = _small_universe(held, counters)
     if universe is not None and _bitmaps_are_cheaper(shared, classes, len(universe)):
         counted = _all_pairs(held, classes, universe, metric, threshold, share)
@@ -169,9 +174,9 @@ def _first_bits(levels: np.ndarray, share: float) -> Callable[[Column], Column]:
     return first
 
 
-def _shared_firsts(classes: DataFrame) -> DataFrame:
+def _shared_firsts(firsts: DataFrame) -> DataFrame:
     """id, size, bit, place, freq of the first bits that more than one class has among its first."""
-    firsts = classes.select("id", "size", F.posexplode("first").alias("place", "bit")).withColumn("place", F.col("place") + 1)
+    firsts = firsts.select("id", "size", F.posexplode("first").alias("place", "bit")).withColumn("place", F.col("place") + 1)
     return firsts.withColumn("freq", F.count(F.lit(1)).over(Window.partitionBy("bit"))).where("freq > 1")
 
 
@@ -186,13 +191,14 @@ def _candidates(shared: DataFrame, metric: str, threshold: float, share: float)
     both have in common and all that is behind them bound what the sets have.
     """
     width = math.log(1 / share) if share < 1 else 1e-6
-    ordered = shared.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("place", "bit"))).alias("own"))
+    ordered = stage(shared.groupBy("id", "size").agg(F.sort_array(F.collect_list(F.struct("place", "bit"))).alias("own")), "ordered")
     known = ordered.withColumn("known", F.transform(F.slice("own", 1, KNOWN), lambda x: x["bit"]))
     met_by = F.transform("own", lambda x, at: F.struct(x["bit"].alias("bit"), x["place"].alias("place"), (at + 1).alias("p"), F.slice("known", F.lit(1), F.least(at, F.lit(KNOWN))).alias("before")))
     rows = known.select("id", "size", F.explode(met_by).alias("x")).select("id", "size", "x.*")
     banded = rows.withColumn("band", F.floor(F.log("size") / width + _SLACK).cast("int"))
-    # The smaller set stands on the left; its partner is in its band or the next one.
-    a = banded.select("bit", "band", F.col("id").alias("a"), F.col("size").alias("n"), F.col("place").alias("i"), "p", F.col("before").alias("before_a"))
+    # The smaller set stands on the left; its partner is in its band or the next one, and shares as much as one of its size or more.
+    least_own = _least_common(metric, threshold, F.col("size"), F.col("size"))
+    a = banded.where(F.col("p") + F.col("size") - F.col("place") >= least_own).select("bit", "band", F.col("id").alias("a"), F.col("size").alias("n"), F.col("place").alias("i"), "p", F.col("before").alias("before_a"))
     b = banded.select("bit", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("id").alias("b"), F.col("size").alias("m"), F.col("place").alias("j"), F.col("p").alias("q"), F.col("before").alias("before_b"))
     once = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     sizes_fit = F.col("n") >= F.col("m") * share - _SLACK
@@ -215,26 +221,91 @@ def _intersections(held: DataFrame, classes: DataFrame, candidates: DataFrame) -
     """The candidates with both classes' rows and sizes and what their sets have in common.
 
     Only sets of classes in candidates are shuffled, but for a few that the
-    filters, of fixed size, let through.  What is counted is written, so that
-    no filter is worked out on the sets again.
+    filter, of fixed size, lets through.  Classes are dealt into chunks by the
+    least class around them, up to ``TOGETHER`` of one neighbourhood into a chunk,
+    and a set goes once to each pair of chunks that one of its candidates is in,
+    so a class with many links is not sent along with every one of them.
     """
+    cores = held.sparkSession.sparkContext.defaultParallelism
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-
-    def side(name: str, bits: str) -> DataFrame:
-        words = candidates.select(slot(name).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("v"))
-        found = held.withColumn("s", slot("_key")).join(F.broadcast(words), F.shiftright("s", 6) == F.col("w")).where("shiftright(v, cast(s & 63 AS int)) & 1 = 1")
-        return found.select(F.col("_key").alias(name), F.col("_digest").alias(f"{name}_digest"), F.col("_bits").alias(bits))
-
-    both = candidates.join(side("left_id", "_a"), "left_id").join(side("right_id", "_b"), "right_id")
-    counted = both.select(
-        "left_id", "right_id", "left_id_digest", "right_id_digest", F.size(F.array_intersect("_a", "_b")).alias("common"), F.size("_a").alias("_n"), F.size("_b").alias("_m")
-    )
-    named = lambda name, rows: classes.select(F.col("id").alias(name), F.col("_digest").alias(f"{name}_digest"), F.col("rows").alias(rows))
+    sides = candidates.select("left_id", "right_id").unionAll(candidates.select("right_id", "left_id"))
+    ends = stage(sides.groupBy(F.col("left_id").alias("_key")).agg(F.min("right_id").alias("near")).withColumn("near", F.least("_key", "near")), "ends")
+    n_bits = ends.join(classes, F.col("_key") == F.col("id")).agg(F.sum("size")).first()[0] or 0
+    chunks = max(math.ceil((8 * cores) ** 0.5), -(-n_bits // CHUNK_BITS))
+    parts = ends.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    chunk = F.pmod(F.xxhash64("near", F.pmod(F.xxhash64("_key"), F.col("parts"))), F.lit(chunks)).cast("int")
+    places = stage(ends.join(parts, "near").select("_key", chunk.alias("chunk")), "chunks")
+    dealt = candidates.join(places.toDF("left_id", "x"), "left_id").join(places.toDF("right_id", "y"), "right_id")
+    dealt = dealt.select("left_id", "right_id", (F.least("x", "y") * F.lit(chunks) + F.greatest("x", "y")).alias("block"))
+    wanted = dealt.select("block", F.explode(F.array("left_id", "right_id")).alias("_key")).distinct()
+    words = ends.select(slot("_key").alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("v"))
+    found = held.withColumn("s", slot("_key")).join(F.broadcast(words), F.shiftright("s", 6) == F.col("w")).where("shiftright(v, cast(s & 63 AS int)) & 1 = 1")
+    sent = found.join(wanted, "_key").select("block", F.col("_key").alias("id"), F.col("_digest").alias("digest"), F.col("_bits").alias("bits"))
+    kinds = sent.schema
+    asked = dealt.select("block", F.col("left_id").alias("id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast(kinds["bits"].dataType).alias("bits"), F.col("right_id").alias("other"))
+    both = sent.withColumn("other", F.lit(None).cast(kinds["id"].dataType)).unionAll(asked).repartition(min(chunks**2, 64 * cores), "block").sortWithinPartitions("block")
+    kind = kinds["id"].dataType.simpleString()
+    counted = both.mapInArrow(_count(), f"left_id {kind}, right_id {kind}, left_digest binary, right_digest binary, common int, _n int, _m int")
     counted = stage(counted, "counted").distinct()  # a row that comes twice has one set
-    counted = counted.join(named("left_id", "left_size"), ["left_id", "left_id_digest"]).join(named("right_id", "right_size"), ["right_id", "right_id_digest"])
+    named = lambda side: classes.select(F.col("id").alias(f"{side}_id"), F.col("_digest").alias(f"{side}_digest"), F.col("rows").alias(f"{side}_size"))
+    counted = counted.join(named("left"), ["left_id", "left_digest"]).join(named("right"), ["right_id", "right_digest"])
     return counted.select("left_id", "right_id", "left_size", "right_size", "common", "_n", "_m")
 
 
+def _by_block(work: Callable[[int, pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in order of their first column, the block, go to ``work`` a block at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if parts and of[a] != block:
+                    yield from work(block, pa.Table.from_batches(parts))
+                    parts = []
+                block = int(of[a])
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield from work(block, pa.Table.from_batches(parts))
+
+    return run
+
+
+def _count() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (block, id, digest, bits, other) in order of blocks: sets, and pairs (id, other) to be counted."""
+
+    def shared(a: pa.Scalar, b: pa.Scalar) -> int:
+        if pa.types.is_integer(a.values.type) and not a.values.null_count and not b.values.null_count:
+            return len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True))
+        return len(set(a.as_py()) & set(b.as_py()))
+
+    def pairs(block: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        is_pair = pc.is_null(table.column("bits"))
+        sets, asked = table.filter(pc.invert(is_pair)), table.filter(is_pair)
+        places, seen = {}, set()
+        digests, bits = sets.column("digest").to_pylist(), sets.column("bits")
+        for i, (key, digest) in enumerate(zip(sets.column("id").to_pylist(), digests, strict=True)):
+            if (key, digest) not in seen:
+                seen.add((key, digest))
+                places.setdefault(key, []).append(i)
+        for part in asked.to_batches(max_chunksize=20_000):
+            out = []
+            for a, b in zip(part.column("id").to_pylist(), part.column("other").to_pylist(), strict=True):
+                for i in places.get(a, []):
+                    for j in places.get(b, []):
+                        x, y = bits[i], bits[j]
+                        out.append((a, b, digests[i], digests[j], shared(x, y), len(x.values), len(y.values)))
+            kinds = [table.schema.field("id").type] * 2 + [pa.binary()] * 2 + [pa.int32()] * 3
+            names = ["left_id", "right_id", "left_digest", "right_digest", "common", "_n", "_m"]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return _by_block(pairs)
+
+
 def _small_universe(held: DataFrame, counters: DataFrame) -> pa.Array | None:
     """All distinct bits if there are few of them."""
     if counters.count() > DENSE_BITS:
@@ -334,23 +405,7 @@ def _compare(chunks: int, metric: str, threshold: float, share: float) -> Callab
                         columns = [a["id"], b["id"], a["rows"], b["rows"], a["size"], b["size"], pa.chunked_array([pa.array(common)])]
                         yield from pa.table(columns, names=["a", "b", "ra", "rb", "n", "m", "common"]).to_batches()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, parts = None, []
-        for batch in batches:
-            of = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if parts and of[a] != block:
-                    yield from pairs(block, pa.Table.from_batches(parts))
-                    parts = []
-                block = int(of[a])
-                parts.append(batch.slice(a, b - a))
-        if parts:
-            yield from pairs(block, pa.Table.from_batches(parts))
-
-    return run
+    return _by_block(pairs)
 
 
 def with_word_shingles(df: DataFrame, column: str, name: str, words: str, n: int = 5) -> DataFrame:

@@ -105,5 +105,14 @@ def test_only_first_bits_are_shuffled(spark, monkeypatch):
     rows = [(k, list(range(100 * k, 100 * k + 100))) for k in range(50)] + [(50, list(range(99)))]
     found = near_duplicates(spark.createDataFrame(rows, "k long, b array<int>"), "k", "b")
     assert [tuple(r)[:2] for r in found.pairs.collect()] == [(0, 50)]
-    assert staged["classes"].selectExpr("max(size(first))").first()[0] == 26 and staged["prefixes"].count() <= 52
-    assert staged["candidates"].count() == 1
+    assert staged["prefixes"].agg({"place": "max"}).first()[0] <= 26 and staged["prefixes"].count() <= 52
+    assert staged["candidates"].count() == 1 and not any(c == "first" for c in staged["classes"].columns)
+
+
+def test_large_neighbourhoods_are_cut(spark, monkeypatch):
+    """Near copies that go to several chunks meet all the same."""
+    monkeypatch.setattr(module, "TOGETHER", 5)
+    rows = [(k, sorted({*range(40), 100 + k})) for k in range(40)] + [(100 + k, sorted({*range(50, 90), 200 + k})) for k in range(3)]
+    found = near_duplicates(spark.createDataFrame(rows, "k long, b array<int>"), "k", "b")
+    assert found.pairs.count() == 40 * 39 // 2 + 3
+    assert {r["k"]: r["links"] for r in found.rows.collect()} == {k: 39 if k < 100 else 2 for k, _ in rows}
