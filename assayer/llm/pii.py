@@ -6,6 +6,10 @@ abstain.  Expectation-maximisation finds from the agreement of the votes how
 reliable each labeler is, and a logistic classifier is fitted to the
 probabilities it gives.  Texts pass through DataFrame functions only; the driver
 sees counts of vote patterns, whose number is fixed by the labelers.
+
+A text is searched for matches of a kind only if it passes the tests of that
+kind, which every text with a match does.  Patterns look first at what few
+characters are, and at what stands before a place only after that.
 """
 
 from __future__ import annotations
@@ -15,17 +19,40 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer.llm.common import stage
 
+
+def _words(words: list[str]) -> str:
+    """A pattern for any of the words; those that begin alike share their first letters."""
+    tails: dict[str, list[str]] = {}
+    for word in words:
+        tails.setdefault(word[0], []).append(word[1:])
+    each = []
+    for letter, rest in tails.items():
+        longer = [r for r in rest if r]
+        more = _words(longer) if longer else ""
+        each.append(letter.replace(".", r"\.") + (f"(?:{more})?" if more and len(longer) < len(rest) else more))
+    return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
+
+
 # The base patterns.  Possessive repeats and the start of a run
 # find the same matches without trying every place inside a long run.  Runs of
 # fewer than 13 digits are no cards, nor is any part of them.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?:\G|(?<![0-9]))(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
+    "ip": r"(?=[0-9])(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?=[0-9])(?:\G|(?<![0-9]))(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-# A cheap test that a text must pass to hold a match.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0-9]", "phone": r"\+[0-9]"}
+# Patterns that a text must hold to hold a match.
+NEEDS = {
+    "email": r"@(?<=[A-Za-z0-9._%+-]@)[A-Za-z0-9-]++\.[A-Za-z0-9-]",
+    "ip": r"\.(?<=[0-9]\.)[0-9]++\.[0-9]++\.[0-9]",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12}",
+    "phone": BASE["phone"],
+}
+# A character that each match has; bytes are compared, which is cheaper than any pattern.
+HAS = {"email": "@", "phone": "+"}
+# Kinds of which each match holds a number in several parts or of six digits, a test that they share.
+NUMBER, WITH_NUMBER = r"[0-9][A-Z0-9\x20)./-]{4,30}[0-9]", ("ip", "card", "phone_like", "id")
 
 # First names, titles, mail providers and cue words.
 FIRST_NAMES = (
@@ -41,24 +68,30 @@ CUES = (
     "nom nombre named ssn passport passeport pasaporte account konto cuenta compte iban dear signed regards"
 ).split()
 AGAINST = "version chapter page figure table section isbn issn price total order vol volume no. article paragraph year".split()
-ID_WORDS = "ssn|social security(?: number)?|passport|passeport|pasaporte|reisepass|iban|account|konto|cuenta|compte|dni|steuer-?id"
+ID_WORDS = "ssn|social security|social security number|passport|passeport|pasaporte|reisepass|iban|account|konto|cuenta|compte|dni|steuerid|steuer-id".split("|")
 
+_DOT = r"(?:\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20|\.)"
 LOOSE = {
-    "email_like": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}(?:\x20?[(\[{]at[)\]}]\x20?|\x20at\x20)[A-Za-z0-9-]{2,63}(?:\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20|\.)[A-Za-z]{2,24}(?![A-Za-z])",
-    "phone_like": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
-    "id": rf"(?<=(?i:{ID_WORDS})[.:#]?\x20{{0,2}}(?i:no|nr|number|is)?[.:#]?\x20{{0,2}})[A-Z]{{0,2}}[0-9][A-Z0-9\x20-]{{4,30}}[0-9](?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.?\x20\p{{Lu}}\p{{Ll}}{{1,20}}|(?:{'|'.join(FIRST_NAMES)})\x20\p{{Lu}}\p{{Ll}}{{1,20}})(?:\x20\p{{Lu}}\p{{Ll}}{{1,20}})?(?!\p{{L}})",
+    "email_like": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{2,64}}+(?:\x20?[(\[{{]at[)\]}}]\x20?|\x20at\x20)[A-Za-z0-9-]{{2,63}}+{_DOT}[A-Za-z]{{2,24}}+(?![A-Za-z])",
+    "phone_like": r"(?=[(0-9])(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
+    # What stands before an id ends in a letter or a mark and spaces; all the words are tried only where it does.
+    "id": rf"(?=[A-Z0-9])(?=[A-Z]{{0,2}}[0-9])(?<=[A-Za-z.:#]\x20{{0,4}})(?<=(?i:{_words(ID_WORDS)})[.:#]?\x20{{0,2}}(?i:no|nr|number|is)?[.:#]?\x20{{0,2}})[A-Z]{{0,2}}[0-9][A-Z0-9\x20-]{{4,30}}[0-9](?![A-Za-z0-9])",
+    "name": rf"(?=[A-Z])(?<!\p{{L}})(?:{_words(TITLES)}\.?\x20\p{{Lu}}\p{{Ll}}{{1,20}}|{_words(FIRST_NAMES)}\x20\p{{Lu}}\p{{Ll}}{{1,20}})(?:\x20\p{{Lu}}\p{{Ll}}{{1,20}})?(?!\p{{L}})",
 }
 LOOSE_NEEDS = {
-    "email_like": r"[(\[{]at[)\]}]|\x20at\x20",
-    "phone_like": r"[0-9]{2}\)?[\x20./-][0-9]{2}",
-    "id": rf"(?i){ID_WORDS}",
-    "name": rf"(?<!\p{{L}})(?:{'|'.join(TITLES + FIRST_NAMES)})(?!\p{{L}})",
+    "email_like": rf"[\x20(\[{{]at[\x20)\]}}]\x20?[A-Za-z0-9-]{{2,63}}+{_DOT}[A-Za-z]{{2}}",
+    "phone_like": r"[0-9]{2}\)?[\x20./-][0-9]{2,4}[\x20.-][0-9]{2}",
+    "id": LOOSE["id"],
+    # After a capital that no letter precedes, back to it for the whole word.
+    "name": rf"[A-Z](?<!\p{{L}}.)(?<=(?={_words(TITLES + FIRST_NAMES)}\.?\x20\p{{Lu}}\p{{Ll}}).)",
 }
 KINDS = (*BASE, *LOOSE)
 LABELERS = ("shape", "gazetteer", "context", "against", "structure")
 #: Characters around a span that the context labelers read.
 AROUND = 40
+#: Matches that are walked together.
+RUN = 64
+NO_MATCHES = "cast(array() as array<struct<value:string,start:int,end:int,before:string>>)"
 SPAN = "array<struct<kind:string,start:int,end:int,votes:array<int>>>"
 
 
@@ -86,28 +119,55 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, need: str) -> Column:
-    """Matches of a pattern as (value, start, end), in code points.
+def _may_hold(kind: str, text: Column, number: Column) -> Column:
+    """Whether a text passes the tests of a kind; ``number`` is whether it holds ``NUMBER``."""
+    need = text.rlike((NEEDS | LOOSE_NEEDS)[kind])
+    need = text.contains(HAS[kind]) & need if kind in HAS else need
+    return number & need if kind in WITH_NUMBER else need
+
+
+def _walked(parts: Column, at: Column, before: Column) -> Column:
+    """Matches as (value, start, end, before) of parts (piece, gap, m) that begin at a place, after a text."""
+    last = lambda x: F.substring(x, -AROUND, AROUND)
+
+    def step(a: Column, x: Column) -> Column:
+        start, before = a["at"] + x["gap"], last(F.concat(a["before"], x["piece"]))
+        end = start + F.length(x["m"])
+        match = F.struct(x["m"].alias("value"), start.alias("start"), end.alias("end"), before.alias("before"))
+        return F.struct(end.alias("at"), last(F.concat(before, x["m"])).alias("before"), F.concat(a["out"], F.array(match)).alias("out"))
+
+    return F.aggregate(parts, F.struct(at.alias("at"), before.alias("before"), F.expr(NO_MATCHES).alias("out")), step, lambda a: a["out"])
+
+
+def _matches(text: Column, pattern: str, need: Column) -> Column:
+    """Matches of a pattern as (value, start, end, before), in code points.
 
     The pieces between the matches give the places: a match begins where the
-    pieces and matches before it end.
+    pieces and matches before it end.  ``before`` is the text before a match,
+    of ``AROUND`` characters at most.  A walk copies all it has found at each
+    step, so long lists are walked in runs, which begin where those before end.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(F.split(text, pattern), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m")))
-    start = F.lit(0).cast("int")
-    walked = F.aggregate(
-        F.filter(parts, lambda x: x["m"].isNotNull()),
-        F.struct(start.alias("at"), F.expr("cast(array() as array<struct<value:string,start:int,end:int>>)").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(F.struct(x["m"].alias("value"), (a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["m"])).alias("end"))),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(text.rlike(need), walked).otherwise(F.expr("cast(array() as array<struct<value:string,start:int,end:int>>)"))
+    parts = F.zip_with(F.split(text, pattern), found, lambda p, m: F.struct(p.alias("piece"), F.length(p).alias("gap"), m.alias("m")))
+    parts = F.filter(parts, lambda x: x["m"].isNotNull())
+    zero, empty = F.lit(0).cast("int"), F.lit("")
+
+    def cut(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(RUN)), lambda i: F.slice(parts, i, F.lit(RUN)))
+
+    def whole(run: Column) -> Column:
+        length = F.aggregate(run, zero, lambda a, x: a + x["gap"] + F.length(x["m"]))
+        end = F.aggregate(run, empty, lambda a, x: F.substring(F.concat(a, x["piece"], x["m"]), -AROUND, AROUND))
+        return F.struct(end.alias("piece"), length.alias("gap"), empty.alias("m"))
+
+    def joined(runs: Column) -> Column:
+        ends = F.transform(_walked(F.transform(runs, whole), zero, empty), lambda r: F.struct(r["start"].alias("at"), r["before"].alias("before")))
+        starts = F.slice(F.concat(F.array(F.struct(zero.alias("at"), empty.alias("before"))), ends), F.lit(1), F.size(runs))
+        return F.flatten(F.zip_with(runs, starts, lambda run, s: _walked(run, s["at"], s["before"])))
+
+    # An array of one gives a name to what is used several times.
+    walked = F.get(F.transform(F.transform(F.array(parts), cut), joined), F.lit(0))
+    return F.when(need, walked).otherwise(F.expr(NO_MATCHES))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
@@ -115,15 +175,9 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (vote.when(no, -1) if no is not None else vote).otherwise(0)
 
 
-def _words(words: list[str]) -> str:
-    return "|".join(w.replace(".", r"\.") for w in words)
-
-
-def _votes(kind: str, text: Column, m: Column) -> Column:
+def _votes(kind: str, m: Column) -> Column:
     """Votes of the labelers on a match, in the order of ``LABELERS``."""
-    first = F.greatest(F.lit(1), m["start"] - AROUND + 1)
-    before = F.lower(F.substr(text, first, m["start"] - first + 1))
-    value, digits = m["value"], F.length(_digits(m["value"]))
+    before, value, digits = F.lower(m["before"]), m["value"], F.length(_digits(m["value"]))
     cue = before.rlike(rf"(?<!\p{{L}})(?:{_words(CUES)})(?!\p{{L}})[^\n]{{0,16}}$")
     doubt = before.rlike(rf"(?<!\p{{L}})(?:{_words(AGAINST)})[^\p{{L}}\n]{{0,6}}$|[$€£%]\x20?$")
     if "email" in kind:
@@ -152,13 +206,13 @@ def _votes(kind: str, text: Column, m: Column) -> Column:
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, the base spans and the looser ones, with their votes."""
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    body = F.col("text")
-    for kind, pattern in (BASE | LOOSE).items():
-        rows = rows.withColumn(kind, _matches(body, pattern, (NEEDS | LOOSE_NEEDS)[kind]))
+    body, number = F.col("text"), F.col("number")
+    rows = rows.withColumn("number", body.rlike(NUMBER))
+    rows = rows.select("doc_id", *[_matches(body, pattern, _may_hold(kind, body, number)).alias(kind) for kind, pattern in (BASE | LOOSE).items()])
 
     def spans(kind: str) -> Column:
         kept = F.filter(F.col(kind), lambda m: _valid(kind, m["value"])) if kind in BASE else F.col(kind)
-        return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _votes(kind, body, m).alias("votes")))
+        return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), _votes(kind, m).alias("votes")))
 
     rows = rows.select("doc_id", F.concat(*map(spans, BASE)).cast(SPAN).alias("base"), F.concat(*map(spans, LOOSE)).cast(SPAN).alias("loose"))
     apart = F.filter("loose", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))

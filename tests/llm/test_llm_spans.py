@@ -1,10 +1,13 @@
 """Personal data and secrets against plain regular expressions, and what the methods add."""
 
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import pii, secret_scan
 from assayer.llm.queries import LLM
@@ -81,6 +84,54 @@ def test_added_personal_data(spark):
         assert not rows[d]
 
 
+ID = r"ssn|social security(?: number)?|passport|passeport|pasaporte|reisepass|iban|account|konto|cuenta|compte|dni|steuer-?id"
+#: The patterns of all kinds without what makes them cheap.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"(?:\G|(?<![0-9]))(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "email_like": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}(?:\x20?[(\[{]at[)\]}]\x20?|\x20at\x20)[A-Za-z0-9-]{2,63}(?:\x20?[(\[{]dot[)\]}]\x20?|\x20dot\x20|\.)[A-Za-z]{2,24}(?![A-Za-z])",
+    "phone_like": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[\x20./-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z])",
+    "id": rf"(?<=(?i:{ID})[.:#]?\x20{{0,2}}(?i:no|nr|number|is)?[.:#]?\x20{{0,2}})[A-Z]{{0,2}}[0-9][A-Z0-9\x20-]{{4,30}}[0-9](?![A-Za-z0-9])",
+    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(pii.TITLES)})\.?\x20\p{{Lu}}\p{{Ll}}{{1,20}}|(?:{'|'.join(pii.FIRST_NAMES)})\x20\p{{Lu}}\p{{Ll}}{{1,20}})(?:\x20\p{{Lu}}\p{{Ll}}{{1,20}})?(?!\p{{L}})",
+}
+
+
+def test_cheap_patterns_find_what_plain_ones_find(spark):
+    rng = random.Random(3)
+    bits = [*pii.TITLES, *pii.FIRST_NAMES, *pii.ID_WORDS, "SSN", "Konto:", "account no.", "social security number is", "nr", "Becker", "McDonald", "Öz", "éAnna", "3Anna", "𝐀nna"]
+    bits += ["[at]", "(at}", " at ", "{dot)", " dot ", ".", "@", "jo.e", "gmail", "com", "x" * 70, "+", "+49 30", "(030) 123-4567", "12-34-56", "2019", " 030/123 45", "C01X00T478", "AB12 34567"] * 3
+    bits += ["1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "5555-5555555554444", "0", "12", "345", "6789", "é", "😀", "\n", "  ", "-", "/", "#", ":", "A", "b"] * 3
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", ".", "-"]) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ODD[:-1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    text, number = F.col("text"), F.col("text").rlike(pii.NUMBER)
+    counts = []
+    for kind, pattern in (pii.BASE | pii.LOOSE).items():
+        plain, cheap = pii._matches(text, PLAIN[kind], F.lit(True)), pii._matches(text, pattern, pii._may_hold(kind, text, number))
+        before = F.forall(cheap, lambda m: F.substr("text", F.greatest(F.lit(1), m["start"] - 39), F.least(F.lit(40), m["start"])) == m["before"])
+        counts += [F.sum(F.size(plain)).alias(kind), F.count_if(~plain.eqNullSafe(cheap) | ~before).alias(f"{kind}_wrong")]
+    found = docs.repartition(8).agg(*counts).first().asDict()
+    assert all((n == 0) == k.endswith("_wrong") for k, n in found.items()), found
+
+
+def test_a_search_in_vain_costs_no_more_than_some_scans(spark):
+    """First names, cue words, "at" and numbers alone lead to no search that tries them at every place."""
+    text = "On account of rain James met us at noon, and Anna paid 12 of 30. " * 2_000
+    docs = spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").coalesce(1)
+
+    def seconds(df):
+        times = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.collect()
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    scans = seconds(docs.select(*[F.count_if(F.col("text").rlike(rf"\x0{k}")) for k in range(1, 9)]))
+    assert seconds(pii.candidates(docs).select(F.sum(F.size("base") + F.size("loose")))) < 10 * (scans + 0.05)
+
+
 def test_reliabilities_tell_good_labelers_from_bad():
     rng = np.random.default_rng(5)
     truth = rng.random(4000) < 0.4
